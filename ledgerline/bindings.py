@@ -88,6 +88,14 @@ _view("vote_types", """
                              ELSE 'Type ' || CAST(l_linenumber AS VARCHAR(20)) END AS name
     FROM {lineitem}""")
 
+_view("posts_o", """
+    SELECT o_orderkey AS id, o_custkey AS user_id, o_orderdate AS creation_date,
+           CAST(FLOOR(o_totalprice / 100) AS BIGINT) AS views_count FROM {orders}""")
+_view("users_o", """
+    SELECT c_custkey AS id,
+           TIMESTAMP_NTZ '1996-08-15 08:00:00' + INTERVAL '1' DAY * CAST(c_custkey % 60 AS INTEGER) AS creation_date
+    FROM {customer}""")
+
 # --- venture funding -------------------------------------------------------------------
 _view("company", """
     SELECT c_custkey AS id, c_name AS name, LOWER(c_mktsegment) AS category_code,

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.numbers import from_cents, half_up, percent, ratio
-
 from ledgerline.plans.delivery import committed
 from ledgerline.plans.economics import priced_e
 
