@@ -168,7 +168,119 @@ _view("client_companies", """
            CASE c_nationkey WHEN 11 THEN 'Иран' WHEN 12 THEN NULL ELSE 'Тверь' END AS postal_address
     FROM {customer} WHERE c_custkey % 5 = 3""")
 
-_NAME = re.compile(r"\{(\w+)\}")
+# --- notebook tables -------------------------------------------------------------------
+_PLAY = """
+    SELECT CAST(user_id AS VARCHAR(20)) AS "userID",
+           CASE WHEN event_id % 17 <> 0 THEN 'track ' || CAST(event_id % 500 AS VARCHAR(20)) END AS "Track",
+           CASE WHEN event_id % 11 <> 0 THEN 'artist ' || CAST(event_id % 90 AS VARCHAR(20)) END AS artist,
+           CASE event_id % 9 WHEN 0 THEN 'hip' WHEN 1 THEN 'hop' WHEN 2 THEN 'hip-hop' WHEN 3 THEN 'pop'
+               WHEN 4 THEN 'rock' WHEN 5 THEN 'dance' WHEN 6 THEN event_type WHEN 7 THEN NULL ELSE 'hiphop' END AS genre,
+           CASE user_id % 2 WHEN 0 THEN 'Moscow' ELSE 'Saint-Petersburg' END AS "City",
+           SUBSTR(CAST(ts AS VARCHAR(30)), 12, 8) AS time,
+           CASE EXTRACT(DAY FROM ts) % 3 WHEN 0 THEN 'Monday' WHEN 1 THEN 'Wednesday' ELSE 'Friday' END AS "Day"
+    FROM {events}"""
+_view("plays", _PLAY + " UNION ALL " + _PLAY + " WHERE event_id % 25 = 0")
+_BORROWER = """
+    SELECT CAST(CASE WHEN c_custkey % 70 = 5 THEN 20 ELSE c_custkey % 7 - 1 END AS INTEGER) AS children,
+           CASE WHEN c_custkey % 10 <> 0 THEN c_acctbal - 3000 END AS days_employed,
+           CASE c_custkey % 3 WHEN 0 THEN 'Высшее' WHEN 1 THEN 'ВЫСШЕЕ' ELSE 'среднее' END AS education,
+           CASE c_custkey % 4 WHEN 0 THEN 'женат / замужем' WHEN 1 THEN 'гражданский брак' WHEN 2 THEN 'в разводе'
+               ELSE 'вдовец / вдова' END AS family_status,
+           c_mktsegment AS income_type,
+           CAST(CASE WHEN (c_custkey * 7) % 12 = 0 THEN 1 ELSE 0 END AS INTEGER) AS debt,
+           CASE WHEN c_custkey % 10 <> 0 THEN ABS(c_acctbal) * 60 END AS total_income,
+           CASE c_custkey % 6 WHEN 0 THEN 'на покупку автомобиля' WHEN 1 THEN 'сделка с жилой недвижимостью'
+               WHEN 2 THEN 'сыграть свадьбу' WHEN 3 THEN 'получение образования' WHEN 4 THEN 'покупка жилья'
+               ELSE 'ремонт' END AS purpose
+    FROM {customer}"""
+_view("borrowers", _BORROWER + " UNION ALL " + _BORROWER + " WHERE c_custkey % 40 = 0")
+_view("flats", """
+    SELECT CAST(l_extendedprice AS DOUBLE) AS last_price, l_quantity + 20 AS total_area,
+           CASE WHEN l_partkey % 9 <> 0 THEN l_quantity + 5 END AS living_area,
+           CASE WHEN l_partkey % 8 <> 0 THEN CAST(6 + l_partkey % 30 AS DOUBLE) END AS kitchen_area,
+           CASE l_suppkey % 10 WHEN 0 THEN 25.0 WHEN 1 THEN 1.8 WHEN 2 THEN 14.0 WHEN 3 THEN NULL ELSE 2.7 END
+               + 0.0e0 AS ceiling_height,
+           CASE WHEN l_partkey % 50 <> 0 THEN CAST(l_linenumber + l_partkey % 3 AS DOUBLE) END AS floors_total,
+           l_linenumber AS floor, CAST(1 + l_partkey % 5 AS INTEGER) AS rooms,
+           CASE WHEN l_orderkey % 3 = 0 THEN CAST(l_orderkey % 4 AS DOUBLE) END AS balcony,
+           CASE WHEN l_orderkey % 10 = 0 THEN TRUE END AS is_apartment,
+           CASE l_suppkey % 20 WHEN 0 THEN 'Санкт-Петербург' WHEN 1 THEN 'Санкт-Петербург'
+               WHEN 2 THEN 'посёлок Рябово' WHEN 3 THEN 'поселок при железнодорожной станции' WHEN 4 THEN NULL
+               WHEN 5 THEN 'городской поселок Мга'
+               ELSE 'деревня ' || CAST(l_suppkey % 20 AS VARCHAR(20)) END AS locality_name,
+           CASE WHEN l_partkey % 7 <> 0 THEN CAST(l_partkey * 15 AS DOUBLE) END AS city_center_m,
+           CASE WHEN l_partkey % 6 <> 0 THEN l_extendedprice / 100 END AS days_exposition,
+           SUBSTR(CAST(l_shipdate AS VARCHAR(30)), 1, 10) || 'T00:00:00' AS first_day_exposition
+    FROM {lineitem}""")
+_view("games", """
+    SELECT 'Game ' || CAST(o_orderkey AS VARCHAR(20)) AS "Name", 'P' || CAST(o_custkey % 25 AS VARCHAR(20)) AS "Platform",
+           CASE WHEN o_orderkey % 60 <> 0 THEN CAST(EXTRACT(YEAR FROM o_orderdate) AS INTEGER) END AS "Year_of_Release",
+           CASE WHEN o_orderkey % 90 <> 0 THEN SUBSTR(o_orderpriority, 3) END AS "Genre",
+           CAST(o_orderkey % 97 AS DOUBLE) / 100 AS "NA_sales", CAST(o_orderkey % 61 AS DOUBLE) / 100 AS "EU_sales",
+           CAST(o_custkey % 53 AS DOUBLE) / 100 AS "JP_sales", CAST(o_custkey % 19 AS DOUBLE) / 100 AS "Other_sales",
+           CASE WHEN o_orderkey % 3 <> 0 THEN CAST(40 + o_custkey % 60 AS DOUBLE) END AS "Critic_Score",
+           CASE o_orderkey % 5 WHEN 0 THEN 'tbd' WHEN 1 THEN NULL
+               ELSE CAST((o_orderkey * 7) % 10 AS VARCHAR(20)) || '.' || CAST(o_custkey % 10 AS VARCHAR(20)) END
+               AS "User_Score",
+           CASE o_custkey % 4 WHEN 0 THEN 'E' WHEN 1 THEN 'T' WHEN 2 THEN 'M' END AS "Rating"
+    FROM {orders}""")
+_view("heritage", """
+    SELECT event_id AS id, 'объект ' || CAST(event_id AS VARCHAR(20)) AS "Объект",
+           CASE WHEN event_id % 13 = 0 THEN NULL WHEN event_id % 13 = 1 THEN '{not json'
+               ELSE '{"coordinates": [' || CAST(event_id % 180 AS VARCHAR(20)) || ', ' || CAST(user_id % 90 AS VARCHAR(20))
+                    || '], "type": "Point"}' END AS map_json,
+           CASE WHEN event_id % 7 <> 0 THEN '[{"id": "' || CAST(event_id % 3 AS VARCHAR(20)) || '", "value": "'
+               || event_type || '"}, {"id": "9", "value": "ансамбль"}]' END AS kind_json,
+           CASE event_id % 4 WHEN 0 THEN '[]' WHEN 1 THEN NULL WHEN 2 THEN
+               '[{"name": "указ ' || CAST(event_id AS VARCHAR(20)) || '", "archive": {"id": "a1", "url": "u1"}}]'
+               ELSE '[{"name": "указ", "archive": {"id": "a1", "url": "u1"}}, {"name": "акт '
+               || CAST(user_id AS VARCHAR(20)) || '", "archive": {"id": "a2", "url": "u2"}}]' END AS docs_json,
+           CASE event_id % 5 WHEN 0 THEN 'nan' WHEN 1 THEN '{"title": "фасад"}'
+               ELSE '{"url": "http://h/' || CAST(event_id AS VARCHAR(20)) || '", "preview": "p", "title": "вид"}' END
+               AS image_json,
+           CASE event_id % 12 WHEN 0 THEN 'XVIII век' WHEN 1 THEN 'Начало XIX в.' WHEN 2 THEN 'вторая половина ХХ века'
+               WHEN 3 THEN 'кон. XIX - нач. XX вв.' WHEN 4 THEN '1942 - 1943 годы' WHEN 5 THEN NULL
+               WHEN 6 THEN 'эпоха бронзы' WHEN 7 THEN 'nan' WHEN 8 THEN 'I пол. XIX в. ' WHEN 9 THEN '-'
+               WHEN 10 THEN 'Последняя четверть XVIII' ELSE 'середина XIX века' END AS construction_date,
+           CASE event_id % 6 WHEN 0 THEN '0019-02-30' WHEN 1 THEN 'дата неизвестна' WHEN 2 THEN NULL
+               ELSE SUBSTR(CAST(ts AS VARCHAR(30)), 1, 10) END AS doc_date,
+           CASE WHEN event_id % 20 = 0 THEN event_type END AS sparse_95, CAST(NULL AS VARCHAR(20)) AS all_null,
+           CASE WHEN event_id % 9 <> 0 THEN 'Памятник' || CASE user_id % 3 WHEN 0 THEN ' археологии' ELSE '' END END AS kind
+    FROM {events}""")
+_view("cars", """
+    SELECT CASE EXTRACT(YEAR FROM l_shipdate) % 2 WHEN 0 THEN 2018 ELSE 2019 END AS year,
+           CASE EXTRACT(MONTH FROM l_shipdate) WHEN 1 THEN 'Январь' WHEN 2 THEN 'Февраль' WHEN 3 THEN 'Март'
+               WHEN 4 THEN 'Апрель' WHEN 5 THEN 'Май' WHEN 6 THEN 'Июнь' WHEN 7 THEN 'Июль' WHEN 8 THEN 'Август'
+               WHEN 9 THEN 'Сентябрь' END AS month,
+           CASE l_suppkey % 6 WHEN 0 THEN 'ТОО Astana Motors' WHEN 1 THEN 'Astana  Motors' WHEN 2 THEN 'astana motors'
+               WHEN 3 THEN 'Toyota Motor' WHEN 4 THEN '#Н/Д' ELSE '0' END AS company,
+           'Brand ' || CAST(l_partkey % 12 AS VARCHAR(20)) AS brand,
+           ' M' || CAST(l_partkey % 60 AS VARCHAR(20)) || CASE l_orderkey % 3 WHEN 0 THEN ' ' ELSE '' END AS model,
+           CASE l_partkey % 5 WHEN 0 THEN 'A класс' WHEN 1 THEN 'B класс' WHEN 2 THEN 'C класс' ELSE 'SUV' END
+               AS car_classification,
+           CASE WHEN l_orderkey % 6 = 0 THEN NULL WHEN l_orderkey % 6 = 1 THEN '2 018' WHEN l_partkey % 60 < 30 THEN '2019'
+               ELSE CAST(2010 + l_orderkey % 9 AS VARCHAR(20)) END AS manufacturing_year,
+           CASE l_suppkey % 5 WHEN 0 THEN 'Республика Казахстан' WHEN 1 THEN 'Казахстан' WHEN 2 THEN 'UK'
+               WHEN 3 THEN 'Российская Федерация' ELSE 'Япония' END AS manufacturing_country,
+           CASE l_orderkey % 13 WHEN 0 THEN NULL WHEN 1 THEN '1,6' WHEN 2 THEN 'электро' WHEN 3 THEN 'ДИЗЕЛЬ '
+               WHEN 4 THEN '2' ELSE 'бензин' END AS fuel_type,
+           CASE l_orderkey % 9 WHEN 0 THEN '1,6' WHEN 1 THEN '2,0 л' WHEN 2 THEN '' WHEN 3 THEN '2.5.' WHEN 4 THEN NULL
+               ELSE '1.8' END AS engine_displacement_l,
+           CASE WHEN l_orderkey % 4 = 0 THEN NULL WHEN l_partkey % 60 < 40 THEN 'АКПП' ELSE
+               CASE l_orderkey % 3 WHEN 0 THEN 'МКПП' ELSE 'АКПП' END END AS transmission_type,
+           CASE WHEN l_orderkey % 8 <> 0 THEN CASE l_orderkey % 3 WHEN 0 THEN 'Физическое лицо'
+               ELSE 'Юридическое лицо' END END AS customer_type,
+           CASE WHEN l_orderkey % 31 <> 0 THEN CAST(l_linenumber % 3 + 1 AS INTEGER) END AS quantity,
+           CAST(CAST(FLOOR(l_extendedprice) AS BIGINT) AS VARCHAR(20)) || ',5' AS price_usd,
+           CASE l_linenumber WHEN 7 THEN '0' WHEN 6 THEN '-35588'
+               ELSE CAST(CAST(FLOOR(l_extendedprice * 2) AS BIGINT) AS VARCHAR(20)) || ',25' END AS sale_usd,
+           'Город ' || CAST(l_suppkey % 15 AS VARCHAR(20)) AS city, 'ДЦ ' || CAST(l_suppkey AS VARCHAR(20)) AS dealer,
+           CASE l_suppkey % 4 WHEN 0 THEN 'Коммерческие' ELSE 'Легковые' END AS car_type,
+           CASE l_suppkey % 3 WHEN 0 THEN 'Местное' ELSE 'Импорт' END AS assembly
+    FROM {lineitem}""")
+
+_NAME = re.compile(r"\{([a-z_]+)\}")
+_QUOTED = re.compile(r' AS "([^"{}]+)"')  # quoted names become back-ticked ones for Spark
 
 
 def dependencies(sql: str) -> list[str]:
@@ -186,8 +298,11 @@ class Bound:
         if name in BASE:
             return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         if name in VIEWS:
-            sql = VIEWS[name]
-            return self.spark.sql(sql, **{d: getattr(self, d) for d in dependencies(sql)})
+            needed = dependencies(VIEWS[name])
+            sql = _QUOTED.sub(r" AS `\1`", VIEWS[name]).replace("{", "{{").replace("}", "}}")
+            for table in needed:
+                sql = sql.replace("{{" + table + "}}", "{" + table + "}")
+            return self.spark.sql(sql, **{d: getattr(self, d) for d in needed})
         raise AttributeError(name)
 
 
