@@ -6,13 +6,14 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from ledgerline.functions.numbers import col
 
 
 def json_columns(df: DataFrame, column: str, schema: str, prefix: str = "") -> DataFrame:
     """A JSON object column becomes one column per field; malformed text gives nulls."""
-    fields = df.sparkSession.createDataFrame([], schema).columns
+    fields = StructType.fromDDL(schema).names
     parsed = df.withColumn("_json", F.from_json(column, schema))
     names = [F.col("_json").getField(f).alias(prefix + f) for f in fields]
     return parsed.select(*[F.col(f"`{c}`") for c in df.columns if c != column], *names)
@@ -42,8 +43,8 @@ def numbered_items(
 
 def item_rows(df: DataFrame, key: str, text: str, item_schema: str) -> DataFrame:
     """Long form for arrays of any length: (key, position from 1, fields…)."""
-    fields = df.sparkSession.createDataFrame([], item_schema).columns
-    items = F.from_json(F.col(text), f"array<struct<{item_schema}>>")
+    fields = StructType.fromDDL(item_schema).names
+    items = F.from_json(F.col(text), ArrayType(StructType.fromDDL(item_schema)))
     rows = df.select(key, F.posexplode(items).alias("_pos", "_item"))
     return rows.select(
         key, (F.col("_pos") + 1).cast("bigint").alias("position"), *[F.col("_item").getField(f).alias(f) for f in fields]

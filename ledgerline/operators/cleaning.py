@@ -31,8 +31,8 @@ def dedupe(df: DataFrame) -> DataFrame:
 
 
 def with_row_id(df: DataFrame, order: Sequence[str], out: str = "id") -> DataFrame:
-    """Dense key from 0 in sort order, duplicates kept."""
-    return row_numbers(df, [F.col(c) for c in order], out, start=0)
+    """Dense key from 0 in sort order, nulls last, duplicates kept."""
+    return row_numbers(df, [F.col(c).asc_nulls_last() for c in order], out, start=0)
 
 
 def canonicalize(
