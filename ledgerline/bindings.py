@@ -279,6 +279,39 @@ _view("cars", """
            CASE l_suppkey % 3 WHEN 0 THEN 'Местное' ELSE 'Импорт' END AS assembly
     FROM {lineitem}""")
 
+# --- audience, channels, donations, experiments ------------------------------------------
+_view("visits", """
+    SELECT event_id AS visit_id, user_id, ts AS visited_at, 'source ' || CAST(event_id % 14 AS VARCHAR(20)) AS source,
+           CASE user_id % 3 WHEN 0 THEN 'Mac' WHEN 1 THEN 'PC' ELSE 'Android' END AS device,
+           CASE user_id % 4 WHEN 0 THEN 'France' WHEN 1 THEN 'UK' ELSE 'Germany' END AS country
+    FROM {events}""")
+_view("payments", "SELECT user_id, ts AS paid_at, value AS amount FROM {events} WHERE event_type = 'purchase'")
+_view("ad_costs", """
+    SELECT 'source ' || CAST(event_id % 14 AS VARCHAR(20)) AS source, CAST(ts AS DATE) AS day,
+           SUM(CAST(ROUND(value * 20) AS BIGINT)) AS cost_cents
+    FROM {events} WHERE event_type = 'click' GROUP BY 1, 2""")
+_view("donations", """
+    SELECT o_orderkey AS donation_id, o_custkey AS donor_id, o_orderdate AS donated_at, o_totalprice AS amount,
+           CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'O' THEN 'success' ELSE 'cancelled' END AS status,
+           SUBSTR(o_orderpriority, 3) AS campaign, n_name AS region
+    FROM {orders} JOIN {customer} ON c_custkey = o_custkey JOIN {nation} ON n_nationkey = c_nationkey""")
+_view("attempts", """
+    SELECT user_id AS donor_id, ts AS tried_at, CASE event_type WHEN 'error' THEN 'failed' ELSE 'success' END AS status
+    FROM {events}""")
+_view("emails", """
+    SELECT user_id, event_id % 400 AS message_id,
+           CASE event_type WHEN 'view' THEN 'sent' WHEN 'click' THEN 'opened' WHEN 'purchase' THEN 'clicked' END AS stage,
+           'campaign ' || CAST(event_id % 5 AS VARCHAR(20)) AS campaign, value AS amount
+    FROM {events} WHERE event_type IN ('view', 'click', 'purchase')""")
+_view("experiment", """
+    SELECT user_id, ts, event_type, CASE user_id % 2 WHEN 0 THEN 'A' ELSE 'B' END AS grp, r_name AS region
+    FROM {events} JOIN {region} ON r_regionkey = user_id % 5""")
+_view("promos", """
+    SELECT 'promo ' || CAST(r_regionkey AS VARCHAR(20)) AS name, r_name || ', EUROPE' AS regions,
+           DATE '2023-12-20' + CAST(r_regionkey * 6 AS INTEGER) AS start_dt,
+           DATE '2023-12-25' + CAST(r_regionkey * 6 AS INTEGER) AS finish_dt
+    FROM {region}""")
+
 _NAME = re.compile(r"\{([a-z_]+)\}")
 _QUOTED = re.compile(r' AS "([^"{}]+)"')  # quoted names become back-ticked ones for Spark
 

@@ -20,11 +20,23 @@ from ledgerline.session import durable
 CHUNK = "_chunk"
 
 
+TIE = "_tie"
+
+
 def _chunks(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     ranged = df.repartitionByRange(*[F.col(k) for k in keys], *order)
     return durable(ranged.withColumn(CHUNK, F.spark_partition_id()))
 
 
+def _split_ties(df: DataFrame) -> DataFrame:
+    """Number the rows so that copies equal in (keys, order) can go to different chunks.
+
+    The number depends on where a row was read, so it is written down before it decides
+    about partitions.
+    """
+    return durable(df.withColumn(TIE, F.monotonically_increasing_id()))
+
+
 def _carry(totals: DataFrame, keys: Sequence[str], value: Column, out: str) -> DataFrame:
     """What all earlier chunks of the same key add up to; only keys that span chunks remain.
 
@@ -77,7 +89,8 @@ def row_numbers(
     df: DataFrame, order: Sequence[Column | str], out: str, start: int = 1
 ) -> DataFrame:
     """Dense row number over the whole table without a single-task sort."""
-    rows = _chunks(df, [], order)
+    order = [*order, TIE]
+    rows = _chunks(_split_ties(df), [], order)
     totals = rows.groupBy(CHUNK).agg(F.count("*").alias("_total"))
     carried = _carry(totals, [], F.sum("_total"), "_before")
     inside = Window.partitionBy(CHUNK).orderBy(*order)
@@ -87,20 +100,20 @@ def row_numbers(
     return numbered.withColumn(
         out,
         (F.col("_inside") + F.coalesce(F.col("_before"), F.lit(0)) + (start - 1)).cast("bigint"),
-    ).drop("_inside", "_before", CHUNK)
+    ).drop("_inside", "_before", CHUNK, TIE)
 
 
 def previous_value(df: DataFrame, keys: Sequence[str], order: str, out: str) -> DataFrame:
     """``LAG(order) OVER (PARTITION BY keys ORDER BY order)``."""
-    rows = _chunks(df, keys, [order])
-    inside = Window.partitionBy(CHUNK, *keys).orderBy(order)
+    rows = _chunks(_split_ties(df), keys, [order, TIE])
+    inside = Window.partitionBy(CHUNK, *keys).orderBy(order, TIE)
     last = rows.groupBy(CHUNK, *keys).agg(F.max(order).alias("_last"))
     carried = _carry(last, keys, F.max("_last"), "_before")
     lagged = rows.withColumn("_inside", F.lag(order).over(inside))
     return (
         _with_carry(lagged, carried, keys, "_before")
         .withColumn(out, F.coalesce("_inside", "_before"))
-        .drop("_inside", "_before", CHUNK)
+        .drop("_inside", "_before", CHUNK, TIE)
     )
 
 
