@@ -295,6 +295,9 @@ _view("donations", """
            CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'O' THEN 'success' ELSE 'cancelled' END AS status,
            SUBSTR(o_orderpriority, 3) AS campaign, n_name AS region
     FROM {orders} JOIN {customer} ON c_custkey = o_custkey JOIN {nation} ON n_nationkey = c_nationkey""")
+_view("gifts", """
+    SELECT event_id AS donation_id, user_id AS donor_id, ts AS donated_at, value AS amount, 'success' AS status
+    FROM {events} WHERE event_type = 'purchase'""")
 _view("attempts", """
     SELECT user_id AS donor_id, ts AS tried_at, CASE event_type WHEN 'error' THEN 'failed' ELSE 'success' END AS status
     FROM {events}""")

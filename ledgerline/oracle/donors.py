@@ -36,8 +36,8 @@ SQL = {
         COUNT(*) AS donations, {money(f"SUM({cents('amount')})")} AS money
         FROM (SELECT *, CAST(MIN(donated_at) OVER (PARTITION BY donor_id) AS DATE) AS first_day FROM donations)
         WHERE status = 'success' GROUP BY 1, 2""",
-    "don_outlier_money": using("donations", rest=f"""
-        p AS (SELECT {cents('amount')} AS c FROM donations WHERE status = 'success'),
+    "don_outlier_money": using("gifts", rest=f"""
+        p AS (SELECT {cents('amount')} AS c FROM gifts WHERE status = 'success'),
         q AS (SELECT quantile_cont(CAST(c AS DOUBLE), 0.25) AS q1, quantile_cont(CAST(c AS DOUBLE), 0.75) AS q3 FROM p),
         g AS (SELECT CASE WHEN c <= q3 + 1.5 * (q3 - q1) THEN 'typical' ELSE 'outstanding' END AS kind, COUNT(*) AS n,
                      SUM(c) AS c, MIN(c) AS lo, MAX(c) AS hi FROM p, q GROUP BY 1)""") + f"""

@@ -204,7 +204,7 @@ QUERIES = {
     "don_first_date_by_status": lambda t: first_date_by_status(t.donations),
     "don_burst": lambda t: worst_burst(t.attempts),
     "don_by_period": lambda t: by_quarter(t.donations, SINCE),
-    "don_outlier_money": lambda t: outlier_money(t.donations),
+    "don_outlier_money": lambda t: outlier_money(t.gifts),
     "don_region_share": lambda t: share_of_total(
         t.donations.groupBy("region").agg(F.count("*").alias("donations")), "donations", "share"
     ),
