@@ -318,6 +318,8 @@ _view("promos", """
 _NAME = re.compile(r"\{([a-z_]+)\}")
 _QUOTED = re.compile(r' AS "([^"{}]+)"')  # quoted names become back-ticked ones for Spark
 
+_SCHEMAS: dict = {}  # footers are read once per process and path
+
 
 def dependencies(sql: str) -> list[str]:
     return sorted(set(_NAME.findall(sql)))
@@ -330,16 +332,24 @@ class Bound:
         self.spark = spark
         self.sf_dir = sf_dir
 
+    def _scan(self, path: str) -> DataFrame:
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE:
-            return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        if name in VIEWS:
+            df = self._scan(f"{self.sf_dir}/{name}.parquet")
+        elif name in VIEWS:
             needed = dependencies(VIEWS[name])
             sql = _QUOTED.sub(r" AS `\1`", VIEWS[name]).replace("{", "{{").replace("}", "}}")
             for table in needed:
                 sql = sql.replace("{{" + table + "}}", "{" + table + "}")
-            return self.spark.sql(sql, **{d: getattr(self, d) for d in needed})
-        raise AttributeError(name)
+            df = self.spark.sql(sql, **{d: getattr(self, d) for d in needed})
+        else:
+            raise AttributeError(name)
+        self.__dict__[name] = df  # read footers and parse once per query
+        return df
 
 
 def view_sql(name: str) -> str:

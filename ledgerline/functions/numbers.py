@@ -27,6 +27,8 @@ def half_up(x: Column | str, digits: int = 0) -> Column:
 
 def half_even(x: Column | str, digits: int = 0) -> Column:
     """Round half to even, as dataframe libraries do; result is a double."""
+    if digits == 0:
+        return F.rint(col(x).cast("double"))
     return F.bround(col(x).cast(DecimalType(30, 12)), digits).cast("double")
 
 
@@ -46,5 +48,4 @@ def growth_percent(now: Column | str, before: Column | str, digits: int = 2) ->
 
 def try_number(text: Column | str, kind: str = "double") -> Column:
     """Decimal comma, blanks and stray letters repaired; unparsable text becomes null."""
-    kept = F.regexp_replace(F.translate(col(text), ",", "."), r"[^0-9.\-]", "")
-    return F.nullif(kept, F.lit("")).try_cast(kind)
+    return F.regexp_replace(F.translate(col(text), ",", "."), r"[^0-9.\-]", "").try_cast(kind)

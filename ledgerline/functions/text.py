@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -27,10 +28,19 @@ def bare_word(text: Column | str) -> Column:
     return F.regexp_replace(F.upper(col(text)), NON_WORD, "")
 
 
+def like_pattern(mask: str) -> str:
+    """A LIKE mask as a search pattern; outer percent signs leave the ends open."""
+    wild = {"%": ".*", "_": "."}
+    body = "".join(wild.get(c, re.escape(c)) for c in mask.strip("%"))
+    return ("" if mask.startswith("%") else "^") + body + ("" if mask.endswith("%") else "$")
+
+
 def matches_any(text: Column | str, masks: Sequence[str]) -> Column:
-    """1 when the cleaned text is LIKE one of the masks, else 0; null text gives 0."""
-    cleaned = spaced_words(text)
-    return reduce(lambda a, b: a | b, [cleaned.like(m) for m in masks]).cast("int")
+    """1 when the cleaned text is LIKE one of the masks, else 0; null text gives 0.
+
+    All masks form one pattern, so the text is cleaned and searched once per row.
+    """
+    return spaced_words(text).rlike("(?s)" + "|".join(like_pattern(m) for m in masks)).cast("int")
 
 
 def capitalize(text: Column | str) -> Column:

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.numbers import percent
 from ledgerline.functions.text import replace_whole
-from ledgerline.operators.ordered import mode, quantiles, row_numbers
+from ledgerline.operators.ordered import mode, modes, quantiles, row_numbers
 from ledgerline.operators.profile import null_shares
 from ledgerline.operators.relational import missing_members
 
@@ -98,6 +99,33 @@ def reconcile(df: DataFrame, analysis: DataFrame, column: str) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class ModeGate:
+    """When a group's mode may fill nulls: its percent of filled rows, and the percent of nulls."""
+
+    min_mode_percent: float = 60.0
+    max_null_percent: float | None = None
+
+
+def impute_modes(df: DataFrame, gates: Mapping[str, ModeGate], by: Sequence[str]) -> DataFrame:
+    """Fill nulls of several columns with their group's mode where the gate allows it.
+
+    The gate and the mode use the same key. All columns share one statistics pass and one join.
+    """
+    columns = list(gates)
+    stats = modes(df, columns, by)
+    nulls = F.col("obs_cnt") - F.col("value_cnt")
+    fills = []
+    for c, gate in gates.items():
+        allowed = (F.col("column") == c) & (percent("mode_cnt", "value_cnt", 1) >= gate.min_mode_percent)
+        if gate.max_null_percent is not None:
+            allowed = allowed & (percent(nulls, "obs_cnt", 1) <= gate.max_null_percent)
+        fills.append(F.max(F.when(allowed, F.col(f"best._v_{c}"))).alias(f"_fill_{c}"))
+    wide = stats.filter(nulls > 0).groupBy(*by).agg(*fills)
+    filled = {c: F.coalesce(F.col(c), F.col(f"_fill_{c}")) for c in columns}
+    return _by_key(df, wide, by).withColumns(filled).select(df.columns)
+
+
 def impute_mode(
     df: DataFrame,
     column: str,
@@ -105,20 +133,7 @@ def impute_mode(
     min_mode_percent: float = 60.0,
     max_null_percent: float | None = None,
 ) -> DataFrame:
-    """Fill nulls with the group's mode where the mode is common enough.
-
-    Optionally only where not more than ``max_null_percent`` of the group is null. The gate and
-    the mode use the same key.
-    """
-    gate = F.col("mode_perc") >= min_mode_percent
-    if max_null_percent is not None:
-        gate = gate & (F.col("null_perc") <= max_null_percent)
-    modes = null_analysis(df, column, by).filter(gate & (F.col("null_cnt") > 0)).select(*by, "mode_value")
-    return (
-        _by_key(df, modes, by)
-        .withColumn(column, F.coalesce(F.col(column), F.col("mode_value")))
-        .select(df.columns)
-    )
+    return impute_modes(df, {column: ModeGate(min_mode_percent, max_null_percent)}, by)
 
 
 def reclassify(df: DataFrame, member: str, column: str, classes: Mapping[str, Sequence[str]]) -> DataFrame:

@@ -117,34 +117,40 @@ def previous_value(df: DataFrame, keys: Sequence[str], order: str, out: str) ->
     )
 
 
-def quantiles(
-    df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = ()
-) -> DataFrame:
-    """Exact, linearly interpolated quantiles per group; nulls are skipped.
+def _same(keys: Sequence[str], prefix: str) -> Column:
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        same = F.col(k).eqNullSafe(F.col(f"{prefix}{k}"))
+        on = same if i == 0 else on & same
+    return on
+
+
+def value_ranks(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """Different values per group in order: ``cnt`` rows hold the value, ``upto`` rows are not above it.
 
-    Equal values are counted before anything is sorted; ranks come from ``cumulative``, so
-    neither one group nor one value ever sits in one task. ``n`` is the group's row count.
+    ``n`` is the group's number of non-null values. The table is written down on the way, so
+    quantiles, means and outlier counts can all be taken from it without reading ``df`` again.
+    Equal values are counted before anything is sorted, and ranks come from ``cumulative``: no
+    task ever holds a whole group.
     """
     by = list(by)
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    ranked = cumulative(counts, by, [value], "_n", "_upto")
-    if by:
-        size = ranked.groupBy(*by).agg(F.max("_upto").alias("n"))
-        right = size.select(*[F.col(k).alias(f"_s_{k}") for k in by], "n")
-        on = None
-        for k in by:
-            same = F.col(k).eqNullSafe(F.col(f"_s_{k}"))
-            on = same if on is None else on & same
-        ranked = ranked.join(right, on).drop(*[f"_s_{k}" for k in by])
-    else:
-        ranked = ranked.withColumn("n", ranked.agg(F.max("_upto")).scalar())
-    low_rank, high_rank = F.col("_upto") - F.col("_n"), F.col("_upto")
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("cnt"))
+    ranked = cumulative(counts, by, [value], "cnt", "upto")
+    if not by:
+        return ranked.withColumn("n", ranked.agg(F.max("upto")).scalar())
+    size = ranked.groupBy(*by).agg(F.max("upto").alias("n")).withColumnsRenamed({k: f"_s_{k}" for k in by})
+    return ranked.join(size, _same(by, "_s_")).drop(*[f"_s_{k}" for k in by])
+
+
+def rank_quantiles(ranked: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
+    """Linearly interpolated quantiles from the result of ``value_ranks``."""
     picks = []
     for name, p in probs.items():
         position = F.lit(float(p)) * (F.col("n") - 1)
         below, above = F.floor(position), F.ceil(position)
-        hit_below = (low_rank <= below) & (below < high_rank)
-        hit_above = (low_rank <= above) & (above < high_rank)
+        starts = F.col("upto") - F.col("cnt")
+        hit_below = (starts <= below) & (below < F.col("upto"))
+        hit_above = (starts <= above) & (above < F.col("upto"))
         picks += [
             F.max(F.when(hit_below, F.col(value).cast("double"))).alias(f"_lo_{name}"),
             F.max(F.when(hit_above, F.col(value).cast("double"))).alias(f"_hi_{name}"),
@@ -158,19 +164,43 @@ def quantiles(
     return found.select(*by, "n", *result)
 
 
-def mode(df: DataFrame, value: str, by: Sequence[str], out: str = "mode") -> DataFrame:
-    """Most frequent non-null value per group, the smallest one on ties.
+def quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
+    """Exact, linearly interpolated quantiles per group; nulls are skipped."""
+    return rank_quantiles(value_ranks(df, value, by), value, probs, by)
 
-    Gives ``out``, its count ``mode_cnt``, the non-null count ``value_cnt`` and all rows
-    ``obs_cnt``. Only (group, value) counts are shuffled to the second step.
+
+def modes(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """Most frequent non-null value of each column per group, the smallest one on ties.
+
+    One row per (group, ``column``) with a field per column in ``best``, the mode's count
+    ``mode_cnt``, the non-null count ``value_cnt`` and all rows ``obs_cnt``. The rows are read
+    once for all columns, and only (group, column, value) counts go to the second step.
     """
-    counts = df.groupBy(*by, value).agg(F.count("*").alias("_n"))
-    best = F.min(F.when(F.col(value).isNotNull(), F.struct((-F.col("_n")).alias("n"), F.col(value).alias("v"))))
-    grouped = counts.groupBy(*by).agg(
-        best.alias("_best"),
-        F.sum(F.when(F.col(value).isNotNull(), F.col("_n")).otherwise(0)).alias("value_cnt"),
+    types = dict(df.select(*columns).dtypes)
+    parts = [
+        F.struct(
+            F.lit(c).alias("column"),
+            *[(F.col(o) if o == c else F.lit(None).cast(types[o])).alias(f"_v_{o}") for o in columns],
+        )
+        for c in columns
+    ]
+    values = [f"_v_{c}" for c in columns]
+    long = df.select(*by, F.explode(F.array(*parts)).alias("_p")).select(*by, "_p.*")
+    counts = long.groupBy(*by, "column", *values).agg(F.count("*").alias("_n"))
+    filled = F.lit(False)
+    for v in values:
+        filled = filled | F.col(v).isNotNull()
+    best = F.min(F.when(filled, F.struct((-F.col("_n")).alias("n"), *values)))
+    grouped = counts.groupBy(*by, "column").agg(
+        best.alias("best"),
+        F.sum(F.when(filled, F.col("_n")).otherwise(0)).alias("value_cnt"),
         F.sum("_n").alias("obs_cnt"),
     )
-    return grouped.select(
-        *by, F.col("_best.v").alias(out), (-F.col("_best.n")).alias("mode_cnt"), "value_cnt", "obs_cnt"
+    return grouped.withColumn("mode_cnt", -F.col("best.n"))
+
+
+def mode(df: DataFrame, value: str, by: Sequence[str], out: str = "mode") -> DataFrame:
+    """``modes`` for one column, flat."""
+    return modes(df, [value], by).select(
+        *by, F.col(f"best._v_{value}").alias(out), "mode_cnt", "value_cnt", "obs_cnt"
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.numbers import half_up, percent, ratio
-from ledgerline.operators.ordered import quantiles
+from ledgerline.operators.ordered import rank_quantiles, value_ranks
 
 
 def long_form(df: DataFrame, columns: Sequence[str], kind: str, by: Sequence[str] = ()) -> DataFrame:
@@ -93,19 +93,33 @@ def before_after(before: DataFrame, after: DataFrame, columns: Sequence[str]) ->
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
 
+def _weighted(value: str = "value") -> dict[str, Column]:
+    """Aggregates of all rows from (value, cnt) rows."""
+    v, w = F.col(value).cast("double"), F.col("cnt")
+    return {"cnt": F.sum(w), "sum": F.sum(v * w), "mean": F.sum(v * w) / F.sum(w)}
+
+
 def describe(df: DataFrame, columns: Sequence[str], digits: int = 4) -> DataFrame:
-    """Count, mean, deviation, extremes and exact quartiles of numeric columns."""
-    rows = long_form(df, columns, "double").filter(F.col("value").isNotNull())
-    basic = rows.groupBy("column").agg(
-        F.count("value").alias("cnt"),
-        half_up(F.avg("value"), digits).alias("mean"),
-        half_up(F.stddev_samp("value"), digits).alias("std"),
+    """Count, mean, deviation, extremes and exact quartiles of numeric columns, one pass over the rows."""
+    ranks = value_ranks(long_form(df, columns, "double"), "value", ["column"])
+    basic = ranks.groupBy("column").agg(
+        F.sum("cnt").alias("cnt"),
+        _weighted()["mean"].alias("mean"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),
     )
-    quarts = quantiles(rows, "value", QUARTILES, ["column"]).drop("n")
-    rounded = quarts.select("column", *[half_up(q, digits).alias(q) for q in QUARTILES])
-    return basic.join(rounded, "column")
+    quarts = rank_quantiles(ranks, "value", QUARTILES, ["column"]).drop("n")
+    # one row per listed column, joined to the different values to measure the spread
+    centre = F.broadcast(basic.select("column", "mean"))
+    spread = ranks.join(centre, "column").groupBy("column").agg(
+        F.sqrt(
+            F.sum(F.col("cnt") * (F.col("value") - F.col("mean")) * (F.col("value") - F.col("mean")))
+            / F.nullif(F.sum("cnt") - 1, F.lit(0))
+        ).alias("std")
+    )
+    return basic.join(spread, "column").join(quarts, "column").select(
+        "column", "cnt", "min", "max", *[half_up(c, digits).alias(c) for c in ("mean", "std", *QUARTILES)]
+    )
 
 
 def fences(quarts: DataFrame) -> DataFrame:
@@ -116,18 +130,19 @@ def fences(quarts: DataFrame) -> DataFrame:
 
 
 def iqr_report(df: DataFrame, columns: Sequence[str], digits: int = 4) -> DataFrame:
-    """Mean, median, upper fence and share of values up to the fence, all columns at once."""
-    rows = long_form(df, columns, "double").filter(F.col("value").isNotNull())
-    limits = fences(quantiles(rows, "value", QUARTILES, ["column"])).drop("n")
-    judged = rows.join(F.broadcast(limits), "column")  # one row per listed column
-    # the share is taken of all values; outliers are the values above the fence
+    """Mean, median, fences and share of values up to the upper fence, all columns in one pass.
+
+    The share is taken of all values; outliers are the values above the fence.
+    """
+    ranks = value_ranks(long_form(df, columns, "double"), "value", ["column"])
+    limits = fences(rank_quantiles(ranks, "value", QUARTILES, ["column"])).drop("n")
+    judged = ranks.join(F.broadcast(limits), "column")  # one row per listed column
+    normal = F.sum(F.when(F.col("value") <= F.col("upper_bound"), F.col("cnt")).otherwise(0))
     return judged.groupBy("column").agg(
-        half_up(F.avg("value"), digits).alias("mean"),
-        half_up(F.max("median"), digits).alias("median"),
-        half_up(F.max("lower_bound"), digits).alias("lower_bound"),
-        half_up(F.max("upper_bound"), digits).alias("upper_bound"),
-        F.count_if(F.col("value") <= F.col("upper_bound")).alias("normal_cnt"),
-        percent(F.count_if(F.col("value") <= F.col("upper_bound")), F.count("value"), 1).alias("normal_percent"),
+        half_up(_weighted()["mean"], digits).alias("mean"),
+        *[half_up(F.max(c), digits).alias(c) for c in ("median", "lower_bound", "upper_bound")],
+        normal.alias("normal_cnt"),
+        percent(normal, F.sum("cnt"), 1).alias("normal_percent"),
     )
 
 
@@ -135,17 +150,18 @@ def box_stats(df: DataFrame, value: str, by: Sequence[str], digits: int = 4) ->
     """Quartiles, whisker ends and outlier count per group; null groups are dropped."""
     by = list(by)
     rows = df.na.drop(subset=[*by, value]).select(*by, F.col(value).cast("double").alias("value"))
-    limits = fences(quantiles(rows, "value", QUARTILES, by))
+    ranks = value_ranks(rows, "value", by)
+    limits = fences(rank_quantiles(ranks, "value", QUARTILES, by)).drop("n")
     inside = F.col("value").between(F.col("lower_bound"), F.col("upper_bound"))
     return (
-        rows.join(limits, by)
+        ranks.join(limits, by)
         .groupBy(*by)
         .agg(
-            F.count("*").alias("cnt"),
+            F.sum("cnt").alias("cnt"),
             *[half_up(F.max(q), digits).alias(q) for q in QUARTILES],
             half_up(F.min(F.when(inside, F.col("value"))), digits).alias("whisker_low"),
             half_up(F.max(F.when(inside, F.col("value"))), digits).alias("whisker_high"),
-            F.count_if(~inside).alias("outlier_cnt"),
+            F.sum(F.when(~inside, F.col("cnt")).otherwise(0)).alias("outlier_cnt"),
         )
     )
 
@@ -164,15 +180,16 @@ def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) ->
 
 
 def group_stats(df: DataFrame, value: str, by: Sequence[str], total: bool = False, digits: int = 4) -> DataFrame:
-    """Count, mean, exact median (and sum) per group; null groups are dropped, as pivots do."""
+    """Count, mean, exact median (and sum) per group in one pass; null groups are dropped, as pivots do."""
     by = list(by)
-    rows = df.na.drop(subset=by)
-    extra = [half_up(F.sum(value), digits).alias("sum")] if total else []
-    basic = rows.groupBy(*by).agg(
-        F.count(value).alias("cnt"), half_up(F.avg(value), digits).alias("mean"), *extra
+    ranks = value_ranks(df.na.drop(subset=by), value, by)
+    sums = _weighted(value)
+    extra = [half_up(sums["sum"], digits).alias("sum")] if total else []
+    basic = ranks.groupBy(*by).agg(
+        sums["cnt"].alias("cnt"), half_up(sums["mean"], digits).alias("mean"), *extra
     )
-    middle = quantiles(rows, value, {"median": 0.5}, by)
-    return basic.join(middle.select(*by, half_up("median", digits).alias("median")), by, "left")
+    middle = rank_quantiles(ranks, value, {"median": 0.5}, by)
+    return basic.join(middle.select(*by, half_up("median", digits).alias("median")), by)
 
 
 def correlation(x: str, y: str, digits: int = 6) -> Column:

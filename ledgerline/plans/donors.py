@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.numbers import cents, from_cents, half_up, percent, ratio
 from ledgerline.functions.text import band
-from ledgerline.operators.ordered import quantiles, row_numbers
+from ledgerline.operators.ordered import quantiles, rank_quantiles, row_numbers, value_ranks
 from ledgerline.operators.profile import QUARTILES, fences
 from ledgerline.operators.relational import keep_matching, share_of_total, top_k, whole
 
@@ -71,10 +71,14 @@ def by_quarter(donations: DataFrame, since: str) -> DataFrame:
 def outlier_money(donations: DataFrame) -> DataFrame:
     """Typical and outstanding donations: range, count and share of the money."""
     paid = donations.filter(F.col("status") == SUCCESS).select(cents("amount").alias("c"))
-    limit = fences(quantiles(paid, "c", QUARTILES)).select("upper_bound").scalar()
+    ranks = value_ranks(paid, "c")
+    limit = fences(rank_quantiles(ranks, "c", QUARTILES)).select("upper_bound").scalar()
     kind = F.when(F.col("c") <= limit, "typical").otherwise("outstanding")
-    groups = paid.groupBy(kind.alias("kind")).agg(
-        F.count("*").alias("donations"), F.sum("c").alias("c"), F.min("c").alias("lo"), F.max("c").alias("hi")
+    groups = ranks.groupBy(kind.alias("kind")).agg(
+        F.sum("cnt").alias("donations"),
+        F.sum(F.col("c") * F.col("cnt")).alias("c"),
+        F.min("c").alias("lo"),
+        F.max("c").alias("hi"),
     )
     return groups.select(
         "kind",
