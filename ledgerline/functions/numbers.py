@@ -47,5 +47,11 @@ def growth_percent(now: Column | str, before: Column | str, digits: int = 2) ->
 
 
 def try_number(text: Column | str, kind: str = "double") -> Column:
-    """Decimal comma, blanks and stray letters repaired; unparsable text becomes null."""
-    return F.regexp_replace(F.translate(col(text), ",", "."), r"[^0-9.\-]", "").try_cast(kind)
+    """Decimal comma, blanks and stray letters repaired; unparsable text becomes null.
+
+    The pattern is only run on texts that do not read as a number at once.
+    """
+    plain = F.translate(col(text), ",", ".")
+    repaired = F.regexp_replace(plain, r"[^0-9.\-]", "")
+    number = F.coalesce(plain.try_cast(kind), repaired.try_cast(kind))
+    return F.nullif(number, F.lit(float("nan"))) if kind == "double" else number

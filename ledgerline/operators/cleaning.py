@@ -145,8 +145,9 @@ def reclassify(df: DataFrame, member: str, column: str, classes: Mapping[str, Se
 
 def unknown_members(df: DataFrame, member: str, classes: Mapping[str, Sequence[str]]) -> DataFrame:
     """Listed members that the data never mentions: likely typing errors in the list."""
-    listed = [(m,) for members in classes.values() for m in members]
-    return missing_members(df.sparkSession.createDataFrame(listed, f"{member} string"), df, member)
+    listed = [F.lit(m) for members in classes.values() for m in members]
+    members = df.sparkSession.range(1).select(F.explode(F.array(*listed)).alias(member))
+    return missing_members(members, df, member)
 
 
 def class_audit(before: DataFrame, after: DataFrame, member: str, column: str) -> DataFrame:

@@ -14,6 +14,8 @@ RUNTIME = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # HotSpot does not compile methods above 8000 bytes; fall back to split code instead
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.session.timeZone": "UTC",
 }
 
@@ -41,16 +43,17 @@ def local_session(cores: str = "*", app: str = "ledgerline") -> SparkSession:
     return tune(spark)
 
 
-def _checkpoint_dir(spark: SparkSession) -> None:
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder the cluster names; a temporary one only on a single machine."""
     context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder every executor can reach")
-        shared = tempfile.mkdtemp(prefix="ledgerline-checkpoint-")
-    context.setCheckpointDir(shared)
+    if not context.getCheckpointDir():
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None:
+            if not context.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder every executor can reach")
+            shared = tempfile.mkdtemp(prefix="ledgerline-checkpoint-")
+        context.setCheckpointDir(shared)
+    return context.getCheckpointDir()
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -59,5 +62,5 @@ def durable(df: DataFrame) -> DataFrame:
     Used where two consumers must see the very same rows (for example rows tagged with
     their partition number), also after an executor is lost.
     """
-    _checkpoint_dir(df.sparkSession)
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
