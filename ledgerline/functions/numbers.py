@@ -54,4 +54,4 @@ def try_number(text: Column | str, kind: str = "double") -> Column:
     plain = F.translate(col(text), ",", ".")
     repaired = F.regexp_replace(plain, r"[^0-9.\-]", "")
     number = F.coalesce(plain.try_cast(kind), repaired.try_cast(kind))
-    return F.nullif(number, F.lit(float("nan"))) if kind == "double" else number
+    return F.nanvl(number, F.lit(None).cast("double")) if kind == "double" else number

@@ -174,7 +174,7 @@ def modes(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame
 
     One row per (group, ``column``) with a field per column in ``best``, the mode's count
     ``mode_cnt``, the non-null count ``value_cnt`` and all rows ``obs_cnt``. The rows are read
-    once for all columns, and only (group, column, value) counts go to the second step.
+    once and combined to counts of value combinations before anything is shuffled or unfolded.
     """
     types = dict(df.select(*columns).dtypes)
     parts = [
@@ -185,8 +185,9 @@ def modes(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame
         for c in columns
     ]
     values = [f"_v_{c}" for c in columns]
-    long = df.select(*by, F.explode(F.array(*parts)).alias("_p")).select(*by, "_p.*")
-    counts = long.groupBy(*by, "column", *values).agg(F.count("*").alias("_n"))
+    joint = df.groupBy(*by, *columns).agg(F.count("*").alias("_rows"))
+    long = joint.select(*by, "_rows", F.explode(F.array(*parts)).alias("_p")).select(*by, "_rows", "_p.*")
+    counts = long.groupBy(*by, "column", *values).agg(F.sum("_rows").alias("_n"))
     filled = F.lit(False)
     for v in values:
         filled = filled | F.col(v).isNotNull()

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.numbers import half_even, half_up, percent, ratio, try_number
-from ledgerline.functions.text import band, capitalize, replace_whole
+from ledgerline.functions.text import band, capitalize
 from ledgerline.operators.cleaning import (
     ModeGate,
     canonicalize,
@@ -71,10 +71,8 @@ def canonical(cars: DataFrame) -> DataFrame:
             F.col("engine_displacement_l")
         ),
     )
-    fuel = F.translate(capitalize("fuel_type"), " ", "")
-    spelled = moved.withColumn(
-        "fuel_type", replace_whole(fuel, {"Электро": ELECTRIC, "2": PETROL, "1,6": PETROL, "0": PETROL})
-    )
+    compact = moved.withColumn("fuel_type", F.translate(capitalize("fuel_type"), " ", ""))
+    spelled = canonicalize(compact, "fuel_type", {ELECTRIC: ["Электро"], PETROL: ["2", "1,6", "0"]})
     companies = {"Astana Motors": ["ТОО Astana Motors", "Astana  Motors", "astana motors"]}
     named = canonicalize(spelled, "company", companies, NO_VALUE)
     named = canonicalize(named, "manufacturing_country", COUNTRIES)

@@ -66,20 +66,21 @@ PART_RULES = [
 EARLIEST, LATEST = "1677-09-22", "2262-04-11"
 
 
-def construction_date(text: str) -> Column:
-    """Lower-cased but for Roman numerals, one spelling per date; the text 'nan' is null."""
-    lowered = F.nullif(lower_except(text, ROMAN), F.lit("nan"))
-    result = replace_whole(lowered, {v: canon for canon, vs in SPELLINGS.items() for v in vs})
+def normalized(register: DataFrame, column: str = "construction_date") -> DataFrame:
+    """Lower-cased but for Roman numerals, one spelling per date; the text 'nan' is null.
+
+    Separate steps, so that no step's expression is repeated inside the next one.
+    """
+    known: dict[str, str | None] = {v: canon for canon, vs in SPELLINGS.items() for v in vs}
+    lowered = register.withColumn(column, lower_except(column, ROMAN))
+    spelled = lowered.withColumn(column, replace_whole(column, {**known, "nan": None}))
+    result = F.col(column)
     for pattern, replacement, is_regex in PART_RULES:
         if is_regex:
             result = F.regexp_replace(result, pattern, replacement)
         else:
             result = F.replace(result, F.lit(pattern), F.lit(replacement))
-    return F.btrim(result, F.lit(" "))
-
-
-def normalized(register: DataFrame) -> DataFrame:
-    return register.withColumn("construction_date", construction_date("construction_date"))
+    return spelled.withColumn(column, F.btrim(result, F.lit(" ")))
 
 
 def coerced_date(text: str) -> Column:

@@ -36,6 +36,7 @@ def local_session(cores: str = "*", app: str = "ledgerline") -> SparkSession:
         .config("spark.driver.memory", os.environ.get("LEDGERLINE_DRIVER_MEMORY", "8g"))
         .config("spark.sql.shuffle.partitions", str(n))
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
