@@ -49,9 +49,7 @@ def growth_percent(now: Column | str, before: Column | str, digits: int = 2) ->
 def try_number(text: Column | str, kind: str = "double") -> Column:
     """Decimal comma, blanks and stray letters repaired; unparsable text becomes null.
 
-    The pattern is only run on texts that do not read as a number at once.
+    Texts are repaired before the cast, as every failing cast costs an exception.
     """
-    plain = F.translate(col(text), ",", ".")
-    repaired = F.regexp_replace(plain, r"[^0-9.\-]", "")
-    number = F.coalesce(plain.try_cast(kind), repaired.try_cast(kind))
-    return F.nanvl(number, F.lit(None).cast("double")) if kind == "double" else number
+    repaired = F.regexp_replace(F.translate(col(text), ",", "."), r"[^0-9.\-]", "")
+    return F.nullif(repaired, F.lit("")).try_cast(kind)
