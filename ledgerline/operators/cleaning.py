@@ -12,7 +12,7 @@ from ledgerline.functions.numbers import percent
 from ledgerline.functions.text import replace_whole
 from ledgerline.operators.ordered import mode, modes, quantiles, row_numbers
 from ledgerline.operators.profile import null_shares
-from ledgerline.operators.relational import missing_members
+from ledgerline.operators.relational import join_back, missing_members
 
 
 def normalize_columns(df: DataFrame, mapping: Mapping[str, str] | None = None) -> DataFrame:
@@ -55,21 +55,11 @@ def canonicalize_by_table(df: DataFrame, column: str, synonyms: DataFrame) -> Da
     )
 
 
-def _by_key(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join in which null keys meet null keys."""
-    right = other.withColumnsRenamed({k: f"_k_{k}" for k in keys})
-    on = None
-    for k in keys:
-        same = F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-        on = same if on is None else on & same
-    return df.join(right, on, "left").drop(*[f"_k_{k}" for k in keys])
-
-
 def impute_median(df: DataFrame, column: str, by: Sequence[str]) -> DataFrame:
     """Fill nulls with the exact median of the row's group."""
     medians = quantiles(df, column, {"_median": 0.5}, by).select(*by, "_median")
     return (
-        _by_key(df, medians, by)
+        join_back(df, medians, by)
         .withColumn(column, F.coalesce(F.col(column).cast("double"), "_median"))
         .select(df.columns)
     )
@@ -123,7 +113,7 @@ def impute_modes(df: DataFrame, gates: Mapping[str, ModeGate], by: Sequence[str]
         fills.append(F.max(F.when(allowed, F.col(f"best._v_{c}"))).alias(f"_fill_{c}"))
     wide = stats.filter(nulls > 0).groupBy(*by).agg(*fills)
     filled = {c: F.coalesce(F.col(c), F.col(f"_fill_{c}")) for c in columns}
-    return _by_key(df, wide, by).withColumns(filled).select(df.columns)
+    return join_back(df, wide, by).withColumns(filled).select(df.columns)
 
 
 def impute_mode(

@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.operators.relational import join_back
 from ledgerline.session import durable
 
 CHUNK = "_chunk"
@@ -82,7 +83,7 @@ def running_sum(
     """``SUM(value) OVER (PARTITION BY keys ORDER BY order)``: peers share one total."""
     peers = df.groupBy(*keys, order).agg(F.sum(value).alias("_peer_sum"))
     sums = cumulative(peers, keys, [order], "_peer_sum", out).drop("_peer_sum")
-    return df.join(sums, [*keys, order])
+    return join_back(df, sums, [*keys, order])
 
 
 def row_numbers(
@@ -117,14 +118,6 @@ def previous_value(df: DataFrame, keys: Sequence[str], order: str, out: str) ->
     )
 
 
-def _same(keys: Sequence[str], prefix: str) -> Column:
-    on = F.lit(True)
-    for i, k in enumerate(keys):
-        same = F.col(k).eqNullSafe(F.col(f"{prefix}{k}"))
-        on = same if i == 0 else on & same
-    return on
-
-
 def value_ranks(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Different values per group in order: ``cnt`` rows hold the value, ``upto`` rows are not above it.
 
@@ -138,8 +131,7 @@ def value_ranks(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     ranked = cumulative(counts, by, [value], "cnt", "upto")
     if not by:
         return ranked.withColumn("n", ranked.agg(F.max("upto")).scalar())
-    size = ranked.groupBy(*by).agg(F.max("upto").alias("n")).withColumnsRenamed({k: f"_s_{k}" for k in by})
-    return ranked.join(size, _same(by, "_s_")).drop(*[f"_s_{k}" for k in by])
+    return join_back(ranked, ranked.groupBy(*by).agg(F.max("upto").alias("n")), by)
 
 
 def rank_quantiles(ranked: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = ()) -> DataFrame:

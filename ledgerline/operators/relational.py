@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,16 @@ def drop_matching(df: DataFrame, keys: DataFrame, *on: str) -> DataFrame:
     return left.join(keys.select(*on).na.drop().distinct(), list(on), "left_anti")
 
 
+def join_back(df: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join per-group results to their rows; null keys form a group of their own, as in windows."""
+    right = stats.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        same = F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+        on = same if i == 0 else on & same
+    return df.join(right, on, how).drop(*[f"_k_{k}" for k in keys])
+
+
 def missing_members(members: DataFrame, table: DataFrame, column: str) -> DataFrame:
     """Listed members that never occur in the table: the typo check for member lists."""
     return drop_matching(members.select(column).distinct(), table, column)

@@ -10,6 +10,7 @@ from ledgerline.operators.ordered import previous_value
 from ledgerline.operators.relational import (
     drop_matching,
     first_day,
+    join_back,
     join_days,
     keep_matching,
     previous,
@@ -32,7 +33,7 @@ def committed(user_actions: DataFrame) -> DataFrame:
 
 def newcomers(actions: DataFrame, who: str, new: str, total: str) -> DataFrame:
     """First-time actors per day and the running total of them."""
-    per_day = first_day(actions, who, out="date").groupBy("date").agg(F.count("*").alias(new))
+    per_day = first_day(actions, who, out="date").groupBy("date").agg(F.count(who).alias(new))
     return per_day.withColumn(total, running_total(new))
 
 
@@ -90,6 +91,7 @@ def single_or_several(user_actions: DataFrame) -> DataFrame:
     """Share of the day's payers with one and with more orders, from one user-day table."""
     user_days = (
         committed(user_actions)
+        .filter(F.col("user_id").isNotNull())
         .groupBy(F.to_date("time").alias("date"), "user_id")
         .agg(F.count("order_id").alias("orders"))
     )
@@ -122,11 +124,11 @@ def first_orders(user_actions: DataFrame) -> DataFrame:
         user_days.groupBy("user_id")
         .agg(F.min("date").alias("date"))
         .groupBy("date")
-        .agg(F.count("*").alias("first_orders"))
+        .agg(F.count("user_id").alias("first_orders"))
     )
     arrivals = first_day(user_actions, "user_id", out="date")
     fresh = (
-        user_days.join(arrivals, ["user_id", "date"])
+        join_back(user_days, arrivals, ["user_id", "date"], "inner")
         .groupBy("date")
         .agg(F.sum("orders").alias("new_users_orders"))
     )

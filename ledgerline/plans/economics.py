@@ -20,6 +20,7 @@ from ledgerline.functions.numbers import (
 from ledgerline.operators.relational import (
     drop_matching,
     first_day,
+    join_back,
     join_days,
     keep_matching,
     previous,
@@ -182,7 +183,7 @@ def new_user_revenue(user_actions: DataFrame, priced: DataFrame) -> DataFrame:
         .agg(F.sum(F.col("n") * F.col("order_cents")).alias("cents"))
     )
     fresh = (
-        user_days.join(first_day(user_actions, "user_id", out="date"), ["user_id", "date"])
+        join_back(user_days, first_day(user_actions, "user_id", out="date"), ["user_id", "date"], "inner")
         .groupBy("date")
         .agg(F.sum("cents").alias("new_cents"))
     )

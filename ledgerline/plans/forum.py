@@ -7,7 +7,14 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.numbers import growth_percent, half_up, ratio
 from ledgerline.operators.ordered import row_numbers, running_sum
-from ledgerline.operators.relational import drop_matching, keep_matching, previous, running_total, top_k
+from ledgerline.operators.relational import (
+    drop_matching,
+    join_back,
+    keep_matching,
+    previous,
+    running_total,
+    top_k,
+)
 
 
 def _day(column: str) -> Column:
@@ -78,7 +85,7 @@ def average_score(posts: DataFrame) -> DataFrame:
     """Each scored, titled post beside its author's rounded mean score."""
     scored = posts.filter(F.col("title").isNotNull() & (F.col("score") != 0))
     means = scored.groupBy("user_id").agg(half_up(ratio(F.sum("score"), F.count("*"))).alias("avg_score"))
-    return scored.join(means, "user_id").select("title", "user_id", "score", "avg_score")
+    return join_back(scored, means, ["user_id"]).select("title", "user_id", "score", "avg_score")
 
 
 def titles_of_badge_leaders(posts: DataFrame, badges: DataFrame, more_than: int = 1000) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import jsontext, numbers, text
 from ledgerline.operators import cleaning, profile, relational
-from ledgerline.plans import cars, credit, economics, flats, forum, heritage
+from ledgerline.plans import cars, credit, delivery, economics, flats, forum, heritage
 
 D = dt.datetime
 
@@ -74,6 +74,23 @@ def test_bonus_needs_five_deliveries_and_known_month(spark):
     assert got == [(dt.date(2022, 9, 1), 150000.0 + 5 * 115 + 5 * 150 + 500), (dt.date(2022, 10, 1), None)]
 
 
+def test_rows_without_user_keep_their_place(spark):
+    posts = spark.createDataFrame(
+        [("a", None, 4, D(2024, 1, 1)), ("b", None, 5, D(2024, 1, 2)), ("c", 1, 7, D(2024, 1, 1))],
+        "title string, user_id int, score int, creation_date timestamp",
+    ).withColumn("views_count", F.col("score"))
+    assert rows(forum.average_score(posts), "title", "avg_score") == [("a", 5.0), ("b", 5.0), ("c", 7.0)]
+    assert rows(forum.cumulative_views(posts), "user_id", "cum_sum") == [(1, 7), (None, 4), (None, 9)]
+    actions = spark.createDataFrame(
+        [(None, 1, "create_order", D(2024, 1, 1)), (5, 2, "create_order", D(2024, 1, 1)), (5, 3, "create_order", D(2024, 1, 1)),
+         (6, 4, "create_order", D(2024, 1, 1))],
+        "user_id int, order_id int, action string, time timestamp",
+    )
+    assert rows(delivery.newcomers(actions, "user_id", "new", "total"), "new", "total") == [(2, 2)]
+    assert rows(delivery.single_or_several(actions), "single_order_users_share") == [(50.0,)]
+    assert rows(delivery.first_orders(actions), "orders", "first_orders", "new_users_orders") == [(4, 2, 4)]
+
+
 def test_rounding_rules(spark):
     x = F.col("x")
     assert values(spark, numbers.half_up(x), 0.5, 1.5, 2.5, -0.5, kind="double") == [1.0, 2.0, 3.0, -1.0]
