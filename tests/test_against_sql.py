@@ -7,10 +7,11 @@ import pytest
 
 import __spark_entry__ as entry
 from ledgerline.bindings import BASE
+from ledgerline.registry import all_queries, all_sql
 from tools.check import same_kind, table
 
 SF = os.environ.get("LEDGERLINE_TEST_SF", "/root/testdata/sf0.001")
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = all_queries(), all_sql()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 
