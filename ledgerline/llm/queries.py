@@ -2,24 +2,46 @@
 
 from __future__ import annotations
 
+import functools
+import json
 from collections.abc import Callable
+from pathlib import Path
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import decontamination, language, simhash, substring
+from ledgerline.llm import decontamination, language, packing, simhash, substring, token_counts
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Where the vocabulary file lies; the file itself is not part of this package.
+VOCABULARY = "byte_bpe_50k.json"
+
+
+@functools.cache
+def vocabulary(name: str = VOCABULARY) -> str:
+    return Path(public_tokenizers.path(name)).read_text(encoding="utf-8")
+
+
+def op1_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    separator = next(t["id"] for t in json.loads(vocabulary())["added_tokens"] if t["content"] == "<|endoftext|>")
+    return token_counts.count_tokens(read(spark, sf_dir, "documents"), vocabulary(), separator)
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents")).select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
+def op3_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), vocabulary())
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """Documents that no model may learn from: a third, by the checksum of the id as text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % 3 == 1
@@ -59,7 +81,15 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_simhash_near_dedup, op7_nearest_centroid_language, op9_winnowed_decontamination, op10_substring_dedup)
+    f.__name__: f
+    for f in (
+        op1_separator_scan,
+        op2_simhash_near_dedup,
+        op3_cutting_stock_packing,
+        op7_nearest_centroid_language,
+        op9_winnowed_decontamination,
+        op10_substring_dedup,
+    )
 }
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
