@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import decontamination, language, packing, simhash, substring, token_counts
+from ledgerline.llm import decontamination, fingerprints, language, packing, simhash, substring, token_counts
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op3_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), vocabulary())
 
 
+def op6_winnowing_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_likeness(read(spark, sf_dir, "documents"))
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """Documents that no model may learn from: a third, by the checksum of the id as text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % 3 == 1
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_separator_scan,
         op2_simhash_near_dedup,
         op3_cutting_stock_packing,
+        op6_winnowing_fingerprints,
         op7_nearest_centroid_language,
         op9_winnowed_decontamination,
         op10_substring_dedup,
