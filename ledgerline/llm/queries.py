@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import decontamination, fingerprints, language, packing, simhash, substring, token_counts
+from ledgerline.llm import decontamination, fingerprints, language, packing, simhash, substring, token_counts, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -27,6 +27,11 @@ def vocabulary(name: str = VOCABULARY) -> str:
     return Path(public_tokenizers.path(name)).read_text(encoding="utf-8")
 
 
+def held_out(doc_id: str = "doc_id") -> Column:
+    """Documents that no model may learn from: a third, by the checksum of the id as text."""
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % 3 == 1
+
+
 def op1_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     separator = next(t["id"] for t in json.loads(vocabulary())["added_tokens"] if t["content"] == "<|endoftext|>")
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), vocabulary(), separator)
@@ -42,13 +47,16 @@ def op3_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), vocabulary())
 
 
-def op6_winnowing_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.edited_likeness(read(spark, sf_dir, "documents"))
+def op4_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = toxicity.fit(docs.filter(~held_out()), labels)
+    return toxicity.score(docs, model).select(
+        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
 
 
-def held_out(doc_id: str = "doc_id") -> Column:
-    """Documents that no model may learn from: a third, by the checksum of the id as text."""
-    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % 3 == 1
+def op6_winnowing_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_likeness(read(spark, sf_dir, "documents"))
 
 
 def op7_nearest_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_separator_scan,
         op2_simhash_near_dedup,
         op3_cutting_stock_packing,
+        op4_toxicity_grammar,
         op6_winnowing_fingerprints,
         op7_nearest_centroid_language,
         op9_winnowed_decontamination,
