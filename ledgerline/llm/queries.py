@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import decontamination, fingerprints, language, packing, simhash, substring, token_counts, toxicity
+from ledgerline.llm import decontamination, fingerprints, language, packing, simhash, substring, token_counts, toxicity, urls, wrappers
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -55,6 +55,28 @@ def op4_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Rules of the query: verdict, host, start of the path.
+URL_RULES = [
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
+
+
+def op5_association_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page shows the document whose number ends its path; the labels of that document are the page's."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    number = F.regexp_extract(urls.path_of(F.col("url")), r"/(\d{1,18})(?:[./][^/]*)?$", 1)
+    shown = pages.withColumn("doc_id", number.try_cast("long"))
+    labels = read(spark, sf_dir, "labels").select(
+        "doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("unwanted")
+    )
+    mined = urls.mine(shown.join(labels, "doc_id"), "url", "unwanted")
+    return urls.judge(pages, mined, URL_RULES)
+
+
 def op6_winnowing_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_likeness(read(spark, sf_dir, "documents"))
 
@@ -71,6 +93,11 @@ def op7_nearest_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op8_wrapper_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    return wrappers.extract(pages, wrappers.infer(pages)).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op9_winnowed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaks = decontamination.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["n"])
@@ -99,8 +126,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_simhash_near_dedup,
         op3_cutting_stock_packing,
         op4_toxicity_grammar,
+        op5_association_url_filter,
         op6_winnowing_fingerprints,
         op7_nearest_centroid_language,
+        op8_wrapper_extraction,
         op9_winnowed_decontamination,
         op10_substring_dedup,
     )
