@@ -79,17 +79,22 @@ def _fingerprints(size: int):
             for part in slices(batch, "text"):
                 words = Words(*flat(part.column("text")), FOLDED)
                 found = majority_bits(*shingle_hashes(words, size), part.num_rows)
-                yield pa.record_batch([part.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fingerprint"])
+                yield pa.record_batch(
+                    [part.column("doc_id"), part.column("text_key"), pa.array(found.view(np.int64))],
+                    ["doc_id", "text_key", "fingerprint"],
+                )
 
     return run
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
-    """``doc_id, fingerprint`` (64 bits as a long). A null or empty text has fingerprint zero."""
+    """``doc_id, text_key, fingerprint`` (64 bits as a long); ``text_key`` is ``xxhash64`` of the text. A null
+    or empty text has fingerprint zero."""
     ship(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        _fingerprints(size), "doc_id long, fingerprint long"
-    )
+    text = F.col(text_col)
+    return docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key")
+    ).mapInArrow(_fingerprints(size), "doc_id long, text_key long, fingerprint long")
 
 
 def _bits(values: np.ndarray) -> np.ndarray:
@@ -312,8 +317,9 @@ def near_duplicates(
     bucket: int = BUCKET,
     parts: int | None = None,
 ) -> DataFrame:
-    """``doc_id, fingerprint, component_id``: documents linked, directly or through others, by fingerprints
-    that differ in ``distance`` bits or fewer; ``component_id`` is the least id of the component.
+    """``doc_id, text_key, fingerprint, component, component_id``: documents linked, directly or through
+    others, by fingerprints that differ in ``distance`` bits or fewer; ``component`` is the least fingerprint
+    of the component and ``component_id`` the least id.
 
     Null and empty texts have fingerprint zero and are linked like any other. A document without an id
     takes part, but is nobody's ``component_id``; a component of such documents only has null. Repeated
@@ -326,5 +332,17 @@ def near_duplicates(
         "fingerprint", "root", F.coalesce("label", "fingerprint").alias("label")
     )
     roots = joined.groupBy("label").agg(F.min("root").alias("component_id"))
-    named = joined.join(roots, "label").select("fingerprint", "component_id")
-    return marked.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    named = joined.join(roots, "label").select("fingerprint", F.col("label").alias("component"), "component_id")
+    return marked.join(named, "fingerprint").select("doc_id", "text_key", "fingerprint", "component", "component_id")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of each component of :func:`near_duplicates`, the one with the least id; of
+    repeated rows one stays, too. All columns are kept."""
+    found = near_duplicates(docs, id_col, text_col, **options).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    chosen = found.groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("row"))
+    chosen = chosen.select(F.col("row.doc_id").alias("__id"), F.col("row.text_key").alias("__key"))
+    both = docs.withColumns({"__row_id": F.col(id_col).cast("long"), "__row_key": F.xxhash64(F.col(text_col))})
+    same = F.col("__row_id").eqNullSafe(F.col("__id")) & (F.col("__row_key") == F.col("__key"))
+    kept = both.join(chosen, same, "left_semi")
+    return kept.dropDuplicates(["__row_id", "__row_key"]).drop("__row_id", "__row_key")
