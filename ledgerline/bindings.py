@@ -144,7 +144,8 @@ _view("transactions", """
            CASE o_orderstatus WHEN 'F' THEN 'Завершена.' WHEN 'O' THEN ' завершена !' ELSE 'ОТКЛОНЕНА' END
                AS operation_status,
            CASE o_orderkey % 7 WHEN 0 THEN 'Кредит' WHEN 1 THEN 'получение целевого кредита, договор 5'
-               WHEN 2 THEN 'Выдача займа' WHEN 3 THEN 'займ; предоставление кредита' WHEN 4 THEN 'аренда'
+               WHEN 2 THEN 'Выдача займа' WHEN 3 THEN 'займ; предоставление кредита'
+               WHEN 4 THEN 'аренда, договор № ' || CAST(o_orderkey % 5000 AS VARCHAR(20))
                WHEN 5 THEN NULL ELSE 'Реструктуризация старого займа' END AS payment_purpose,
            CASE o_orderkey % 11 WHEN 0 THEN 'г.Тегеран (Иран)' WHEN 1 THEN NULL ELSE 'Москва' END AS location,
            CASE o_orderkey % 13 WHEN 0 THEN 'PRK' WHEN 1 THEN ' irn.' WHEN 2 THEN 'IRNX' ELSE 'USA' END
@@ -224,6 +225,18 @@ _view("games", """
                AS "User_Score",
            CASE o_custkey % 4 WHEN 0 THEN 'E' WHEN 1 THEN 'T' WHEN 2 THEN 'M' END AS "Rating"
     FROM {orders}""")
+
+
+def _documents(n: int) -> str:
+    """A JSON list of n documents, as an SQL text."""
+    user = "' || CAST(user_id AS VARCHAR(20)) || '"
+    items = [
+        f'{{"name": "акт {i} {user}", "archive": {{"id": "a{i}", "url": "u{i}"}}}}' for i in range(1, n + 1)
+    ]
+    return f"WHEN {n} THEN '[{', '.join(items)}]'"
+
+
+_DOCUMENTS = "CASE event_id % 8 " + " ".join(_documents(n) for n in range(7)) + " END"
 _view("heritage", """
     SELECT event_id AS id, 'объект ' || CAST(event_id AS VARCHAR(20)) AS "Объект",
            CASE WHEN event_id % 13 = 0 THEN NULL WHEN event_id % 13 = 1 THEN '{not json'
@@ -231,10 +244,7 @@ _view("heritage", """
                     || '], "type": "Point"}' END AS map_json,
            CASE WHEN event_id % 7 <> 0 THEN '[{"id": "' || CAST(event_id % 3 AS VARCHAR(20)) || '", "value": "'
                || event_type || '"}, {"id": "9", "value": "ансамбль"}]' END AS kind_json,
-           CASE event_id % 4 WHEN 0 THEN '[]' WHEN 1 THEN NULL WHEN 2 THEN
-               '[{"name": "указ ' || CAST(event_id AS VARCHAR(20)) || '", "archive": {"id": "a1", "url": "u1"}}]'
-               ELSE '[{"name": "указ", "archive": {"id": "a1", "url": "u1"}}, {"name": "акт '
-               || CAST(user_id AS VARCHAR(20)) || '", "archive": {"id": "a2", "url": "u2"}}]' END AS docs_json,
+           """ + _DOCUMENTS + """ AS docs_json,
            CASE event_id % 5 WHEN 0 THEN 'nan' WHEN 1 THEN '{"title": "фасад"}'
                ELSE '{"url": "http://h/' || CAST(event_id AS VARCHAR(20)) || '", "preview": "p", "title": "вид"}' END
                AS image_json,
@@ -258,7 +268,8 @@ _view("cars", """
            ' M' || CAST(l_partkey % 60 AS VARCHAR(20)) || CASE l_orderkey % 3 WHEN 0 THEN ' ' ELSE '' END AS model,
            CASE l_partkey % 5 WHEN 0 THEN 'A класс' WHEN 1 THEN 'B класс' WHEN 2 THEN 'C класс' ELSE 'SUV' END
                AS car_classification,
-           CASE WHEN l_orderkey % 6 = 0 THEN NULL WHEN l_orderkey % 6 = 1 THEN '2 018' WHEN l_partkey % 60 < 30 THEN '2019'
+           CASE WHEN l_orderkey % 6 = 0 THEN NULL WHEN l_orderkey % 6 = 1 THEN '2 018' WHEN l_partkey % 60 < 30 THEN '2019'
+               WHEN l_orderkey % 6 = 2 THEN 'n2018a'
                ELSE CAST(2010 + l_orderkey % 9 AS VARCHAR(20)) END AS manufacturing_year,
            CASE l_suppkey % 5 WHEN 0 THEN 'Республика Казахстан' WHEN 1 THEN 'Казахстан' WHEN 2 THEN 'UK'
                WHEN 3 THEN 'Российская Федерация' ELSE 'Япония' END AS manufacturing_country,

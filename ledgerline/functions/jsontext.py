@@ -25,10 +25,15 @@ def first_item(text: Column | str, field: str) -> Column:
     return F.get(items, F.lit(0)).getField(field)
 
 
+def longest_array(df: DataFrame, column: str) -> int:
+    """Items of the longest JSON array in a column; malformed text and null have none."""
+    return df.agg(F.max(F.json_array_length(column))).first()[0] or 0
+
+
 def numbered_items(
     text: Column | str, fields: Sequence[str], nested: Mapping[str, Sequence[str]], size: int
 ) -> list[Column]:
-    """``field_1``, ``field_2`` … and ``field_1_sub`` … for the first ``size`` array items."""
+    """``field_1``, ``field_2`` … and ``field_1_sub`` … for ``size`` array items, see ``longest_array``."""
     parts = [f"{f}:string" for f in fields]
     parts += [f"{f}:struct<{','.join(f'{s}:string' for s in subs)}>" for f, subs in nested.items()]
     items = F.from_json(col(text), f"array<struct<{','.join(parts)}>>")

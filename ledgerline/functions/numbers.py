@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
 
+# From here on every double is a whole number.
+WHOLE_FROM = 2.0**53
+
+
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -20,16 +24,22 @@ def from_cents(c: Column | str) -> Column:
     return col(c).cast("double") / 100
 
 
+def _rounded(x: Column, digits: int, how) -> Column:
+    """Rounded as a decimal where doubles have a fraction at all; larger ones are whole as they are."""
+    plain = x.cast("double")
+    return F.when(F.abs(plain) < WHOLE_FROM, how(x.cast(DecimalType(30, 12)), digits).cast("double")).otherwise(plain)
+
+
 def half_up(x: Column | str, digits: int = 0) -> Column:
     """Round half away from zero, as SQL numeric does; result is a double."""
-    return F.round(col(x).cast(DecimalType(30, 12)), digits).cast("double")
+    return _rounded(col(x), digits, F.round)
 
 
 def half_even(x: Column | str, digits: int = 0) -> Column:
     """Round half to even, as dataframe libraries do; result is a double."""
     if digits == 0:
         return F.rint(col(x).cast("double"))
-    return F.bround(col(x).cast(DecimalType(30, 12)), digits).cast("double")
+    return _rounded(col(x), digits, F.bround)
 
 
 def ratio(a: Column | str, b: Column | str) -> Column:

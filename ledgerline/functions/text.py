@@ -63,13 +63,14 @@ def replace_in_order(text: Column | str, rules: Sequence[tuple[str, str]], regex
 def replace_whole(text: Column | str, mapping: dict[str, str | None]) -> Column:
     """Replace a value only when the whole value matches a key; a null target clears it."""
     t = col(text)
-    known = {k: v for k, v in mapping.items() if v is not None}
-    cleared = [k for k, v in mapping.items() if v is None]
-    result = t
-    if known:
-        pairs = [F.lit(x) for kv in known.items() for x in kv]
-        result = F.coalesce(F.element_at(F.create_map(*pairs), t), t)
-    return F.when(t.isin(cleared), F.lit(None)).otherwise(result) if cleared else result
+    sources: dict[str | None, list[str]] = {}
+    for source, target in mapping.items():
+        sources.setdefault(target, []).append(source)
+    result = None  # one set lookup for each target
+    for target, found in sources.items():
+        hit = t.isin(*found)
+        result = F.when(hit, F.lit(target)) if result is None else result.when(hit, F.lit(target))
+    return t if result is None else result.otherwise(t)
 
 
 def lower_except(text: Column | str, kept: str) -> Column:

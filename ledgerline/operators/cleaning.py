@@ -66,10 +66,10 @@ def impute_median(df: DataFrame, column: str, by: Sequence[str]) -> DataFrame:
 
 
 def null_analysis(df: DataFrame, column: str, by: Sequence[str]) -> DataFrame:
-    """Per group: null, filled and all rows, percent of nulls, mode and its percent of filled rows."""
+    """Per group with nulls: null and all rows, percent of nulls, mode and its percent of filled rows."""
     groups = mode(df, column, by, "mode_value")
     nulls = F.col("obs_cnt") - F.col("value_cnt")
-    return groups.select(
+    return groups.filter(nulls > 0).select(
         *by,
         nulls.alias("null_cnt"),
         "obs_cnt",
@@ -79,13 +79,14 @@ def null_analysis(df: DataFrame, column: str, by: Sequence[str]) -> DataFrame:
     )
 
 
-def reconcile(df: DataFrame, analysis: DataFrame, column: str) -> DataFrame:
-    """Totals of the diagnostic table beside the totals of the base table; both pairs must agree."""
+def reconcile(df: DataFrame, analysis: DataFrame, column: str, by: Sequence[str]) -> DataFrame:
+    """Totals of the diagnostic table beside those of the base table's groups with nulls; both pairs must agree."""
+    groups = df.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.col(column).isNull()).alias("nulls"))
     return analysis.agg(F.sum("obs_cnt").alias("table_obs"), F.sum("null_cnt").alias("table_nulls")).select(
         "table_obs",
         "table_nulls",
-        df.agg(F.count("*")).scalar().alias("base_obs"),
-        df.agg(F.count_if(F.col(column).isNull())).scalar().alias("base_nulls"),
+        groups.filter("nulls > 0").agg(F.sum("n")).scalar().alias("base_obs"),
+        groups.agg(F.sum("nulls")).scalar().alias("base_nulls"),
     )
 
 
@@ -128,9 +129,10 @@ def impute_mode(
 
 def reclassify(df: DataFrame, member: str, column: str, classes: Mapping[str, Sequence[str]]) -> DataFrame:
     """New class by member lists; rows of unlisted members keep their class."""
-    pairs = {m: name for name, members in classes.items() for m in members}
-    literal = F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
-    return df.withColumn(column, F.coalesce(F.element_at(literal, F.col(member)), F.col(column)))
+    new = F.col(column)
+    for name, members in reversed(classes.items()):
+        new = F.when(F.col(member).isin(*members), F.lit(name)).otherwise(new)  # a hash lookup for each class
+    return df.withColumn(column, new)
 
 
 def unknown_members(df: DataFrame, member: str, classes: Mapping[str, Sequence[str]]) -> DataFrame:

@@ -42,6 +42,15 @@ def missing_members(members: DataFrame, table: DataFrame, column: str) -> DataFr
     return drop_matching(members.select(column).distinct(), table, column)
 
 
+def in_days(column: str, start: str, end: str) -> Column:
+    """From ``start`` up to, without, ``end``; unlike calendar functions, this reaches the scan."""
+    return (F.col(column) >= F.lit(start).cast("date")) & (F.col(column) < F.lit(end).cast("date"))
+
+
+def in_years(column: str, first: int, last: int) -> Column:
+    return in_days(column, f"{first}-01-01", f"{last + 1}-01-01")
+
+
 def first_day(df: DataFrame, who: str, time: str = "time", out: str = "first_day") -> DataFrame:
     """Day of the first action per actor. One aggregate instead of ROW_NUMBER() = 1."""
     return df.groupBy(who).agg(F.to_date(F.min(time)).alias(out))

@@ -9,7 +9,8 @@ def _num(x: str) -> str:
 
 _CANON = f"""
 ty AS (SELECT * EXCLUDE (year, month) REPLACE (TRIM(model, ' ') AS model,
-          TRY_CAST({_num('manufacturing_year')} AS BIGINT) AS manufacturing_year,
+          TRY_CAST(CASE manufacturing_year WHEN '2 018' THEN '2018' WHEN '2 019' THEN '2019'
+                   ELSE manufacturing_year END AS BIGINT) AS manufacturing_year,
           TRY_CAST(NULLIF(TRIM(regexp_replace(replace(engine_displacement_l, ',', '.'), '[^0-9.]', '', 'g'), '.'), '')
                    AS DOUBLE) AS engine_displacement_l,
           CAST(round_even(CAST(replace(price_usd, ',', '.') AS DOUBLE), 0) AS BIGINT) AS price_usd,
@@ -82,13 +83,18 @@ SQL = {
         sale_usd, model FROM c""",
     "car_null_analysis": _W.rstrip() + "," + _analysis("a", "c", "manufacturing_year") + f"""
         SELECT brand, model, {big('nulls')} AS null_cnt, {big('obs')} AS obs_cnt, {_NULLP} AS null_perc,
-               {_MODEP} AS mode_perc, m AS mode_value FROM a""",
-    "car_reconcile": _W + """SELECT COUNT(*) AS table_obs, COUNT(*) - COUNT(manufacturing_year) AS table_nulls,
-        COUNT(*) AS base_obs, COUNT(*) - COUNT(manufacturing_year) AS base_nulls FROM c""",
+               {_MODEP} AS mode_perc, m AS mode_value FROM a WHERE nulls > 0""",
+    "car_reconcile": _W.rstrip() + "," + _analysis("a", "c", "manufacturing_year") + f"""
+        SELECT {big('SUM(obs)')} AS table_obs, {big('SUM(nulls)')} AS table_nulls,
+               (SELECT COUNT(*) FROM c WHERE EXISTS (SELECT 1 FROM c x WHERE x.brand = c.brand AND x.model = c.model
+                                                     AND x.manufacturing_year IS NULL)) AS base_obs,
+               (SELECT COUNT(*) - COUNT(manufacturing_year) FROM c) AS base_nulls FROM a WHERE nulls > 0""",
     "car_impute": _W.rstrip() + "," + _impute(1, "c", "manufacturing_year", f"{_MODEP} >= 60") + ","
         + _impute(2, "i1", "fuel_type", f"{_MODEP} >= 60") + ","
-        + _impute(3, "i2", "transmission_type", f"{_MODEP} >= 60 AND {_NULLP} <= 90") + """
-        SELECT brand, model, manufacturing_year, fuel_type, transmission_type, price_usd, dealer FROM i3""",
+        + _impute(3, "i2", "engine_displacement_l", f"{_MODEP} >= 60 AND {_NULLP} <= 90") + ","
+        + _impute(4, "i3", "transmission_type", f"{_MODEP} = 100 AND {_NULLP} <= 90") + """
+        SELECT brand, model, manufacturing_year, fuel_type, engine_displacement_l, transmission_type, price_usd, dealer
+        FROM i4""",
     "car_overrides": _W + """SELECT brand, model, CASE WHEN transmission_type IS NULL AND brand = 'Brand 3' THEN 'АКПП'
         WHEN transmission_type IS NULL AND model IN ('M10', 'M20') THEN 'МКПП' ELSE transmission_type END
         AS transmission_type FROM c""",

@@ -25,10 +25,12 @@ def _curve(by: str, h: int) -> str:
         z AS (SELECT {by}, COUNT(*) AS cohort_size FROM p GROUP BY 1),
         a AS (SELECT {by}, lifetime, COUNT(*) AS active FROM vis GROUP BY 1, 2),
         m AS (SELECT {by}, lifetime, COUNT(*) AS o, SUM(c) AS c FROM pay GROUP BY 1, 2),
-        cv AS (SELECT a.{by}, a.lifetime, active, cohort_size,
+        dz AS (SELECT *, unnest(range({h})) AS lifetime FROM z),
+        cv AS (SELECT dz.{by}, dz.lifetime, COALESCE(active, 0) AS active, cohort_size,
                       SUM(COALESCE(c, 0)) OVER w AS rc, SUM(COALESCE(o, 0)) OVER w AS ro
-               FROM a LEFT JOIN m ON m.{by} = a.{by} AND m.lifetime = a.lifetime JOIN z ON z.{by} = a.{by}
-               WINDOW w AS (PARTITION BY a.{by} ORDER BY a.lifetime))""")
+               FROM dz LEFT JOIN a ON a.{by} IS NOT DISTINCT FROM dz.{by} AND a.lifetime = dz.lifetime
+               LEFT JOIN m ON m.{by} IS NOT DISTINCT FROM dz.{by} AND m.lifetime = dz.lifetime
+               WINDOW w AS (PARTITION BY dz.{by} ORDER BY dz.lifetime))""")
 
 
 def _curve_out(by: str) -> str:
@@ -62,10 +64,11 @@ SQL = {
     "unit_economics_country": _BASE + _unit("country"),
     "loss_channels": _BASE.rstrip() + f""",
         e AS ({_unit('source')}),
-        g AS (SELECT * FROM b WHERE source NOT IN (SELECT source FROM e WHERE roi_ltv_cac_pct < 100))
+        g AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.source IS NOT DISTINCT FROM b.source
+                                                AND roi_ltv_cac_pct < 100))
         SELECT COUNT(*) AS users, {pct('COUNT(*) - (SELECT COUNT(*) FROM g)', 'COUNT(*)')} AS loss_users_share,
                {pct('SUM(c)', 'SUM(cost)')} AS roi_all, (SELECT {pct('SUM(c)', 'SUM(cost)')} FROM g) AS roi_without FROM b""",
     "payback_day": _curve("source", 14).rstrip() + _UNIT + f""",
         e AS ({_unit('source')}), k AS ({_curve_out('source')})
-        SELECT k.source, MIN(CASE WHEN k.ltv >= e.cac THEN lifetime END) AS payback_day FROM k JOIN e USING (source) GROUP BY 1""",
+        SELECT k.source, MIN(CASE WHEN k.ltv >= e.cac THEN lifetime END) AS payback_day FROM k JOIN e ON e.source IS NOT DISTINCT FROM k.source GROUP BY 1""",
 }

@@ -29,9 +29,12 @@ SQL = {
     "don_status_by_region": _cross("region"),
     "don_status_by_campaign": _cross("campaign"),
     "don_first_date_by_status": _D + "SELECT status, MIN(donated_at) AS first_at, COUNT(*) AS cnt FROM donations GROUP BY 1",
-    "don_burst": using("attempts") + """SELECT donor_id, time_bucket(INTERVAL 7 HOUR, tried_at, TIMESTAMP '1970-01-01') AS window_start,
-        COUNT(*) AS failures FROM attempts WHERE status = 'failed' GROUP BY 1, 2
-        ORDER BY failures DESC, donor_id, window_start LIMIT 1""",
+    "don_burst": using("attempts", rest="""
+        m AS (SELECT donor_id, date_trunc('minute', tried_at) AS window_start, COUNT(*) AS n FROM attempts
+              WHERE status = 'failed' GROUP BY 1, 2)""") + """
+        SELECT a.donor_id, a.window_start, CAST(SUM(b.n) AS BIGINT) AS failures FROM m a JOIN m b
+          ON b.donor_id = a.donor_id AND b.window_start >= a.window_start AND b.window_start < a.window_start + INTERVAL 7 HOUR
+        GROUP BY 1, 2 ORDER BY failures DESC, a.donor_id, a.window_start LIMIT 1""",
     "don_by_period": _D + f"""SELECT CAST(date_trunc('quarter', donated_at) AS DATE) AS quarter, {_KIND} AS segment,
         COUNT(*) AS donations, {money(f"SUM({cents('amount')})")} AS money
         FROM (SELECT *, CAST(MIN(donated_at) OVER (PARTITION BY donor_id) AS DATE) AS first_day FROM donations)

@@ -40,10 +40,10 @@ SQL = {
     "her_json_numbered": _H + "SELECT id, " + ", ".join(
         f"json_extract_string(docs_json, '$[{i - 1}].name') AS name_{i}, "
         f"json_extract_string(docs_json, '$[{i - 1}].archive.id') AS archive_{i}_id, "
-        f"json_extract_string(docs_json, '$[{i - 1}].archive.url') AS archive_{i}_url" for i in (1, 2)) + " FROM heritage",
+        f"json_extract_string(docs_json, '$[{i - 1}].archive.url') AS archive_{i}_url" for i in range(1, 7)) + " FROM heritage",
     "her_json_rows": _H + """SELECT id, p AS position, json_extract_string(docs_json, '$[' || (p - 1) || '].name') AS name,
         json_extract_string(docs_json, '$[' || (p - 1) || '].archive.id') AS archive_id
-        FROM heritage, generate_series(1, 5) g(p) WHERE p <= json_array_length(docs_json)""",
+        FROM (SELECT *, unnest(range(1, CAST(COALESCE(json_array_length(docs_json), 0) AS BIGINT) + 1)) AS p FROM heritage)""",
     "her_json_image": _H + """SELECT id, COALESCE(CASE WHEN json_valid(image_json) THEN json_extract_string(image_json, '$.url') END, '') AS url,
         COALESCE(CASE WHEN json_valid(image_json) THEN json_extract_string(image_json, '$.title') END, '') AS title
         FROM heritage""",

@@ -52,5 +52,9 @@ SQL = {
           AND regexp_replace(UPPER(operation_status), '[^\\p{{L}}\\p{{N}}_]+', '', 'g') = 'ЗАВЕРШЕНА'
           AND (cr = 1 OR ln = 1) AND (lm > 0 OR bank = 1)""",
     "aml_mask_table": using("transactions") + f"""
-        SELECT operation_id, payment_purpose, {_hit('payment_purpose', _CREDIT + _LOAN)} AS hit FROM transactions""",
+        SELECT operation_id, payment_purpose,
+               CASE WHEN regexp_matches(UPPER(payment_purpose), 'ДОГОВОР') AND list_has_any(
+                        list_transform(range(1200), lambda n: CAST(n AS VARCHAR)),
+                        regexp_extract_all(regexp_extract(UPPER(payment_purpose), 'ДОГОВОР.*'), '[^ ,;.!№]+'))
+                    THEN 1 ELSE {_hit('payment_purpose', _CREDIT + _LOAN)} END AS hit FROM transactions""",
 }

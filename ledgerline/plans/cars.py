@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.numbers import half_even, half_up, percent, ratio, try_number
-from ledgerline.functions.text import band, capitalize
+from ledgerline.functions.text import band, capitalize, replace_whole
 from ledgerline.operators.cleaning import (
     ModeGate,
     canonicalize,
@@ -29,6 +29,7 @@ MONTHS = {
     "Январь": 1, "Февраль": 2, "Март": 3, "Апрель": 4, "Май": 5, "Июнь": 6, "Июль": 7, "Август": 8, "Сентябрь": 9,
 }
 NO_VALUE = ["#Н/Д", "0"]
+YEARS = {"2\xa0018": "2018", "2\xa0019": "2019"}  # the only spellings that are repaired
 COUNTRIES = {
     "Казахстан": ["Республика Казахстан"],
     "Россия": ["Российская Федерация"],
@@ -55,7 +56,7 @@ def typed(cars: DataFrame) -> DataFrame:
         {
             "purchase_date": purchase_date(),
             "model": F.btrim("model"),
-            "manufacturing_year": try_number("manufacturing_year", "bigint"),
+            "manufacturing_year": replace_whole("manufacturing_year", YEARS).try_cast("bigint"),
             "engine_displacement_l": _displacement(F.col("engine_displacement_l")),
             "price_usd": half_even(try_number("price_usd")).cast("bigint"),
             "sale_usd": half_even(try_number("sale_usd")).cast("bigint"),
@@ -88,11 +89,12 @@ def canonical(cars: DataFrame) -> DataFrame:
 
 
 def imputed(cars: DataFrame) -> DataFrame:
-    """Mode per brand and model where it is frequent enough; three columns in one pass."""
+    """Mode per brand and model where it is frequent enough; four columns in one pass."""
     gates = {
         "manufacturing_year": ModeGate(60.0),
         "fuel_type": ModeGate(60.0),
-        "transmission_type": ModeGate(60.0, 90.0),
+        "engine_displacement_l": ModeGate(60.0, 90.0),
+        "transmission_type": ModeGate(100.0, 90.0),
     }
     return impute_modes(cars, gates, ["brand", "model"])
 
@@ -214,9 +216,10 @@ QUERIES = {
         _canonical(t),
         null_analysis(_canonical(t), "manufacturing_year", ["brand", "model"]),
         "manufacturing_year",
+        ["brand", "model"],
     ),
     "car_impute": lambda t: imputed(_canonical(t)).select(
-        "brand", "model", "manufacturing_year", "fuel_type", "transmission_type", "price_usd", "dealer"
+        "brand", "model", "manufacturing_year", "fuel_type", "engine_displacement_l", "transmission_type", "price_usd", "dealer"
     ),
     "car_overrides": lambda t: overridden(_canonical(t)).select("brand", "model", "transmission_type"),
     "car_customer_crosstab": lambda t: customer_by_quantity(_canonical(t)),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.numbers import cents, from_cents, half_up, percent, ratio
-from ledgerline.operators.relational import drop_matching, whole
+from ledgerline.operators.relational import join_back
 from ledgerline.plans.engagement import first_visits, user_days
 
 
@@ -37,7 +37,8 @@ def cohort_curve(
 ) -> DataFrame:
     """Retention, running revenue, LTV and mean order value per group and day of life.
 
-    Visits and payments are reduced to user-days before they meet the profiles.
+    Visits and payments are reduced to user-days before they meet the profiles. Every group has all days
+    of life, also those without a visit or a payment; an unknown group is a group.
     """
     by = list(by)
     people = mature(profiles, today, horizon).select("user_id", "first_day", *by)
@@ -49,11 +50,10 @@ def cohort_curve(
         F.sum("orders").alias("orders"), F.sum("cents").alias("cents")
     )
     run = Window.partitionBy(*by).orderBy("lifetime")  # at most ``horizon`` rows per group
-    days = (
-        active.join(paid, [*by, "lifetime"], "left")
-        .na.fill(0, ["orders", "cents"])
-        .withColumns({"run_cents": F.sum("cents").over(run), "run_orders": F.sum("orders").over(run)})
-        .join(sizes, by)
+    every = sizes.withColumn("lifetime", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(horizon - 1).cast("bigint"))))
+    known = join_back(join_back(every, active, [*by, "lifetime"]), paid, [*by, "lifetime"])
+    days = known.na.fill(0, ["active", "orders", "cents"]).withColumns(
+        {"run_cents": F.sum("cents").over(run), "run_orders": F.sum("orders").over(run)}
     )
     return days.select(
         *by,
@@ -87,13 +87,12 @@ def channel_sums(
     keys = list(dict.fromkeys(["source", *by]))
     people = mature(profiles, today, horizon).select("user_id", "first_day", *keys)
     per_day = people.groupBy("source", "first_day").agg(F.count("*").alias("acquired"))
-    unit = per_day.join(costs.withColumnRenamed("day", "first_day"), ["source", "first_day"], "left").select(
+    day_costs = costs.select("source", F.col("day").alias("first_day"), "cost_cents")
+    unit = join_back(per_day, day_costs, ["source", "first_day"]).select(
         "source", "first_day", ratio("cost_cents", "acquired").alias("unit_cents")
     )
     spent = (
-        people.groupBy(*keys, "first_day")
-        .agg(F.count("*").alias("users"))
-        .join(unit, ["source", "first_day"])
+        join_back(people.groupBy(*keys, "first_day").agg(F.count("*").alias("users")), unit, ["source", "first_day"])
         .groupBy(*keys)
         .agg(F.sum("users").alias("users"), F.sum(F.col("users") * F.col("unit_cents")).alias("cost_cents"))
     )
@@ -110,9 +109,7 @@ def channel_sums(
         .groupBy(*keys)
         .agg(F.count("*").alias("payers"), F.sum("cents").alias("cents"))
     )
-    return spent.join(last_day, keys, "left").join(payers, keys, "left").na.fill(
-        0, ["retained", "payers", "cents"]
-    )
+    return join_back(join_back(spent, last_day, keys), payers, keys).na.fill(0, ["retained", "payers", "cents"])
 
 
 def unit_economics(sums: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -132,15 +129,22 @@ def unit_economics(sums: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def loss_channels(sums: DataFrame) -> DataFrame:
-    """Share of users from channels that do not break even, and the return without them."""
-    lossy = unit_economics(sums, ["source"]).filter(F.col("roi_ltv_cac_pct") < 100).select("source")
-    kept = drop_matching(sums, lossy, "source")
-    total, good = unit_economics(sums), unit_economics(kept)
-    return total.select(
+    """Share of users from channels that do not break even, and the return without them.
+
+    One pass: the channels' sums are marked, then summed with and without the marked ones. A channel
+    without costs, or an unknown one, is no loss by itself.
+    """
+    names = ("users", "cents", "cost_cents")
+    channels = sums.groupBy("source").agg(*[F.sum(c).alias(c) for c in names])
+    kept = F.coalesce(_roi_ltv_cac(F.col("cents"), F.col("cost_cents")) >= 100, F.lit(True))
+    totals = channels.withColumn("kept", kept).agg(
+        *[F.sum(c).alias(c) for c in names], *[F.sum(F.when(F.col("kept"), F.col(c))).alias(f"kept_{c}") for c in names]
+    )
+    return totals.select(
         "users",
-        percent(F.col("users") - whole(kept, F.coalesce(F.sum("users"), F.lit(0))), "users").alias("loss_users_share"),
-        F.col("roi_ltv_cac_pct").alias("roi_all"),
-        good.select("roi_ltv_cac_pct").scalar().alias("roi_without"),
+        percent(F.col("users") - F.coalesce("kept_users", F.lit(0)), "users").alias("loss_users_share"),
+        _roi_ltv_cac(F.col("cents"), F.col("cost_cents")).alias("roi_all"),
+        _roi_ltv_cac(F.col("kept_cents"), F.col("kept_cost_cents")).alias("roi_without"),
     )
 
 
@@ -149,9 +153,9 @@ def payback(curve: DataFrame, economics: DataFrame, by: Sequence[str]) -> DataFr
     by = list(by)
     covered = F.when(F.col("ltv") >= F.col("cac"), F.col("lifetime"))
     return (
-        curve.select(*by, "lifetime", "ltv").join(economics.select(*by, "cac"), by).groupBy(*by).agg(
-            F.min(covered).alias("payback_day")
-        )
+        join_back(curve.select(*by, "lifetime", "ltv"), economics.select(*by, "cac"), by)
+        .groupBy(*by)
+        .agg(F.min(covered).alias("payback_day"))
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.numbers import cents, from_cents, half_up, percent, ratio
@@ -42,13 +42,16 @@ def first_date_by_status(donations: DataFrame) -> DataFrame:
     return donations.groupBy("status").agg(F.min("donated_at").alias("first_at"), F.count("*").alias("cnt"))
 
 
-def worst_burst(attempts: DataFrame, span: str = "7 hours") -> DataFrame:
-    """Donor and time window with most failed attempts."""
-    windows = (
-        attempts.filter(F.col("status") == FAILED)
-        .groupBy("donor_id", F.window("tried_at", span).alias("w"))
-        .agg(F.count("*").alias("failures"))
-        .select("donor_id", F.col("w.start").cast("timestamp_ntz").alias("window_start"), "failures")
+def worst_burst(attempts: DataFrame, minutes: int = 7 * 60) -> DataFrame:
+    """Donor and time with most failed attempts in the ``minutes`` from that minute on.
+
+    Attempts are first counted per donor and minute, so a donor's rows are bounded by the calendar.
+    """
+    minute = F.date_trunc("minute", F.col("tried_at").cast("timestamp"))
+    counts = attempts.filter(F.col("status") == FAILED).groupBy("donor_id", minute.alias("minute")).agg(F.count("*").alias("n"))
+    ahead = Window.partitionBy("donor_id").orderBy(F.unix_seconds("minute")).rangeBetween(0, 60 * minutes - 1)
+    windows = counts.select(
+        "donor_id", F.col("minute").cast("timestamp_ntz").alias("window_start"), F.sum("n").over(ahead).alias("failures")
     )
     return top_k(windows, 1, F.desc("failures"), F.asc("donor_id"), F.asc("window_start"))
 

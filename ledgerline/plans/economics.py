@@ -242,8 +242,7 @@ def gross_profit(
         return result
 
     deliveries = (
-        keep_matching(courier_actions, delivered(courier_actions), "order_id")
-        .filter(F.col("action") == "deliver_order")
+        courier_actions.filter(F.col("action") == "deliver_order")
         .groupBy("courier_id", F.to_date("time").alias("date"))
         .agg(F.count("order_id").alias("n"))
     )

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ledgerline.functions.numbers import growth_percent, half_up, ratio
 from ledgerline.operators.ordered import row_numbers, running_sum
 from ledgerline.operators.relational import (
+    in_days,
+    in_years,
     drop_matching,
     join_back,
     keep_matching,
@@ -111,7 +113,7 @@ def view_group_leaders(users: DataFrame, location: str) -> DataFrame:
 
 def daily_signups(users: DataFrame, year: int, month: int) -> DataFrame:
     days = (
-        users.filter((F.year("creation_date") == year) & (F.month("creation_date") == month))
+        users.filter(in_days("creation_date", f"{year}-{month:02d}-01", f"{year + month // 12}-{month % 12 + 1:02d}-01"))
         .groupBy(F.dayofmonth("creation_date").cast("bigint").alias("day"))
         .agg(F.count("id").alias("users"))
     )
@@ -133,7 +135,7 @@ def time_to_first_post(posts: DataFrame, users: DataFrame) -> DataFrame:
 
 def views_by_month(posts: DataFrame, year: int) -> DataFrame:
     return (
-        posts.filter(F.year("creation_date") == year)
+        posts.filter(in_years("creation_date", year, year))
         .groupBy(F.trunc("creation_date", "month").alias("month"))
         .agg(F.sum("views_count").alias("views"))
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.jsontext import first_item, item_rows, json_columns, json_get, numbered_items
+from ledgerline.functions.jsontext import first_item, item_rows, json_columns, json_get, longest_array, numbered_items
 from ledgerline.functions.text import lower_except, replace_whole
 from ledgerline.operators.cleaning import normalize_columns, prune_sparse
 from ledgerline.operators.profile import before_after, null_profile, value_counts
@@ -100,7 +100,9 @@ def with_kind(register: DataFrame) -> DataFrame:
     )
 
 
-def with_documents(register: DataFrame, size: int = 2) -> DataFrame:
+def with_documents(register: DataFrame) -> DataFrame:
+    """Columns for as many documents as the longest list has."""
+    size = longest_array(register, "docs_json")
     return register.select("id", *numbered_items("docs_json", ["name"], {"archive": ["id", "url"]}, size))
 
 

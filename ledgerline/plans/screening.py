@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.text import bare_word, matches_any
+from ledgerline.functions.text import bare_word, matches_any, spaced_words
 
 # Threshold, status, masks and message parts of the scenario.
 MAX_AMOUNT = 600_000
@@ -39,6 +39,7 @@ MESSAGE_PARTS = {
 }
 ALL_BITS = 0xFFFF  # the masks are 16 bits wide
 REGISTERED, LIVES, STAYS = 1, 2, 4
+FRAGMENT = 3  # characters by which texts and masks of a table find each other
 
 
 @dataclass(frozen=True)
@@ -166,16 +167,31 @@ def list_flags(transactions: DataFrame) -> DataFrame:
     )
 
 
-def flag_by_mask_table(df: DataFrame, text: str, masks: DataFrame, mask: str, out: str, limit: int = 1000) -> DataFrame:
-    """Existence test against masks kept in a parameter table.
+def flag_by_mask_table(df: DataFrame, text: str, masks: DataFrame, mask: str, out: str) -> DataFrame:
+    """Existence test against masks kept in a parameter table of any size.
 
-    The list is read once, bounded by ``limit`` and refused beyond it, and becomes literal
-    patterns, which Spark compiles once instead of once per row.
+    Every cleaned text is looked at once. It meets the masks that share a fragment with it, then
+    ``LIKE`` decides. A mask is filed under the start of its longest run without wildcards; one that has
+    no run of ``FRAGMENT`` characters is met by all texts.
     """
-    listed = [r[0] for r in masks.select(mask).distinct().limit(limit + 1).collect()]
-    if len(listed) > limit:
-        raise ValueError(f"more than {limit} masks; join against the table instead")
-    return df.withColumn(out, matches_any(text, sorted(listed)))
+    runs = F.split(F.col("_mask"), "[%_]+")
+    longest = F.element_at(F.array_sort(F.transform(runs, lambda r: F.struct(F.length(r).alias("n"), r.alias("run")))), -1)
+    key = F.when(longest["n"] >= FRAGMENT, F.substring(longest["run"], 1, FRAGMENT)).otherwise("")
+    filed = masks.select(F.col(mask).alias("_mask")).filter("_mask is not null").distinct().withColumn("_key", key)
+    cleaned = df.withColumn("_clean", spaced_words(text))
+    places = F.sequence(F.lit(1), F.greatest(F.length("_clean") - FRAGMENT + 1, F.lit(1)))
+    fragments = F.transform(places, lambda i: F.col("_clean").substr(i, F.lit(FRAGMENT)))
+    met = (
+        cleaned.select("_clean")
+        .distinct()
+        .withColumn("_key", F.explode(F.array_distinct(F.array_append(fragments, F.lit("")))))
+        .join(filed, "_key")
+        .filter(F.expr("_clean LIKE _mask"))
+        .select(F.col("_clean").alias("_hit"))
+        .distinct()
+    )
+    joined = cleaned.join(met, F.col("_clean") == F.col("_hit"), "left")
+    return joined.withColumn(out, F.col("_hit").isNotNull().cast("int")).select(*df.columns, out)
 
 
 def _coded(t) -> DataFrame:
@@ -183,7 +199,9 @@ def _coded(t) -> DataFrame:
 
 
 def _mask_table(t) -> DataFrame:
-    return t.spark.createDataFrame([(m,) for m in CREDIT_MASKS + LOAN_MASKS], "mask string")
+    """The scenario's masks and some thousand contract numbers."""
+    listed = t.spark.createDataFrame([(m,) for m in CREDIT_MASKS + LOAN_MASKS], "mask string")
+    return listed.union(t.spark.range(1200).select(F.concat(F.lit("%ДОГОВОР% "), "id", F.lit(" %"))))
 
 
 QUERIES = {

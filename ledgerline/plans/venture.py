@@ -6,11 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.numbers import half_up, ratio
-from ledgerline.operators.relational import keep_matching, top_k
-
-
-def _year_in(column: str, first: int, last: int) -> Column:
-    return F.year(column).between(first, last)
+from ledgerline.operators.relational import in_years, keep_matching, top_k
 
 
 def closed_count(company: DataFrame) -> DataFrame:
@@ -27,7 +23,7 @@ def funding_of(company: DataFrame, category: str, country: str) -> DataFrame:
 
 
 def cash_deals(acquisition: DataFrame, first: int, last: int) -> DataFrame:
-    return acquisition.filter((F.col("term_code") == "cash") & _year_in("acquired_at", first, last)).agg(
+    return acquisition.filter((F.col("term_code") == "cash") & in_years("acquired_at", first, last)).agg(
         F.sum("price_amount").alias("total_sum")
     )
 
@@ -77,7 +73,7 @@ def activity_rounds(fund: DataFrame) -> DataFrame:
 def top_fund_countries(fund: DataFrame, first: int, last: int, k: int = 10) -> DataFrame:
     invested = "invested_companies"
     countries = (
-        fund.filter(_year_in("founded_at", first, last))
+        fund.filter(in_years("founded_at", first, last))
         .groupBy("country_code")
         .agg(
             F.min(invested).alias("min_invested_companies"),
@@ -157,7 +153,7 @@ def fund_company_round(
         F.col("id").alias("company_id"), F.col("name").alias("name_of_company")
     )
     funds = fund.select(F.col("id").alias("fund_id"), F.col("name").alias("name_of_fund"))
-    dated = rounds.filter(_year_in("funded_at", *years)).select(
+    dated = rounds.filter(in_years("funded_at", *years)).select(
         F.col("id").alias("funding_round_id"), F.col("raised_amount").alias("amount")
     )
     return (
@@ -196,7 +192,7 @@ def category_round_months(company: DataFrame, rounds: DataFrame, category: str,
     firms = company.filter(F.col("category_code") == category).select(
         F.col("id").alias("company_id"), F.col("name").alias("company_name")
     )
-    dated = rounds.filter(_year_in("funded_at", *years) & (F.col("raised_amount") != 0))
+    dated = rounds.filter(in_years("funded_at", *years) & (F.col("raised_amount") != 0))
     return dated.join(firms, "company_id").select(
         "company_name", F.month("funded_at").cast("bigint").alias("round_month")
     )
@@ -211,14 +207,14 @@ def month_funds_and_deals(
     years: tuple[int, int],
 ) -> DataFrame:
     deals = (
-        acquisition.filter(_year_in("acquired_at", *years))
+        acquisition.filter(in_years("acquired_at", *years))
         .groupBy(F.month("acquired_at").cast("bigint").alias("month"))
         .agg(
             F.count("acquired_company_id").alias("acquired_companies"),
             F.sum("price_amount").alias("total_sum"),
         )
     )
-    months = rounds.filter(_year_in("funded_at", *years)).select(
+    months = rounds.filter(in_years("funded_at", *years)).select(
         F.col("id").alias("funding_round_id"), F.month("funded_at").cast("bigint").alias("month")
     )
     names = fund.filter(F.col("country_code") == country).select(F.col("id").alias("fund_id"), "name")
@@ -239,7 +235,8 @@ def funding_of_years(company: DataFrame, years: tuple[int, ...]) -> DataFrame:
     One conditional pass instead of one aggregate per year and joins between them.
     """
     founded = F.year("founded_at")
-    rows = company.filter(founded.isin(list(years))).groupBy(F.col("country_code").alias("country"))
+    in_range = in_years("founded_at", min(years), max(years))
+    rows = company.filter(in_range & founded.isin(list(years))).groupBy(F.col("country_code").alias("country"))
     parts = []
     for y in years:
         amount = F.when(founded == y, F.col("funding_total"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +19,9 @@ RUNTIME = {
 }
 
 
+_emptied: set[str] = set()  # folders that are removed when the session ends
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to an existing session."""
     for key, value in RUNTIME.items():
@@ -45,16 +47,20 @@ def local_session(cores: str = "*", app: str = "ledgerline") -> SparkSession:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only on a single machine."""
+    """This application's part of the shared folder in ``spark.checkpoint.dir``, emptied when it ends.
+
+    Without that setting it lies below the warehouse, which all executors share, too.
+    """
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("spark.checkpoint.dir must name a folder every executor can reach")
-            shared = tempfile.mkdtemp(prefix="ledgerline-checkpoint-")
+        shared = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
         context.setCheckpointDir(shared)
-    return context.getCheckpointDir()
+    folder = context.getCheckpointDir()
+    if folder not in _emptied:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
+        _emptied.add(folder)
+    return folder
 
 
 def durable(df: DataFrame) -> DataFrame:

@@ -9,8 +9,9 @@ from ledgerline.session import local_session
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = local_session("4", "ledgerline-tests")
+    session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
     session.conf.set("spark.sql.shuffle.partitions", "4")
     yield session
     session.stop()

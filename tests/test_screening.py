@@ -67,9 +67,12 @@ def test_messages(spark, clients):
     }
 
 
-def test_mask_table_limit(spark):
-    masks = spark.range(5).select(F.concat(F.lit("% "), "id", F.lit(" %")).alias("mask"))
-    texts = spark.createDataFrame([("a 3 b",), ("7",)], "x string")
-    assert [r.hit for r in screening.flag_by_mask_table(texts, "x", masks, "mask", "hit").collect()] == [1, 0]
-    with pytest.raises(ValueError):
-        screening.flag_by_mask_table(texts, "x", masks, "mask", "hit", limit=4)
+def test_mask_table_of_any_size(spark):
+    masks = spark.range(3000).select(F.concat(F.lit("% "), "id", F.lit(" %")).alias("mask"))
+    masks = masks.union(spark.createDataFrame([("%Q_X%",), ("% %АБВ %ГД% %",), (None,)], "mask string"))
+    texts = ["a 3 b", "7", "3001", "2999.", "qzx", "q x y", "где абв, гд!", "абвгд", "", None, "a 3 b"]
+    rows = spark.createDataFrame([(t,) for t in texts], "x string")
+    got = screening.flag_by_mask_table(rows, "x", masks, "mask", "hit").collect()
+    assert sorted((r.x or "", r.hit) for r in got) == sorted(
+        zip([t or "" for t in texts], [1, 1, 0, 1, 1, 1, 1, 0, 0, 0, 1])
+    )
