@@ -56,9 +56,9 @@ def _anchor_rows(window: int, k: int):
 
 
 def _window_rows(window: int, k: int, bits):
-    schema = pa.schema(
-        [("w1", pa.int64()), ("w2", pa.int32()), ("doc_id", pa.int64()), ("place", pa.int64()), ("known", pa.bool_())]
-    )
+    # what varies from row to row stands together: the shuffle's codec then finds the rest repeated
+    names = ["w1", "w2_start", "doc_id", "text_key", "known"]
+    schema = pa.schema(list(zip(names, [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = bits.value
@@ -70,25 +70,30 @@ def _window_rows(window: int, k: int, bits):
                 if not len(at):
                     continue
                 w1 = words.grams(window)[at]
-                w2 = (words.grams(window, _SALT)[at] >> np.uint64(32)).astype(np.uint32)
-                row = words.row[at]
+                w2 = words.grams(window, _SALT)[at] >> np.uint64(32)
+                row, start = words.row[at], words.position()[at].astype(np.uint64)
                 doc = part.column("doc_id").to_numpy(zero_copy_only=False)[row]
-                key = part.column("text_key").to_numpy(zero_copy_only=False)[row].astype(np.int64)
-                place = (key << 32) | words.position()[at]
+                key = part.column("text_key").to_numpy(zero_copy_only=False)[row]
                 order = np.lexsort((doc, w2, w1))
-                w1, w2, doc, place = w1[order], w2[order], doc[order], place[order]
-                new = np.ones(len(w1), bool)
-                new[1:] = (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])
-                least_doc = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-                known = doc > least_doc
-                # settled rows need no partner: any key spreads them
-                w1 = np.where(known, mix(place.view(np.uint64) + mix(doc.view(np.uint64))), w1)
-                back = np.lexsort((place, doc))
+                new = np.ones(len(order), bool)
+                new[1:] = (w1[order][1:] != w1[order][:-1]) | (w2[order][1:] != w2[order][:-1])
+                known = np.zeros(len(order), bool)
+                known[order] = doc[order] > doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+                # settled rows need no partner: they travel by document
+                w1 = np.where(known, mix(doc.view(np.uint64) ^ mix(key.astype(np.uint64))), w1)
+                w2 = np.where(known, np.uint64(0), w2)
                 yield pa.record_batch(
-                    [pa.array(x[back]) for x in (w1.view(np.int64), w2.view(np.int32), doc, place, known)], schema=schema
+                    [
+                        pa.array(w1.view(np.int64)),
+                        pa.array(((w2 << np.uint64(32)) | start).view(np.int64)),
+                        pa.array(doc),
+                        pa.array(key),
+                        pa.array(known),
+                    ],
+                    schema=schema,
                 )
 
-    return run, "w1 long, w2 int, doc_id long, place long, known boolean"
+    return run, "w1 long, w2_start long, doc_id long, text_key int, known boolean"
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR, bits: int = sieve.BITS) -> DataFrame:
@@ -106,13 +111,11 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR, bit
     same = Window.partitionBy("w1", "w2")
     return (
         docs.mapInArrow(rows, schema)
+        .repartition("w1")
+        .withColumns({"w2": F.shiftrightunsigned("w2_start", 32), "start": F.col("w2_start").bitwiseAND(F.lit(0x7FFFFFFF))})
         .withColumn("first", F.min("doc_id").over(same))
         .filter("known or first < doc_id")
-        .select(
-            "doc_id",
-            F.shiftright("place", 32).cast("int").alias("text_key"),
-            F.col("place").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("start"),
-        )
+        .select("doc_id", "text_key", F.col("start").cast("int").alias("start"))
     )
 
 
