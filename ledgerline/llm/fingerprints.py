@@ -36,7 +36,7 @@ def gram_hashes(points: np.ndarray, k: int) -> np.ndarray:
         # the last ``step`` of the next ``have`` are appended: H(a + b) = H(a) * base^|b| + H(b)
         if step == have:
             out = out[:-step] * power + out[step:]
-            power = power * power
+            power = np.uint64(int(power) ** 2 & 0xFFFFFFFFFFFFFFFF)
         else:
             tail = gram_hashes(points, step)
             out = out[: len(tail) - have] * np.uint64(pow(int(_BASE), step, 1 << 64)) + tail[have:]
