@@ -317,8 +317,9 @@ _view("emails", """
            CASE event_type WHEN 'view' THEN 'sent' WHEN 'click' THEN 'opened' WHEN 'purchase' THEN 'clicked' END AS stage,
            'campaign ' || CAST(event_id % 5 AS VARCHAR(20)) AS campaign, value AS amount
     FROM {events} WHERE event_type IN ('view', 'click', 'purchase')""")
+# a participant is a user on one day of the log's month, so that a step is not taken by all of them
 _view("experiment", """
-    SELECT user_id, ts, event_type, CASE user_id % 2 WHEN 0 THEN 'A' ELSE 'B' END AS grp, r_name AS region
+    SELECT user_id * 100 + CAST(EXTRACT(DAY FROM ts) AS INTEGER) AS user_id, ts, event_type, CASE user_id % 2 WHEN 0 THEN 'A' ELSE 'B' END AS grp, r_name AS region
     FROM {events} JOIN {region} ON r_regionkey = user_id % 5""")
 _view("promos", """
     SELECT 'promo ' || CAST(r_regionkey AS VARCHAR(20)) AS name, r_name || ', EUROPE' AS regions,

@@ -1,4 +1,4 @@
-from ledgerline.oracle.kit import rnd, using
+from ledgerline.oracle.kit import area, rnd, steps, using
 
 _CLEAN = """
 g AS (SELECT "Name" AS name, "Platform" AS platform, "Year_of_Release" AS year_of_release, "Genre" AS genre,
@@ -39,6 +39,21 @@ def _welch(column: str, a: str, b: str) -> str:
         FROM s"""
 
 
+_T_DENSITY = "exp(lgamma((dof + 1) / 2) - lgamma(dof / 2)) / sqrt(dof * pi()) * pow(1 + x * x / dof, -(dof + 1) / 2)"
+
+
+def _welch_p(column: str, a: str, b: str) -> str:
+    """The tail of Student's distribution, integrated from its density."""
+    samples = _welch(column, a, b)
+    exact = samples[: samples.rindex("SELECT '")].rstrip() + """,
+        w AS (SELECT n1, n2, m1, m2, (m1 - m2) / sqrt(v1 / n1 + v2 / n2) AS t,
+                     (v1 / n1 + v2 / n2) ** 2 / ((v1 / n1) ** 2 / (n1 - 1) + (v2 / n2) ** 2 / (n2 - 1)) AS dof FROM s)"""
+    return exact + f""",
+        p AS (SELECT {area(_T_DENSITY, 'ABS(t)', 'w')} AS inside FROM {steps('w')})
+        SELECT '{a}' AS group_1, '{b}' AS group_2, {rnd('t', 6)} AS t, {rnd('dof', 6)} AS dof,
+               {rnd('1 - 2 * inside', 6)} AS p_value, 1 - 2 * inside < 0.05 AS rejected FROM w, p"""
+
+
 SQL = {
     "gam_clean": _W + "SELECT * FROM g",
     "gam_by_year": _W + "SELECT year_of_release, COUNT(name) AS games_cnt FROM g WHERE year_of_release IS NOT NULL GROUP BY 1",
@@ -63,5 +78,6 @@ SQL = {
     "gam_region_ratings": _W + f"""SELECT COALESCE(rating, 'No rating') AS rating, {rnd('SUM(na_sales)', 2)} AS na_sales,
         {rnd('SUM(eu_sales)', 2)} AS eu_sales, {rnd('SUM(jp_sales)', 2)} AS jp_sales FROM n GROUP BY 1""",
     "gam_welch_platforms": _welch("platform", "P1", "P2"),
+    "gam_welch_p_values": _welch_p("platform", "P1", "P2"),
     "gam_welch_genres": _welch("genre", "URGENT", "HIGH"),
 }

@@ -42,3 +42,15 @@ def money(x: str) -> str:
 
 def big(x: str) -> str:
     return f"CAST({x} AS BIGINT)"
+
+
+def steps(table: str, n: int = 4000) -> str:
+    """The table's rows once for each of ``n + 1`` places of a numeric integral."""
+    return f"{table}, range({n + 1}) g(i)"
+
+
+def area(density: str, to: str, table: str, n: int = 4000) -> str:
+    """Simpson's rule for a density of x from 0 to ``to``, over the rows of ``steps``."""
+    x = f"({to} * i / {n})"
+    weight = f"CASE WHEN i IN (0, {n}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    return f"SUM({weight} * {density.replace('x', x).replace(f'e{x}p', 'exp')}) * any_value({to}) / {3 * n}"

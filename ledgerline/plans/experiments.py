@@ -5,21 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.numbers import percent
+from ledgerline.functions.numbers import half_up, percent
 from ledgerline.operators.relational import whole
 from ledgerline.operators.statistics import funnel, funnel_z, with_normal_p
 
 STEPS = ["signup", "view", "click", "purchase"]
 
 
-def period(experiment: DataFrame, start: str, end: str) -> DataFrame:
-    """Events of the test period, end excluded."""
-    at = F.col("ts")
-    return experiment.filter(
-        (at >= F.lit(start).cast("timestamp_ntz")) & (at < F.lit(end).cast("timestamp_ntz"))
-    )
-
-
 def group_balance(experiment: DataFrame) -> DataFrame:
     """Users per group, their share, and how many of them are also in another group."""
     members = experiment.select("user_id", "grp").distinct()
@@ -54,17 +46,16 @@ def promo_overlap(experiment: DataFrame, promos: DataFrame) -> DataFrame:
     )
 
 
-PERIOD = ("2024-01-01 00:00:00", "2024-01-02 12:00:00")
-
-
 def _funnel(t) -> DataFrame:
-    return funnel(period(t.experiment, *PERIOD), "user_id", "event_type", STEPS, "grp")
+    return funnel(t.experiment, "user_id", "event_type", STEPS, "grp")
 
 
 QUERIES = {
     "ab_funnel": _funnel,
     "ab_ztest": lambda t: funnel_z(_funnel(t), "grp", "A", "B"),
-    "ab_ztest_p_values": lambda t: with_normal_p(funnel_z(_funnel(t), "grp", "A", "B", 12)),
+    "ab_ztest_p_values": lambda t: with_normal_p(funnel_z(_funnel(t), "grp", "A", "B", 12)).select(
+        "step_number", "step", half_up("z", 6).alias("z"), half_up("p_value", 6).alias("p_value")
+    ),
     "ab_group_balance": lambda t: group_balance(t.experiment),
-    "ab_promo_overlap": lambda t: promo_overlap(period(t.experiment, "2024-01-01", "2024-01-08"), t.promos),
+    "ab_promo_overlap": lambda t: promo_overlap(t.experiment, t.promos),
 }

@@ -104,5 +104,7 @@ QUERIES = {
     "gam_region_ratings": lambda t: rating_sales(_now(t)),
     "gam_welch_platforms": lambda t: welch(_now(t), "user_score", "platform", "P1", "P2"),
     "gam_welch_genres": lambda t: welch(_now(t), "user_score", "genre", "URGENT", "HIGH"),
-    "gam_welch_p_values": lambda t: welch_test(_now(t), "user_score", "platform", "P1", "P2"),
+    "gam_welch_p_values": lambda t: welch_test(_now(t), "user_score", "platform", "P1", "P2").select(
+        "group_1", "group_2", *[half_up(c, 6).alias(c) for c in ("t", "dof", "p_value")], "rejected"
+    ),
 }

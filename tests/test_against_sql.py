@@ -26,7 +26,7 @@ def duck():
 
 def test_every_statement_has_a_query():
     assert not SQL.keys() - QUERIES.keys()
-    assert QUERIES.keys() - SQL.keys() == {"gam_welch_p_values", "ab_ztest_p_values"}
+    assert not QUERIES.keys() - SQL.keys()
 
 
 def test_entry(spark):
