@@ -30,6 +30,11 @@ _view("user_actions_e", """
     SELECT user_id, event_id, 'cancel_order', ts FROM {events} WHERE event_type = 'error'""")
 _view("delivery_orders_e", "SELECT event_id AS order_id, ts AS creation_time FROM {events}")
 _view("order_lines", "SELECT l_orderkey AS order_id, l_partkey AS product_id FROM {lineitem}")
+# some orders have no list of products and some an empty one
+_view("baskets", """
+    SELECT l_orderkey AS order_id,
+           CASE WHEN l_orderkey % 97 <> 0 THEN array_agg(l_partkey) FILTER (WHERE l_orderkey % 89 <> 0) END AS product_ids
+    FROM {lineitem} GROUP BY l_orderkey""")
 _view("products", "SELECT p_partkey AS product_id, p_name AS name, p_retailprice AS price FROM {part}")
 _view("courier_actions_e", """
     SELECT event_id % 50 AS courier_id, event_id AS order_id, 'accept_order' AS action, ts AS time

@@ -1,10 +1,14 @@
 from ledgerline.oracle.kit import big, cents, div, growth, money, pct, rnd, using
 
 
+_LINES = "lines AS (SELECT order_id, UNNEST(product_ids) AS product_id FROM baskets)"
+
+
 def _priced(kind: str) -> str:
     return f"""
+{_LINES},
 op AS (SELECT o.order_id, o.creation_time, SUM({cents('p.price')}) AS c
-       FROM delivery_orders_{kind} o JOIN order_lines l ON l.order_id = o.order_id
+       FROM delivery_orders_{kind} o JOIN lines l ON l.order_id = o.order_id
        JOIN products p ON p.product_id = l.product_id
        WHERE o.order_id NOT IN (SELECT order_id FROM user_actions_{kind} WHERE action = 'cancel_order')
        GROUP BY 1, 2),
@@ -12,7 +16,7 @@ rev AS (SELECT CAST(creation_time AS DATE) AS date, SUM(c) AS c, COUNT(*) AS pai
 
 
 def _views(kind: str, *more: str) -> tuple[str, ...]:
-    return (f"user_actions_{kind}", f"delivery_orders_{kind}", "order_lines", "products", *more)
+    return (f"user_actions_{kind}", f"delivery_orders_{kind}", "baskets", "products", *more)
 
 
 def _gross(kind: str, months: dict[int, tuple[int, int, int]]) -> str:
@@ -25,7 +29,7 @@ def _gross(kind: str, months: dict[int, tuple[int, int, int]]) -> str:
            f"ELSE {cents(rnd('p.price / 120 * 20', 2))} END")
     return using(*_views(kind, f"courier_actions_{kind}"), rest=_priced(kind) + f""",
         tax AS (SELECT CAST(o.creation_time AS DATE) AS date, SUM({vat}) AS tax
-                FROM delivery_orders_{kind} o JOIN order_lines l ON l.order_id = o.order_id
+                FROM delivery_orders_{kind} o JOIN lines l ON l.order_id = o.order_id
                 JOIN products p ON p.product_id = l.product_id
                 WHERE o.order_id NOT IN (SELECT order_id FROM user_actions_{kind} WHERE action = 'cancel_order')
                 GROUP BY 1),
@@ -91,9 +95,9 @@ SQL = {
         SELECT date, {money('c')} AS revenue, {money('nc')} AS new_users_revenue,
                {pct('nc', 'c')} AS new_users_revenue_share, {pct('c - nc', 'c')} AS old_users_revenue_share
         FROM n JOIN rev USING (date)""",
-    "eco_product_share": using(*_views("e"), rest=f"""
+    "eco_product_share": using(*_views("e"), rest=f"""{_LINES},
         a AS (SELECT p.name, SUM({cents('p.price')}) AS c
-              FROM delivery_orders_e o JOIN order_lines l ON l.order_id = o.order_id
+              FROM delivery_orders_e o JOIN lines l ON l.order_id = o.order_id
               JOIN products p ON p.product_id = l.product_id
               WHERE o.order_id NOT IN (SELECT order_id FROM user_actions_e WHERE action = 'cancel_order') GROUP BY 1),
         s AS (SELECT name, c, {pct('c', 'SUM(c) OVER ()')} AS s FROM a)""") + f"""

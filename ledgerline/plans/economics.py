@@ -275,11 +275,11 @@ REDUCED_TEST_GOODS = ["small ring", "red widget", "blue bolt", "red bolt", "smal
 
 
 def priced_e(t, reduced_goods: Sequence[str] = ()) -> DataFrame:
-    return priced_orders(t.user_actions_e, t.delivery_orders_e, t.order_lines, t.products, reduced_goods)
+    return priced_orders(t.user_actions_e, t.delivery_orders_e, basket_lines(t.baskets), t.products, reduced_goods)
 
 
 def priced_o(t, reduced_goods: Sequence[str] = ()) -> DataFrame:
-    return priced_orders(t.user_actions_o, t.delivery_orders_o, t.order_lines, t.products, reduced_goods)
+    return priced_orders(t.user_actions_o, t.delivery_orders_o, basket_lines(t.baskets), t.products, reduced_goods)
 
 
 QUERIES = {
@@ -289,7 +289,7 @@ QUERIES = {
     "eco_weekday": lambda t: weekday_revenue(t.user_actions_e, priced_e(t), *WEEKS),
     "eco_new_user_revenue": lambda t: new_user_revenue(t.user_actions_o, priced_o(t)),
     "eco_product_share": lambda t: product_share(
-        t.user_actions_e, t.delivery_orders_e, t.order_lines, t.products, rare_below=1.6
+        t.user_actions_e, t.delivery_orders_e, basket_lines(t.baskets), t.products, rare_below=1.6
     ),
     "eco_gross_profit": lambda t: gross_profit(
         priced_e(t, REDUCED_TEST_GOODS), t.courier_actions_e, JANUARY
