@@ -26,7 +26,7 @@ TIE = "_tie"
 
 def _chunks(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     ranged = df.repartitionByRange(*[F.col(k) for k in keys], *order)
-    return durable(ranged.withColumn(CHUNK, F.spark_partition_id()))
+    return ranged.withColumn(CHUNK, F.spark_partition_id())
 
 
 def _split_ties(df: DataFrame) -> DataFrame:
@@ -62,19 +62,42 @@ def _with_carry(rows: DataFrame, carried: DataFrame, keys: Sequence[str], out: s
 
 
 def cumulative(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], value: str, out: str
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], value: str, out: str, whole: str | None = None
 ) -> DataFrame:
-    """Running sum per key over rows that are unique in (keys, order)."""
-    rows = _chunks(df, keys, order)
-    inside = (
-        Window.partitionBy(CHUNK, *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    """Running sum per key over rows that are unique in (keys, order); ``whole`` names the key's total.
+
+    The rows are written down once, with their chunk's own sums; everything read from them later
+    agrees, also after an executor is lost. Only keys that span chunks, at most two rows for each
+    chunk, are needed to complete the sums.
+    """
+    group = Window.partitionBy(CHUNK, *keys)
+    inside = group.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = durable(
+        _chunks(df, keys, order).withColumns({"_inside": F.sum(value).over(inside), "_part": F.sum(value).over(group)})
     )
-    totals = rows.groupBy(CHUNK, *keys).agg(F.sum(value).alias("_total"))
-    carried = _carry(totals, keys, F.sum("_total"), "_before")
-    summed = _with_carry(rows.withColumn("_inside", F.sum(value).over(inside)), carried, keys, "_before")
-    return summed.withColumn(
+    totals = rows.groupBy(CHUNK, *keys).agg(F.max("_part").alias("_total"))
+    if keys:
+        parts = Window.partitionBy(*keys)
+        earlier = parts.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    else:  # one row for each chunk
+        parts = Window.partitionBy(F.lit(0))
+        earlier = Window.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    spanning = totals.select(
+        F.col(CHUNK).alias("_rc"),
+        *[F.col(k).alias(f"_r_{k}") for k in keys],
+        F.count("*").over(parts).alias("_chunks"),
+        F.sum("_total").over(parts).alias("_all"),
+        F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before"),
+    ).filter("_chunks > 1")
+    on = F.col(CHUNK) == F.col("_rc")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    summed = rows.join(F.broadcast(spanning), on, "left").withColumn(
         out, F.col("_inside") + F.coalesce(F.col("_before"), F.lit(0))
-    ).drop("_inside", "_before", CHUNK)
+    )
+    if whole:
+        summed = summed.withColumn(whole, F.coalesce("_all", "_part"))
+    return summed.select(*df.columns, out, *([whole] if whole else []))
 
 
 def running_sum(
@@ -87,26 +110,23 @@ def running_sum(
 
 
 def row_numbers(
-    df: DataFrame, order: Sequence[Column | str], out: str, start: int = 1
+    df: DataFrame, order: Sequence[Column | str], out: str, start: int = 1, unique: bool = False
 ) -> DataFrame:
-    """Dense row number over the whole table without a single-task sort."""
-    order = [*order, TIE]
-    rows = _chunks(_split_ties(df), [], order)
-    totals = rows.groupBy(CHUNK).agg(F.count("*").alias("_total"))
-    carried = _carry(totals, [], F.sum("_total"), "_before")
-    inside = Window.partitionBy(CHUNK).orderBy(*order)
-    numbered = _with_carry(
-        rows.withColumn("_inside", F.row_number().over(inside)), carried, [], "_before"
-    )
-    return numbered.withColumn(
-        out,
-        (F.col("_inside") + F.coalesce(F.col("_before"), F.lit(0)) + (start - 1)).cast("bigint"),
-    ).drop("_inside", "_before", CHUNK, TIE)
+    """Dense row number over the whole table without a single-task sort.
+
+    ``unique`` says that no two rows are equal in ``order``, so that copies need no numbering first.
+    """
+    one = df.withColumn("_one", F.lit(1).cast("bigint"))
+    if unique:
+        numbered = cumulative(one, [], order, "_one", out)
+    else:
+        numbered = cumulative(_split_ties(one), [], [*order, TIE], "_one", out).drop(TIE)
+    return numbered.withColumn(out, F.col(out) + (start - 1)).drop("_one")
 
 
 def previous_value(df: DataFrame, keys: Sequence[str], order: str, out: str) -> DataFrame:
     """``LAG(order) OVER (PARTITION BY keys ORDER BY order)``."""
-    rows = _chunks(_split_ties(df), keys, [order, TIE])
+    rows = durable(_chunks(_split_ties(df), keys, [order, TIE]))
     inside = Window.partitionBy(CHUNK, *keys).orderBy(order, TIE)
     last = rows.groupBy(CHUNK, *keys).agg(F.max(order).alias("_last"))
     carried = _carry(last, keys, F.max("_last"), "_before")
@@ -128,10 +148,7 @@ def value_ranks(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """
     by = list(by)
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("cnt"))
-    ranked = cumulative(counts, by, [value], "cnt", "upto")
-    if not by:
-        return ranked.withColumn("n", ranked.agg(F.max("upto")).scalar())
-    return join_back(ranked, ranked.groupBy(*by).agg(F.max("upto").alias("n")), by)
+    return cumulative(counts, by, [value], "cnt", "upto", whole="n")
 
 
 def rank_quantiles(ranked: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = ()) -> DataFrame:

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.numbers import growth_percent, half_up, percent, ratio
-from ledgerline.operators.ordered import previous_value
 from ledgerline.operators.relational import (
     drop_matching,
     first_day,
@@ -154,9 +153,13 @@ def courier_load(user_actions: DataFrame, courier_actions: DataFrame, orders: Da
 
 
 def minutes_to_deliver(user_actions: DataFrame, courier_actions: DataFrame) -> DataFrame:
-    """Mean minutes between the delivery and the action before it, by delivery day."""
+    """Mean minutes between the delivery and the action before it, by delivery day.
+
+    A window per courier and order holds the few actions of one order.
+    """
     log = drop_matching(courier_actions, cancelled(user_actions), "order_id")
-    steps = previous_value(log, ["courier_id", "order_id"], "time", "accepted")
+    earlier = F.lag("time").over(Window.partitionBy("courier_id", "order_id").orderBy("time"))
+    steps = log.withColumn("accepted", earlier)
     spent = F.unix_micros(F.col("time").cast("timestamp")) - F.unix_micros(F.col("accepted").cast("timestamp"))
     return (
         steps.filter(F.col("action") == "deliver_order")

@@ -161,7 +161,7 @@ def write_tables(tables: Mapping[str, DataFrame], folder: str) -> None:
 def value_thirds(donations: DataFrame) -> DataFrame:
     """Donors in three equal buckets by money (NTILE), from distributed row numbers."""
     donors = donations.groupBy("donor_id").agg(F.sum(cents("amount")).alias("money_cents"))
-    ranked = row_numbers(donors, [F.col("money_cents"), F.col("donor_id")], "place")
+    ranked = row_numbers(donors, [F.col("money_cents"), F.col("donor_id")], "place", unique=True)
     n = ranked.agg(F.count("*")).scalar()
     size, larger = F.floor(F.col("n") / 3), F.col("n") % 3
     border = larger * (size + 1)

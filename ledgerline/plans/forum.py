@@ -63,7 +63,7 @@ def voted_posts_of(posts: DataFrame, votes: DataFrame, users: DataFrame, name: s
 
 
 def reverse_rank(table: DataFrame) -> DataFrame:
-    return row_numbers(table, [F.col("id").desc()], "rank")
+    return row_numbers(table, [F.col("id").desc()], "rank", unique=True)
 
 
 def top_voters(votes: DataFrame, vote_types: DataFrame, name: str, k: int = 10) -> DataFrame:
