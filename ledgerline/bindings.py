@@ -243,7 +243,8 @@ def _documents(n: int) -> str:
 
 _DOCUMENTS = "CASE event_id % 8 " + " ".join(_documents(n) for n in range(7)) + " END"
 _view("heritage", """
-    SELECT event_id AS id, 'объект ' || CAST(event_id AS VARCHAR(20)) AS "Объект",
+    SELECT event_id AS id, CASE event_id % 7 WHEN 0 THEN 'Дом жилой' WHEN 1 THEN 'Жилой дом'
+               ELSE 'объект ' || CAST(event_id AS VARCHAR(20)) END AS "Объект",
            CASE WHEN event_id % 13 = 0 THEN NULL WHEN event_id % 13 = 1 THEN '{not json'
                ELSE '{"coordinates": [' || CAST(event_id % 180 AS VARCHAR(20)) || ', ' || CAST(user_id % 90 AS VARCHAR(20))
                     || '], "type": "Point"}' END AS map_json,
@@ -259,6 +260,10 @@ _view("heritage", """
                WHEN 10 THEN 'Последняя четверть XVIII' ELSE 'середина XIX века' END AS construction_date,
            CASE event_id % 6 WHEN 0 THEN '0019-02-30' WHEN 1 THEN 'дата неизвестна' WHEN 2 THEN NULL
                ELSE SUBSTR(CAST(ts AS VARCHAR(30)), 1, 10) END AS doc_date,
+           CASE event_id % 5 WHEN 0 THEN 'не утвержден' WHEN 1 THEN 'Не утвержден.' WHEN 2 THEN NULL
+               WHEN 3 THEN 'Предмет охраны не утвержден' ELSE 'Предмет охраны ' || event_type END AS object_description,
+           CASE event_id % 6 WHEN 0 THEN 'Не утверждены.' WHEN 1 THEN 'не утверждены' WHEN 2 THEN 'Границы территории не утверждены.'
+               WHEN 3 THEN 'Не утверждены' WHEN 4 THEN NULL ELSE 'Граница ' || event_type END AS object_border_description,
            CASE WHEN event_id % 20 = 0 THEN event_type END AS sparse_95, CAST(NULL AS VARCHAR(20)) AS all_null,
            CASE WHEN event_id % 9 <> 0 THEN 'Памятник' || CASE user_id % 3 WHEN 0 THEN ' археологии' ELSE '' END END AS kind
     FROM {events}""")
@@ -282,16 +287,24 @@ _view("cars", """
                WHEN 4 THEN '2' ELSE 'бензин' END AS fuel_type,
            CASE l_orderkey % 9 WHEN 0 THEN '1,6' WHEN 1 THEN '2,0 л' WHEN 2 THEN '' WHEN 3 THEN '2.5.' WHEN 4 THEN NULL
                ELSE '1.8' END AS engine_displacement_l,
-           CASE WHEN l_orderkey % 4 = 0 THEN NULL WHEN l_partkey % 60 < 40 THEN 'АКПП' ELSE
-               CASE l_orderkey % 3 WHEN 0 THEN 'МКПП' ELSE 'АКПП' END END AS transmission_type,
-           CASE WHEN l_orderkey % 8 <> 0 THEN CASE l_orderkey % 3 WHEN 0 THEN 'Физическое лицо'
-               ELSE 'Юридическое лицо' END END AS customer_type,
-           CASE WHEN l_orderkey % 31 <> 0 THEN CAST(l_linenumber % 3 + 1 AS INTEGER) END AS quantity,
+           CASE WHEN l_orderkey % 4 = 0 THEN NULL
+               WHEN l_partkey % 60 < 40 THEN CASE l_suppkey % 4 WHEN 0 THEN 'АКПП' WHEN 1 THEN '6 АКПП' WHEN 2 THEN 'A/T' ELSE 'А' END
+               ELSE CASE l_orderkey % 7 WHEN 0 THEN 'МКПП' WHEN 1 THEN '5М/T' WHEN 2 THEN 'S-Tronic' WHEN 3 THEN 'CVT (вариатор)'
+                    WHEN 4 THEN '#Н/Д' WHEN 5 THEN 'РЕДУКТОР' ELSE 'АКПП' END END AS transmission_type,
+           CASE l_partkey % 60 % 9 WHEN 0 THEN '4x2' WHEN 1 THEN 'Передний (FF)' WHEN 2 THEN 'quattro' WHEN 3 THEN 'AWD' WHEN 4 THEN '#Н/Д'
+               WHEN 5 THEN CASE l_orderkey % 2 WHEN 0 THEN 'Задний' END ELSE CASE l_orderkey % 3 WHEN 0 THEN '2 WD' WHEN 1 THEN 'полный' END END
+               AS drive_type,
+           CASE l_orderkey % 10 WHEN 0 THEN 'кредит' WHEN 1 THEN 'лизинг' WHEN 2 THEN 'Безналичная ' WHEN 3 THEN 'б/н' WHEN 4 THEN 'нал'
+               WHEN 5 THEN 'Без оплаты' WHEN 6 THEN NULL WHEN 7 THEN 'trade-in' ELSE 'наличный' END AS payment_form,
+           CASE WHEN l_orderkey % 8 <> 0 THEN CASE l_orderkey % 9 WHEN 0 THEN 'Физическое лицо' WHEN 1 THEN 'ФизЛицо'
+               WHEN 2 THEN 'физ.лицо' WHEN 3 THEN 'Юр. Лицо' WHEN 4 THEN 'Корп. клиент' ELSE 'Юридическое лицо' END END AS customer_type,
+           CASE WHEN l_orderkey % 31 = 1 THEN -1 WHEN l_orderkey % 31 <> 0 THEN CAST(l_linenumber % 3 + 1 AS INTEGER) END AS quantity,
            CAST(CAST(FLOOR(l_extendedprice) AS BIGINT) AS VARCHAR(20)) || ',5' AS price_usd,
            CASE l_linenumber WHEN 7 THEN '0' WHEN 6 THEN '-35588'
                ELSE CAST(CAST(FLOOR(l_extendedprice * 2) AS BIGINT) AS VARCHAR(20)) || ',25' END AS sale_usd,
-           'Город ' || CAST(l_suppkey % 15 AS VARCHAR(20)) AS city, 'ДЦ ' || CAST(l_suppkey AS VARCHAR(20)) AS dealer,
-           CASE l_suppkey % 4 WHEN 0 THEN 'Коммерческие' ELSE 'Легковые' END AS car_type,
+           'Город ' || CAST(l_suppkey % 15 AS VARCHAR(20)) AS city, CASE l_suppkey % 5 WHEN 0 THEN 'Auto trader' WHEN 1 THEN ' ДЦ ' ELSE 'ДЦ ' END || CASE l_suppkey % 5 WHEN 0 THEN '' ELSE CAST(l_suppkey AS VARCHAR(20)) END AS dealer,
+           CASE l_suppkey % 4 WHEN 0 THEN 'Коммерческие' WHEN 1 THEN 'Пикапы' WHEN 2 THEN 'Минивэны' ELSE 'Легковые автомобили' END
+               AS car_type,
            CASE l_suppkey % 3 WHEN 0 THEN 'Местное' ELSE 'Импорт' END AS assembly
     FROM {lineitem}""")
 

@@ -149,6 +149,21 @@ def class_audit(before: DataFrame, after: DataFrame, member: str, column: str) -
     return old.join(new, member)
 
 
+def fill_own_mode(df: DataFrame, column: str, member: str, members: Sequence[str]) -> DataFrame:
+    """Nulls of the listed members become the member's most frequent value, the smallest one on ties."""
+    listed = F.col(member).isin(*members)
+    own = mode(df.filter(listed), column, [member], "_own").select(member, "_own")
+    filled = F.coalesce(column, F.when(listed, F.col("_own")))
+    return join_back(df, own, [member]).withColumn(column, filled).select(df.columns)
+
+
+def assign_where(df: DataFrame, rules: Sequence[tuple[Column, Mapping[str, Column]]]) -> DataFrame:
+    """Masked assignments to several columns; a rule's values and mask see the row as earlier rules left it."""
+    for predicate, values in rules:
+        df = df.withColumns({c: F.when(predicate, v).otherwise(F.col(c)) for c, v in values.items()})
+    return df
+
+
 def reset_where(df: DataFrame, column: str, rules: Sequence[tuple[Column, Column]]) -> DataFrame:
     """Masked assignments one after the other; each rule sees the earlier results."""
     for predicate, value in rules:

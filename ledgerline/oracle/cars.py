@@ -7,6 +7,17 @@ def _num(x: str) -> str:
     return f"NULLIF(regexp_replace(replace({x}, ',', '.'), '[^0-9.\\-]', '', 'g'), '')"
 
 
+def _pick(x: str, pairs: dict[str, str | None]) -> str:
+    """The raw values of the test table and what becomes of them."""
+    cases = " ".join(f"WHEN '{raw}' THEN {repr(clean) if clean else 'NULL'}" for raw, clean in pairs.items())
+    return f"CASE {x} {cases} ELSE {x} END"
+
+
+_BOXES = {"АКПП": "AT", "A/T": "AT", "А": "AT", "МКПП": "MT", "М/T": "MT", "S-Tronic": "AMT", "CVT(вариатор)": "CVT",
+          "#Н/Д": None, "РЕДУКТОР": "Редуктор"}
+_DRIVES = {"4x2": "2WD", "2 WD": "2WD", "Передний (FF)": "FWD", "quattro": "4WD", "полный": "4WD", "Задний": "RWD", "#Н/Д": None}
+_PAID = {"кредит": "В кредит", "лизинг": "В кредит", "trade-in": "В кредит", "Безналичная ": "Наличный расчёт",
+         "б/н": "Наличный расчёт", "нал": "Наличный расчёт", "наличный": "Наличный расчёт", "Без оплаты": None}
 _CANON = f"""
 ty AS (SELECT * EXCLUDE (year, month) REPLACE (TRIM(model, ' ') AS model,
           TRY_CAST(CASE manufacturing_year WHEN '2 018' THEN '2018' WHEN '2 019' THEN '2019'
@@ -31,7 +42,18 @@ c AS (SELECT * REPLACE (CASE WHEN company IN ('#Н/Д', '0') THEN NULL
                              ELSE manufacturing_country END AS manufacturing_country,
                         CASE WHEN sale_usd IN (0, -35588) THEN price_usd ELSE sale_usd END AS sale_usd,
                         CASE WHEN fuel_type = 'Электричество' THEN NULL ELSE engine_displacement_l END
-                          AS engine_displacement_l) FROM f1)"""
+                          AS engine_displacement_l,
+                        CASE WHEN fuel_type = 'Электричество' THEN 'Редуктор' ELSE
+                             {_pick("regexp_replace(transmission_type, '[ 0-9]', '', 'g')", _BOXES)} END AS transmission_type,
+                        {_pick('drive_type', _DRIVES)} AS drive_type,
+                        CASE car_type WHEN 'Пикапы' THEN 'Внедорожники' WHEN 'Минивэны' THEN 'Легковые автомобили'
+                             ELSE car_type END AS car_type,
+                        CASE dealer WHEN 'Auto trader' THEN 'Auto Trader' ELSE replace(TRIM(dealer, ' '), ' ', ' ') END AS dealer,
+                        CASE WHEN customer_type IN ('ФизЛицо', 'физ.лицо') THEN 'Физическое лицо'
+                             WHEN customer_type IN ('Юр. Лицо', 'Корп. клиент') THEN 'Юридическое лицо'
+                             ELSE customer_type END AS customer_type,
+                        {_pick('payment_form', _PAID)} AS payment_form,
+                        CASE WHEN quantity < 0 THEN 1 ELSE quantity END AS quantity) FROM f1)"""
 _W = using("cars", rest=_CANON)
 
 
@@ -80,7 +102,15 @@ SQL = {
     "car_profile": _W + _PROFILE,
     "car_top_values": _W + _TOPV,
     "car_canonical": _W + """SELECT company, manufacturing_country, fuel_type, engine_displacement_l, price_usd,
-        sale_usd, model FROM c""",
+        sale_usd, model, car_type, transmission_type, drive_type, dealer, customer_type, payment_form, quantity FROM c""",
+    "car_drives": _W.rstrip() + """,
+        d1 AS (SELECT * REPLACE (CASE WHEN drive_type = '2WD' AND model IN ('M9', 'M18') THEN 'FWD'
+                   WHEN drive_type = '2WD' AND model IN ('M27', 'M36') THEN 'RWD' WHEN drive_type = '2WD' AND model = 'M45' THEN '4WD'
+                   WHEN drive_type IS NULL AND model IN ('M8', 'M17') THEN 'FWD' ELSE drive_type END AS drive_type) FROM c),
+        own AS (SELECT model, FIRST(drive_type ORDER BY n DESC, drive_type) AS best
+                FROM (SELECT model, drive_type, COUNT(*) AS n FROM d1 WHERE drive_type IS NOT NULL GROUP BY 1, 2)
+                WHERE model IN ('M5', 'M14', 'M23', 'M6', 'M7') GROUP BY 1)
+        SELECT model, COALESCE(drive_type, best) AS drive_type, COUNT(*) AS cnt FROM d1 LEFT JOIN own USING (model) GROUP BY 1, 2""",
     "car_null_analysis": _W.rstrip() + "," + _analysis("a", "c", "manufacturing_year") + f"""
         SELECT brand, model, {big('nulls')} AS null_cnt, {big('obs')} AS obs_cnt, {_NULLP} AS null_perc,
                {_MODEP} AS mode_perc, m AS mode_value FROM a WHERE nulls > 0""",
@@ -95,9 +125,12 @@ SQL = {
         + _impute(4, "i3", "transmission_type", f"{_MODEP} = 100 AND {_NULLP} <= 90") + """
         SELECT brand, model, manufacturing_year, fuel_type, engine_displacement_l, transmission_type, price_usd, dealer
         FROM i4""",
-    "car_overrides": _W + """SELECT brand, model, CASE WHEN transmission_type IS NULL AND brand = 'Brand 3' THEN 'АКПП'
-        WHEN transmission_type IS NULL AND model IN ('M10', 'M20') THEN 'МКПП' ELSE transmission_type END
-        AS transmission_type FROM c""",
+    "car_overrides": _W + """SELECT brand, model, CASE WHEN transmission_type IS NULL AND brand = 'Brand 3' THEN 'AT'
+        WHEN transmission_type IS NULL AND model IN ('M10', 'M20') THEN 'MT' ELSE transmission_type END
+        AS transmission_type,
+        CASE WHEN model = 'M5' AND engine_displacement_l IN (2.0, 2.5) THEN 'FWD' ELSE drive_type END AS drive_type,
+        CASE WHEN model = 'M5' AND engine_displacement_l IN (2.0, 2.5) THEN 1.6 ELSE engine_displacement_l END
+        AS engine_displacement_l FROM c""",
     "car_customer_crosstab": _W + f"""SELECT quantity, COUNT(CASE WHEN customer_type = 'Физическое лицо' THEN 1 END) AS persons,
         COUNT(CASE WHEN customer_type = 'Юридическое лицо' THEN 1 END) AS firms,
         COUNT(*) - COUNT(customer_type) AS null_cnt, COUNT(*) AS obs_cnt,

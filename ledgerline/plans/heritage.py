@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.jsontext import first_item, item_rows, json_columns, json_get, longest_array, numbered_items
-from ledgerline.functions.text import lower_except, replace_whole
-from ledgerline.operators.cleaning import normalize_columns, prune_sparse
+from ledgerline.functions.text import lower_except, replace_in_order
+from ledgerline.operators.cleaning import canonicalize, normalize_columns, prune_sparse
 from ledgerline.operators.profile import before_after, null_profile, value_counts
 
 # Spellings of construction dates, each list goes to one form.
@@ -66,23 +66,45 @@ PART_RULES = [
 EARLIEST, LATEST = "1677-09-22", "2262-04-11"
 
 
+# Spellings of whole values in three more columns.
+NOT_APPROVED = {
+    "Предмет охраны не утверждён": [
+        "не утвержден", "Не утвержден.", "Не утвержден", "Предмет охраны не утвержден.", "Предмет охраны не утвержден",
+    ],
+}
+BORDERS = {
+    "Границы территории не утверждены": [
+        "Не утверждены.", "не утверждены", "Границы территории не утверждены.", "Не утверждены",
+    ],
+}
+WHOLE_VALUES = {
+    "object": {"Жилой дом": ["Дом жилой"]},
+    "object_description": NOT_APPROVED,
+    "object_border_description": BORDERS,
+}
+
+
 def normalized(register: DataFrame, column: str = "construction_date") -> DataFrame:
     """Lower-cased but for Roman numerals, one spelling per date; the text 'nan' is null.
 
     Separate steps, so that no step's expression is repeated inside the next one.
     """
-    known: dict[str, str | None] = {v: canon for canon, vs in SPELLINGS.items() for v in vs}
     lowered = register.withColumn(column, lower_except(column, ROMAN))
-    spelled = lowered.withColumn(column, replace_whole(column, {**known, "nan": None}))
+    spelled = canonicalize(lowered, column, SPELLINGS, ["nan"])
     result = F.col(column)
     for pattern, replacement, is_regex in PART_RULES:
-        if is_regex:
-            result = F.regexp_replace(result, pattern, replacement)
-        else:
-            result = F.replace(result, F.lit(pattern), F.lit(replacement))
+        result = replace_in_order(result, [(pattern, replacement)], is_regex)
     return spelled.withColumn(column, F.btrim(result, F.lit(" ")))
 
 
+def normalized_all(register: DataFrame) -> DataFrame:
+    """Dates and the three columns whose variants are whole values."""
+    named = normalized(normalize_columns(register, {"объект": "object"}))
+    for column, variants in WHOLE_VALUES.items():
+        named = canonicalize(named, column, variants)
+    return named
+
+
 def coerced_date(text: str) -> Column:
     """Date or null: unreadable, impossible and out-of-range dates are null."""
     day = F.col(text).try_cast("date")
@@ -142,7 +164,7 @@ QUERIES = {
     "her_dates": lambda t: t.heritage.select("id", coerced_date("doc_date").alias("document_date")),
     "her_nulls": lambda t: null_profile(t.heritage),
     "her_nulls_archaeology": lambda t: null_profile(archaeology(t.heritage)),
-    "her_normalize": lambda t: normalized(t.heritage).select("id", "construction_date"),
+    "her_normalize": lambda t: normalized_all(t.heritage).select("id", "construction_date", *WHOLE_VALUES),
     "her_value_counts": lambda t: value_counts(normalized(t.heritage), "construction_date"),
     "her_before_after": lambda t: before_after(
         t.heritage, normalized(t.heritage), ["construction_date", "kind"]
