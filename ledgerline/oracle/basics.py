@@ -12,6 +12,10 @@ _MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 _CUSTOMER = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
 
 SQL = {
+    "tab_csv": "SELECT c_custkey, c_name, c_mktsegment, CAST(c_nationkey AS INTEGER) AS c_nationkey FROM customer",
+    "tab_dirty_csv": "SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, p_type, TRUE AS whole FROM part",
+    "tab_export": """SELECT o_orderstatus, COUNT(*) AS orders, MAX(o_orderkey) AS last_order FROM orders GROUP BY 1""",
+    "tab_view": "SELECT n_nationkey, n_name FROM nation",
     "tab_shape": "SELECT COUNT(*) AS row_cnt, CAST(11 AS BIGINT) AS column_cnt FROM lineitem",
     "tab_peek": " UNION ALL ".join(
         f"SELECT * FROM (SELECT c_custkey AS row_key, '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value FROM customer "

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +21,19 @@ from ledgerline.operators.profile import (
     null_profile,
 )
 from ledgerline.operators.relational import missing_members, whole
-from ledgerline.sources.tables import peek, shape
+from ledgerline.session import checkpoint_folder
+from ledgerline.sources.tables import (
+    BAD_ROW,
+    drop_view,
+    export,
+    peek,
+    read_csv,
+    read_dirty_csv,
+    read_table,
+    session_view,
+    shape,
+    write_csv,
+)
 
 
 def extreme_rows(df: DataFrame, value: str) -> DataFrame:
@@ -64,7 +78,45 @@ def short_types(part: DataFrame) -> DataFrame:
 
 MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
+def _scratch(t, name: str) -> str:
+    return f"{checkpoint_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def csv_round_trip(t) -> DataFrame:
+    """A table written as delimited text and read again with its schema."""
+    folder = _scratch(t, "csv")
+    write_csv(t.customer.select("c_custkey", "c_name", "c_mktsegment", "c_nationkey"), folder, ";")
+    return read_csv(t.spark, folder, "c_custkey bigint, c_name string, c_mktsegment string, c_nationkey int", ";")
+
+
+def dirty_csv_round_trip(t) -> DataFrame:
+    """The same through the reader that takes every column as text."""
+    folder, columns = _scratch(t, "dirty"), ["p_partkey", "p_name", "p_type"]
+    write_csv(t.part.select(columns), folder)
+    return read_dirty_csv(t.spark, folder, columns).select(*columns, F.col(BAD_ROW).isNull().alias("whole"))
+
+
+def exported(t) -> DataFrame:
+    """Tables written side by side, one of them by status, and read again."""
+    folder = _scratch(t, "export")
+    export({"orders": t.orders.select("o_orderkey", "o_orderstatus")}, folder, "o_orderstatus")
+    back = t.spark.read.parquet(f"{folder}/orders")
+    return back.groupBy("o_orderstatus").agg(F.count("*").alias("orders"), F.max("o_orderkey").alias("last_order"))
+
+
+def viewed(t) -> DataFrame:
+    """A session view read by its name."""
+    name = session_view(t.nation.select("n_nationkey", "n_name"), f"nations_{uuid.uuid4().hex}")
+    rows = read_table(t.spark, name)
+    drop_view(t.spark, name)
+    return rows
+
+
 QUERIES = {
+    "tab_csv": csv_round_trip,
+    "tab_dirty_csv": dirty_csv_round_trip,
+    "tab_export": exported,
+    "tab_view": viewed,
     "tab_shape": lambda t: shape(t.lineitem),
     "tab_peek": lambda t: peek(t.customer, "c_custkey", 2),
     "tab_null_profile": lambda t: null_profile(

@@ -17,15 +17,17 @@ def read_csv(spark: SparkSession, path: str, schema: str | StructType, sep: str
     return reader.option("quote", '"').option("escape", '"').option("nullValue", null).csv(path)
 
 
-def read_dirty_csv(spark: SparkSession, path: str, columns: Sequence[str], sep: str = ",") -> DataFrame:
+def read_dirty_csv(
+    spark: SparkSession, path: str, columns: Sequence[str], sep: str = ",", line_breaks: bool = False
+) -> DataFrame:
     """Wide text with mixed types: every column a string, broken rows kept in ``_bad_row``.
 
-    Quoted line breaks are allowed, which keeps each file in one task; split such a file into
-    several when it grows.
+    A file of any size is split over tasks. ``line_breaks`` is for files that have line breaks inside
+    quotes: only then a file has to be read by one task; without it, such a row counts as broken.
     """
     fields = [StructField(c, StringType()) for c in (*columns, BAD_ROW)]
     reader = spark.read.schema(StructType(fields)).option("header", True).option("sep", sep)
-    reader = reader.option("multiLine", True).option("quote", '"').option("escape", '"')
+    reader = reader.option("multiLine", line_breaks).option("quote", '"').option("escape", '"')
     return reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD_ROW).csv(path)
 
 

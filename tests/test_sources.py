@@ -25,7 +25,7 @@ def test_other_separators(spark, tmp_path):
 def test_dirty_csv_keeps_broken_rows(spark, tmp_path):
     path = tmp_path / "d.csv"
     path.write_text('a,b\n1,"two\nlines"\n1\n3,4,5\n')
-    got = tables.read_dirty_csv(spark, str(path), ["a", "b"]).cache()
+    got = tables.read_dirty_csv(spark, str(path), ["a", "b"], line_breaks=True).cache()
     assert got.count() == 3 and got.filter(F.col(tables.BAD_ROW).isNotNull()).count() == 2
 
 
