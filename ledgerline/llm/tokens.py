@@ -17,7 +17,7 @@ import numpy as np
 from ledgerline.llm.words import _letters, mix, spans
 
 #: Entries of a worker's memory of chunks before it starts afresh; results do not depend on it.
-REMEMBER = 1_500_000
+REMEMBER = 800_000
 #: The pattern of byte-level BPE vocabularies that cuts a text into pieces.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -51,9 +51,9 @@ class Encoder:
 
     def _forget(self):
         self.known = 0
-        self.slots = np.full(1 << 22, -1, np.int32)
+        self.slots = np.full(1 << 21, -1, np.int32)
         self.key, self.check = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.uint64)
-        self.at, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.at, self.size = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
         self.ids, self.used = np.zeros(1 << 18, np.uint32), 0
 
     def _find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
@@ -142,7 +142,7 @@ class Encoder:
             pick = new[_first_of(key[new], check[new])]
             self._learn(data, start[pick], end[pick], key[pick], check[pick], alone[pick])
             entry[new] = self._find(key[new], check[new])
-        sizes, at = self.size[entry], self.at[entry]
+        sizes, at = self.size[entry].astype(np.int64), self.at[entry].astype(np.int64)
         reach = np.concatenate([[0], np.cumsum(sizes)])
         ids = self.ids[np.arange(reach[-1]) + np.repeat(at - reach[:-1], sizes)]
         per_row = np.zeros(rows + 1, np.int64)
