@@ -33,6 +33,8 @@ from ledgerline.session import durable
 FAN = 32
 #: A marked container is taken if it holds this share of the text that is not left out.
 MARKED = 0.2
+#: Hosts up to which containers (some 50 bytes each) are broadcast.
+FEW_HOSTS = 50_000
 #: Without one, the way leads down while a single child holds this share.
 DOWN = 0.7
 
@@ -210,14 +212,32 @@ def _mark_groups(items: tuple, groups: set) -> tuple:
     return tuple(out)
 
 
+def _mark_plain(items: tuple, groups: set) -> tuple:
+    """Plain occurrences of a group that is optional elsewhere, as one item to be compared with it."""
+    out = list(items)
+    for group in sorted(groups, key=lambda g: (-len(g), repr(g))):
+        at, size = 0, len(group)
+        while size > 1 and at + size <= len(out):
+            if tuple(out[at : at + size]) == group:
+                out[at : at + size] = [("=", group)]
+            at += 1
+    return tuple(out)
+
+
+def _is(x, *tags: str) -> bool:
+    return isinstance(x, tuple) and x[0] in tags
+
+
 def _bare(x):
-    return x[1] if isinstance(x, tuple) and x[0] == "?" else (x,)
+    return x[1] if _is(x, "?", "=") else (x,)
 
 
 def align(a: tuple, b: tuple) -> tuple:
     """One expression for what either describes: common items stay, the others become optional groups."""
     groups = _groups(a) | _groups(b)
     a, b = _mark_groups(a, groups), _mark_groups(b, groups)
+    optional = {x[1] for x in (*a, *b) if _is(x, "?")}
+    a, b = _mark_plain(a, optional), _mark_plain(b, optional)
     n, m = len(a), len(b)
     common = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
@@ -236,8 +256,7 @@ def align(a: tuple, b: tuple) -> tuple:
     while i < n and j < m:
         if _bare(a[i]) == _bare(b[j]):
             lacking()
-            optional = any(isinstance(x, tuple) and x[0] == "?" for x in (a[i], b[j]))
-            out.append(("?", _bare(a[i])) if optional else a[i])
+            out.extend([("?", _bare(a[i]))] if _is(a[i], "?") or _is(b[j], "?") else _bare(a[i]))
             i, j = i + 1, j + 1
         elif common[i + 1][j] >= common[i][j + 1]:
             only.append(a[i])
@@ -363,8 +382,10 @@ def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Dat
         .agg(F.collect_list(F.struct("what", "chars")).alias("found"))
         .select("host", choose("found").alias("container"))
     )
-    return level.join(chosen, "host", "left").select(
-        "host", F.col("what").alias("wrapper"), F.coalesce("container", F.lit("")).alias("container"), F.col("n").alias("n_pages")
+    return durable(
+        level.join(chosen, "host", "left").select(
+            "host", F.col("what").alias("wrapper"), F.coalesce("container", F.lit("")).alias("container"), F.col("n").alias("n_pages")
+        )
     )
 
 
@@ -403,8 +424,12 @@ def extract(pages: DataFrame, wrappers: DataFrame, id_col: str = "page_id", url_
         F.col(html_col).alias("html"),
         host_of(F.col(url_col)).alias("host"),
     )
+    known = wrappers.select("host", "container")
+    # a few bytes for each host: sent to all tasks while there are few enough, else a join that Spark splits
+    if known.count() <= FEW_HOSTS:
+        known = F.broadcast(known)
     return (
-        rows.join(wrappers.select("host", "container"), "host", "left")
+        rows.join(known, "host", "left")
         .select("page_id", "url", "html", "container")
         .mapInArrow(run, "page_id long, url string, text string")
     )
