@@ -330,6 +330,16 @@ _view("gifts", """
 _view("attempts", """
     SELECT user_id AS donor_id, ts AS tried_at, CASE event_type WHEN 'error' THEN 'failed' ELSE 'success' END AS status
     FROM {events}""")
+_view("companies", """
+    SELECT c_custkey AS company_id, c_mktsegment AS tariff, 1 + c_custkey % 30 AS staff FROM {customer}""")
+_view("company_orders", "SELECT o_custkey AS company_id, o_orderdate AS ordered_at FROM {orders}")
+_view("counterparties", """
+    SELECT o_custkey AS company_id, l_suppkey AS counterparty_id FROM {orders} JOIN {lineitem} ON l_orderkey = o_orderkey""")
+_view("talks", """
+    SELECT doc_id AS talk_id, source AS speaker, n_chars AS seconds,
+           CASE doc_id % 5 WHEN 0 THEN 'writer, designer' WHEN 1 THEN 'writer' WHEN 2 THEN 'physicist' WHEN 3 THEN NULL
+               ELSE 'designer,physicist' END AS occupation
+    FROM {documents}""")
 _view("emails", """
     SELECT user_id, event_id % 400 AS message_id,
            CASE event_type WHEN 'view' THEN 'sent' WHEN 'click' THEN 'opened' WHEN 'purchase' THEN 'clicked' END AS stage,

@@ -60,6 +60,17 @@ SQL = {
                      c_mktsegment AS tariff, CASE WHEN COUNT(*) <= 5 THEN '1-5' WHEN COUNT(*) <= 10 THEN '6-10'
                      WHEN COUNT(*) <= 15 THEN '11-15' ELSE '16+' END AS orders_band
               FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_mktsegment) GROUP BY 1, 2, 3""",
+    "churn_features": using("companies", "company_orders", "counterparties", rest="""
+        u AS (SELECT company_id, COUNT(*) AS n, MAX(ordered_at) AS last_at FROM company_orders GROUP BY 1),
+        k AS (SELECT company_id, COUNT(DISTINCT counterparty_id) AS m FROM counterparties GROUP BY 1),
+        c AS (SELECT CASE WHEN last_at < DATE '2001-01-01' THEN 'churned' ELSE 'retained' END AS side, tariff,
+                     CASE WHEN staff < 5 THEN '1-4' WHEN staff < 16 THEN '5-15' ELSE '16+' END AS staff,
+                     CASE WHEN n < 6 THEN '1-5' WHEN n < 11 THEN '6-10' WHEN n < 16 THEN '11-15' ELSE '16+' END AS orders,
+                     CASE WHEN COALESCE(m, 0) < 11 THEN '1-10' WHEN m < 41 THEN '11-40' ELSE '41+' END AS counterparties
+              FROM companies JOIN u USING (company_id) LEFT JOIN k USING (company_id)),
+        f AS (UNPIVOT c ON tariff, staff, orders, counterparties INTO NAME feature VALUE value)""") + f"""
+        SELECT side, feature, value, COUNT(*) AS companies,
+               {pct('COUNT(*)', 'SUM(COUNT(*)) OVER (PARTITION BY side, feature)')} AS share FROM f GROUP BY 1, 2, 3""",
     "churn_coverage": f"""SELECT covered, customers, {pct('covered', 'customers')} AS coverage FROM
         (SELECT (SELECT COUNT(*) FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)) AS covered,
                 (SELECT COUNT(*) FROM customer) AS customers)""",

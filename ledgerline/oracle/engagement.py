@@ -59,6 +59,9 @@ SQL = {
         JOIN (SELECT product_id, COUNT(*) AS views FROM order_lines GROUP BY 1) USING (product_id) GROUP BY 1""",
     "ted_by_language": f"""SELECT lang, COUNT(*) AS talks, COUNT(DISTINCT source) AS speakers, {big('SUM(n_chars)')} AS chars
         FROM documents GROUP BY 1""",
+    "ted_by_occupation": using("talks") + f"""
+        SELECT TRIM(o) AS occupation, COUNT(*) AS talks, COUNT(DISTINCT speaker) AS speakers, {big('SUM(seconds)')} AS seconds
+        FROM (SELECT *, UNNEST(string_split(COALESCE(occupation, 'unknown'), ',')) AS o FROM talks) GROUP BY 1""",
     "ted_top_speaker": """SELECT lang, source, talks FROM (SELECT lang, source, COUNT(*) AS talks,
         ROW_NUMBER() OVER (PARTITION BY lang ORDER BY COUNT(*) DESC, source) AS p FROM documents GROUP BY 1, 2) WHERE p = 1""",
 }

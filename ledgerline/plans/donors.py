@@ -192,6 +192,35 @@ def churn_portrait(customers: DataFrame, orders: DataFrame, active_since: str) -
     return counts.join(totals, "side").withColumn("share", percent("customers", "_total")).drop("_total")
 
 
+STAFF_BANDS = [(4.0, "1-4"), (15.0, "5-15")]
+PARTNER_BANDS = [(10.0, "1-10"), (40.0, "11-40")]
+
+
+def churn_features(companies: DataFrame, orders: DataFrame, counterparties: DataFrame, active_since: str) -> DataFrame:
+    """Churned against retained companies by tariff, staff, orders and counterparties, one feature per row.
+
+    Orders and pairs of partners become one row per company before they meet; shares are of each side.
+    """
+    used = orders.groupBy("company_id").agg(F.count("*").alias("orders"), F.max("ordered_at").alias("last_at"))
+    partners = counterparties.distinct().groupBy("company_id").agg(F.count("counterparty_id").alias("partners"))
+    churned = F.when(F.to_date("last_at") < F.lit(active_since).cast("date"), "churned").otherwise("retained")
+    known = companies.join(used, "company_id").join(partners, "company_id", "left").na.fill(0, ["partners"])
+    features = {
+        "tariff": F.col("tariff"),
+        "staff": band("staff", STAFF_BANDS, "16+"),
+        "orders": band("orders", ORDER_BANDS, "16+"),
+        "counterparties": band("partners", PARTNER_BANDS, "41+"),
+    }
+    pairs = F.array(*[F.struct(F.lit(k).alias("feature"), v.alias("value")) for k, v in features.items()])
+    counts = (
+        known.select(churned.alias("side"), F.explode(pairs).alias("p"))
+        .groupBy("side", "p.feature", "p.value")
+        .agg(F.count("*").alias("companies"))
+    )
+    of_side = Window.partitionBy("side", "feature")  # a few bands each
+    return counts.withColumn("share", percent("companies", F.sum("companies").over(of_side)))
+
+
 def churn_coverage(customers: DataFrame, orders: DataFrame) -> DataFrame:
     """How many customers the portrait covers."""
     known = keep_matching(customers, orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
@@ -219,5 +248,6 @@ QUERIES = {
     "rfm_segments": lambda t: rfm_segments(rfm_scores(t.donations, TODAY)),
     "rfm_value_thirds": lambda t: value_thirds(t.donations),
     "churn_portrait": lambda t: churn_portrait(t.customer, t.orders, ACTIVE_SINCE),
+    "churn_features": lambda t: churn_features(t.companies, t.company_orders, t.counterparties, ACTIVE_SINCE),
     "churn_coverage": lambda t: churn_coverage(t.customer, t.orders),
 }

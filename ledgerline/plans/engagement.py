@@ -156,6 +156,16 @@ def documents_by_language(documents: DataFrame) -> DataFrame:
     )
 
 
+def talks_by_occupation(talks: DataFrame) -> DataFrame:
+    """Talks, speakers and seconds per occupation; a speaker may name several, an unnamed one is unknown."""
+    named = F.coalesce(F.split("occupation", r",\s*"), F.array(F.lit("unknown")))
+    return (
+        talks.select("speaker", "seconds", F.explode(F.array_distinct(named)).alias("occupation"))
+        .groupBy("occupation")
+        .agg(F.count("*").alias("talks"), F.countDistinct("speaker").alias("speakers"), F.sum("seconds").alias("seconds"))
+    )
+
+
 def top_speaker_per_language(documents: DataFrame) -> DataFrame:
     sums = documents.groupBy("lang", "source").agg(F.count("*").alias("talks"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("talks"), F.asc("source")))
@@ -177,5 +187,6 @@ QUERIES = {
     "zen_topics": lambda t: extreme_topics(t.visits),
     "ted_topics": lambda t: topics(t.products, t.order_lines),
     "ted_by_language": lambda t: documents_by_language(t.documents),
+    "ted_by_occupation": lambda t: talks_by_occupation(t.talks),
     "ted_top_speaker": lambda t: top_speaker_per_language(t.documents),
 }
