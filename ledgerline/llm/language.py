@@ -18,9 +18,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.llm.sample import least_hashed
 from ledgerline.llm.ship import ship
 from ledgerline.llm.words import Kind, flat, slices
 
@@ -140,9 +141,7 @@ def fit(
     rows = labelled.select(
         F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")
     ).filter("lang is not null and text is not null")
-    keys = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    chosen = keys.withColumn("nth", nth).filter(F.col("nth") <= per_language).select("doc_id", "lang").distinct()
+    chosen = least_hashed(rows, "doc_id", "lang", per_language)
     sample = rows.join(chosen, ["doc_id", "lang"], "left_semi").filter(F.col("text").rlike(r"\p{L}"))
     got = sample.mapInArrow(_training_rows, "lang string, size int, places binary, counts binary").collect()
     if not got:

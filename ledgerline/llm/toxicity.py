@@ -20,9 +20,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.llm.sample import least_hashed
 from ledgerline.llm.ship import ship
 from ledgerline.llm.words import ALNUM, Words, _letters, flat, mix, slices, spans
 from ledgerline.session import durable
@@ -226,9 +227,10 @@ def fit(
     ship(docs.sparkSession)
     marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("toxic")).filter("toxic in (0, 1)").distinct()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.lower(F.col(text_col)).alias("text")).filter("text is not null")
-    nth = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    keys = rows.select("doc_id").join(marks, "doc_id").withColumn("nth", nth)
-    chosen = keys.filter(F.col("nth") <= F.when(F.col("toxic") == 1, toxic).otherwise(clean)).select("doc_id", "toxic").distinct()
+    known = rows.select("doc_id").join(marks, "doc_id")
+    chosen = least_hashed(known.filter("toxic = 1"), "doc_id", "toxic", toxic).union(
+        least_hashed(known.filter("toxic = 0"), "doc_id", "toxic", clean)
+    )
     sample = durable(rows.join(chosen, "doc_id").select("text", "toxic"))
     size = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if len(size) < 2:
