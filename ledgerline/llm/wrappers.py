@@ -1,27 +1,34 @@
 """Text extraction by wrappers: union-free regular expressions inferred from the pages of a host.
 
-A page is a stream of block tags and text slots. Neighbouring repeats of a group become a repeated group;
-the different streams of a host are aligned one after the other, and what one has and another lacks
-becomes an optional group, until one expression describes the host's pages. The container that holds the
-host's article is chosen on that wrapper by the text its slots receive over all pages; menus, headers,
-footers, sidebars, notices, adverts, forms and reader comments are left out by what their elements are
-and are called. A page's text is what its slots below the container hold.
-
-Scale: pages become structures in the tasks that read them; only different structures, with counts, are
-shuffled, and alignments run over groups of at most about ``FAN`` of them, level by level, so a host with
-a third of all pages is no larger a task than others. The html is read twice and joined once to one small
-row for each host.
+A page is a tree of blocks and text slots. For each path of a host's pages the children's labels make a
+stream. Neighbouring repeats of a group become a repeated group (unless
+they are equally many on all pages); the different streams of a path are aligned one after the other, and what one has and another lacks becomes an optional group, until one
+expression describes the path on all pages. Streams of more than ``LONG`` items become a repeated group
+of optional items, so an expression grows with the labels of the template only.
+
+Each page is matched against its host's expressions: the place in the expression that a child takes tells
+plain neighbours apart (the second ``div`` of a body is another slot than the first). A slot is constant if
+``SAME`` pages or more hold it and all hold the same text. The container is a wrapper node: the highest one
+marked as the article that holds enough of the text, or else the lowest that holds most of the text of
+variable slots. Menus, headers, footers, sidebars, notices, adverts, forms and reader comments are left out
+by what their elements are and are called. A page's text is what its slots below the container hold.
+
+Scale: streams are folded in the tasks that read them; only different ones, with counts, are shuffled, and
+alignments run over groups of about ``FAN``, level by level, so a host with a third of all pages is no larger
+a task than others. Slots are summed by aggregates with partial sums. The html is read once for streams, once
+for slots and once for texts, and joined to one small row for each host.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
 import html
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,8 +40,14 @@ from ledgerline.session import durable
 FAN = 32
 #: A marked container is taken if it holds this share of the text that is not left out.
 MARKED = 0.2
-#: Hosts up to which containers (some 50 bytes each) are broadcast.
-FEW_HOSTS = 50_000
+#: Bytes of wrappers and containers up to which they are broadcast.
+FEW_BYTES = 32 << 20
+#: Items of a stream or expression above which it becomes a repeated group of optional items.
+LONG = 16
+#: Pages with the same text from which a slot counts as constant.
+SAME = 3
+#: Paths with fewer elements than this share of a host's pages get no expression.
+RARE = 1 / 200
 #: Without one, the way leads down while a single child holds this share.
 DOWN = 0.7
 
@@ -64,6 +77,7 @@ _TAG = re.compile(
 )
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b")
 _WORD = re.compile(r"[a-z][a-z-]*")
+_PLACE = re.compile(r"/\d+:")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
@@ -87,12 +101,14 @@ def _element(name: str, attributes: str) -> tuple[str, bool, bool]:
 
 
 class Page:
-    """Blocks of text with their paths, and the stream of tags and slots."""
+    """Blocks of text with their paths, and the tree of elements and slots."""
 
     def __init__(self, source: str):
         self.blocks: list[tuple[str, bool, str]] = []
-        self.symbols: list[str] = []
-        self._stack: list[tuple[str, str, bool]] = []  # name, path, left out
+        self.inside: list[int] = []  # the element of each block
+        self.elements: list[tuple[int, str, str]] = [(-1, "", "")]  # parent, path, label; the first is the page
+        self.children: list[list[int]] = [[]]  # of each element; 0 is a slot
+        self._stack: list[tuple[str, str, bool, int]] = []  # name, path, left out, element
         self._text: list[str] = []
         at, size = 0, len(source)
         while at < size:
@@ -122,37 +138,52 @@ class Page:
         text = " ".join(html.unescape("".join(self._text)).split())
         self._text = []
         if text:
-            _, path, out = self._stack[-1] if self._stack else ("", "", False)
+            _, path, out, at = self._stack[-1] if self._stack else ("", "", False, 0)
             self.blocks.append((path, out, text))
-            if not self.symbols or self.symbols[-1] != "#":
-                self.symbols.append("#")
+            self.inside.append(at)
+            if self.children[at][-1:] != [0]:
+                self.children[at].append(0)
 
     def _push(self, name: str, attributes: str) -> None:
-        _, path, out = self._stack[-1] if self._stack else ("", "", False)
+        _, path, out, at = self._stack[-1] if self._stack else ("", "", False, 0)
         label, left, marked = _element(name, attributes)
         inside = any(part.split("!")[-1:] == ["article"] for part in path.split("/"))
         # a header within the article holds its headline
         left = left and not (name == "header" and inside)
         label = f"{label}!article" if marked else label
-        self._stack.append((name, f"{path}/{label}", out or left or (name == "header" and not inside)))
+        self.children[at].append(len(self.elements))
+        self._stack.append((name, f"{path}/{label}", out or left or (name == "header" and not inside), len(self.elements)))
+        self.elements.append((at, f"{path}/{label}", label))
+        self.children.append([])
 
     def _pop(self, at: int) -> None:
-        for name, path, _ in reversed(self._stack[at:]):
-            if name in BLOCKS:
-                self.symbols.append(f"/{path.rsplit('/', 1)[1]}")
         del self._stack[at:]
 
+    def streams(self) -> list[tuple[str, tuple]]:
+        """Each element's path and the labels of its children."""
+        labels = [e[2] for e in self.elements]
+        return [(e[1], tuple(labels[c] or "#" for c in found)) for e, found in zip(self.elements, self.children)]
+
+    def slots(self, models: dict[str, str]) -> list[str]:
+        """The wrapper node of each block: a path whose steps tell the place in the parent's expression."""
+        where = [""] * len(self.elements)
+        for at, (path, labels) in enumerate(self.streams()):
+            if labels:
+                for child, label, place in zip(self.children[at], labels, places(models.get(path, "[]"), labels)):
+                    if child:
+                        where[child] = f"{where[at]}/{place}:{label}"
+        return [where[at] for at in self.inside]
+
     def _open(self, name: str, attributes: str) -> None:
         if name in BLOCKS:
             self._flush()
-            names = [n for n, _, _ in self._stack]
+            names = [n for n, *_ in self._stack]
             if name in CLOSES_P and "p" in names:
                 self._pop(len(names) - 1 - names[::-1].index("p"))
             elif name in ("li", "tr", "td", "th", "dt", "dd") and names[-1:] == [name]:
                 self._pop(len(names) - 1)
             if name not in VOID:
                 self._push(name, attributes)
-                self.symbols.append(self._stack[-1][1].rsplit("/", 1)[1])
         elif name == "br":
             self._text.append(" ")
         elif name in LEFT_OUT and name not in VOID or name == "title":
@@ -162,7 +193,7 @@ class Page:
     def _close(self, name: str) -> None:
         if name not in BLOCKS and name not in LEFT_OUT and name != "title":
             return
-        names = [n for n, _, _ in self._stack]
+        names = [n for n, *_ in self._stack]
         if name in names:
             self._flush()
             self._pop(len(names) - 1 - names[::-1].index(name))
@@ -249,7 +280,8 @@ def align(a: tuple, b: tuple) -> tuple:
 
     def lacking():
         if only:
-            group = tuple(y for x in only for y in _bare(x))
+            # what is optional in a larger group stays so
+            group = tuple(y for x in only for y in (_bare(x) if len(only) == 1 or _is(x, "=") else (x,)))
             out.append(("?", group))
             only.clear()
 
@@ -288,45 +320,169 @@ def as_expression(items: tuple) -> str:
     return " ".join(x if isinstance(x, str) else f"( {as_expression(x[1])} ){x[0]}" for x in items)
 
 
+def _leaves(items: tuple) -> list[str]:
+    return [y for x in items for y in ((x,) if isinstance(x, str) else _leaves(x[1]))]
+
+
+def widen(items: tuple) -> tuple:
+    """An expression of bounded size for at least the same streams."""
+    found = _leaves(items)
+    return items if len(found) <= LONG else (("+", tuple(("?", (("+", (x,)),)) for x in sorted(set(found)))),)
+
+
+@functools.lru_cache(maxsize=1 << 14)
+def _stream(labels: tuple) -> str:
+    return as_json(labels if len(labels) <= LONG else widen(fold(labels)))
+
+
+def _number(items: tuple, steady: set[str], seen: Counter) -> tuple:
+    out = []
+    for x in items:
+        if isinstance(x, str):
+            seen[x] += 1
+            out.append(f"{x}\0{seen[x]}" if x in steady else x)
+        else:
+            out.append((x[0], _number(x[1], steady, seen)) if x[0] == "?" else x)
+    return tuple(out)
+
+
+def _unnumber(items: tuple) -> tuple:
+    return tuple(x.split("\0")[0] if isinstance(x, str) else (x[0], _unnumber(x[1])) for x in items)
+
+
+def merged(expressions: list[str]) -> str:
+    """One expression for all. Items of a label that wherever it occurs occurs equally often are no repeats."""
+    each = [from_json(x) for x in expressions]
+    counts: dict[str, set[int]] = {}
+    for items in each:
+        seen: Counter = Counter()
+        _number(items, set(), seen)
+        for x, n in seen.items():
+            counts.setdefault(x, set()).add(n)
+    repeated = {y for items in each for group in _groups(items) for y in _leaves(group)}
+    steady = {x for x, n in counts.items() if len(n) == 1 and x not in repeated}
+    each = [fold(_number(items, steady, Counter())) for items in each]
+    return as_json(widen(_unnumber(functools.reduce(align, each))))
+
+
 @functools.lru_cache(maxsize=1 << 12)
-def _structure(symbols: str) -> str:
-    return as_json(fold(tuple(symbols.split(" "))))
+def _automaton(expression: str) -> tuple[list[str], list[list[int]], list[int], set[int]]:
+    """Symbols by place, places that may follow each, first and last places."""
+    symbols, follow = [], []
+
+    def then(ends: list[int], starts: list[int]) -> None:
+        for end in ends:
+            follow[end] += [x for x in starts if x not in follow[end]]
+
+    def walk(items: tuple) -> tuple[bool, list[int], list[int]]:
+        empty, first, last = True, [], []
+        for x in items:
+            if isinstance(x, str):
+                skip, starts, ends = False, [len(symbols)], [len(symbols)]
+                symbols.append(x)
+                follow.append([])
+            else:
+                skip, starts, ends = walk(x[1])
+                if x[0] == "+":
+                    then(ends, starts)
+                skip |= x[0] == "?"
+            then(last, starts)
+            first = first + starts if empty else first
+            last = last + ends if skip else ends
+            empty &= skip
+        return empty, first, last
+
+    _, first, last = walk(from_json(expression))
+    return symbols, follow, first, set(last)
+
+
+@functools.lru_cache(maxsize=1 << 14)
+def places(expression: str, labels: tuple) -> tuple[int, ...]:
+    """The place each label takes when the expression describes the labels; where it does not, the first
+    place of the label, or 0."""
+    symbols, follow, first, last = _automaton(expression)
+    steps: list[dict[int, int]] = []
+    for label in labels:
+        now: dict[int, int] = {}
+        for was, following in [(-1, first)] if not steps else [(s, follow[s]) for s in sorted(steps[-1])]:
+            for to in following:
+                if symbols[to] == label:
+                    now.setdefault(to, was)
+        steps.append(now)
+    at = min((s for s in steps[-1] if s in last), default=None)
+    if at is None:
+        return tuple(symbols.index(x) if x in symbols else 0 for x in labels)
+    out = []
+    for step in reversed(steps):
+        out.append(at)
+        at = step[at]
+    return tuple(reversed(out))
+
+
+def whole(models: dict[str, str]) -> tuple:
+    """The expressions of all paths in one; an element with more than three children is shown once."""
+    shown: set[str] = set()
+
+    def inner(items: tuple, path: str) -> tuple:
+        out: list = []
+        for x in items:
+            if x == "#":
+                out.append(x)
+            elif isinstance(x, str):
+                at = f"{path}/{x}"
+                content = from_json(models.get(at, "[]"))
+                again = at in shown and len(content) > 3
+                shown.add(at)
+                out += [x, *(("...",) if again else inner(content, at)), f"/{x}"]
+            else:
+                out.append((x[0], inner(x[1], path)))
+        return tuple(out)
+
+    return inner(from_json(models.get("", "[]")), "")
 
 
 # --- Spark ---
 
 
-def _structures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        seen: dict[tuple, list[int]] = {}
+        seen: dict[tuple, int] = {}
         for host, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-            page = Page(source or "")
-            if page.symbols:
-                seen.setdefault((host, 0, _structure(" ".join(page.symbols))), [0, 0])[0] += 1
-            for path, out, text in page.blocks:
-                if not out:
-                    mass = seen.setdefault((host, 1, path), [0, 0])
-                    mass[0] += 1
-                    mass[1] += len(text)
+            for path, labels in Page(source or "").streams():
+                key = (host, path, _stream(labels))
+                seen[key] = seen.get(key, 0) + 1
         if seen:
-            keys, sums = list(seen), list(seen.values())
-            yield pa.record_batch(
-                [
-                    pa.array([k[0] for k in keys]),
-                    pa.array([k[1] for k in keys], pa.int32()),
-                    pa.array([k[2] for k in keys]),
-                    pa.array([s[0] for s in sums], pa.int64()),
-                    pa.array([s[1] for s in sums], pa.int64()),
-                ],
-                ["host", "kind", "what", "n", "chars"],
-            )
+            keys = list(zip(*seen))
+            yield pa.record_batch([*(pa.array(k) for k in keys), pa.array(list(seen.values()), pa.int64())], ["host", "path", "what", "n"])
 
 
-def _merge(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["n", "what"], ascending=[False, True])
-    expressions = [from_json(w) for w in rows["what"]]
-    wrapper = functools.reduce(align, expressions)
-    return pd.DataFrame({"host": [rows["host"].iloc[0]], "what": [as_json(wrapper)], "n": [int(rows["n"].sum())]})
+def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        seen: dict[tuple, list[int]] = {}
+        columns = [batch.column(c).to_pylist() for c in ("host", "html", "models")]
+        for host, source, models in zip(*columns):
+            page, here = Page(source or ""), {}
+            kept = [(slot, text) for slot, (_, out, text) in zip(page.slots(_models(models)), page.blocks) if not out]
+            for slot, text in kept:
+                here.setdefault(slot, []).append(text)
+            for slot, texts in here.items():
+                text = "\n".join(texts)
+                key = int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+                sums = seen.setdefault((host, slot), [0, 0, key, key])
+                sums[:] = sums[0] + 1, sums[1] + len(text), min(sums[2], key), max(sums[3], key)
+        if seen:
+            columns = [*zip(*seen), *zip(*seen.values())]
+            yield pa.record_batch([pa.array(list(c)) for c in columns], ["host", "slot", "n", "chars", "least", "most"])
+
+
+@functools.lru_cache(maxsize=64)
+def _models(found: str | None) -> dict[str, str]:
+    return json.loads(found or "{}")
+
+
+def plain(slot: str) -> str:
+    """A wrapper node's path without places."""
+    return _PLACE.sub("/", slot)
 
 
 def container(paths: list[tuple[str, int]]) -> str:
@@ -351,50 +507,96 @@ def container(paths: list[tuple[str, int]]) -> str:
         at = best
 
 
+def _known(rows: DataFrame, known: DataFrame, *columns: str) -> DataFrame:
+    """``rows`` with what is known of their host: sent to all tasks while it is small, else by a join that
+    Spark splits."""
+    known = known.select("host", *columns)
+    size = known.agg(F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in columns), F.lit(64)))).first()[0] or 0
+    return rows.join(F.broadcast(known) if size <= FEW_BYTES else known, "host", "left")
+
+
+def _containers(slots: DataFrame) -> DataFrame:
+    """``host, container`` from ``host, slot, n, chars, least, most``, as :func:`container` on one page."""
+    constant = (F.col("n") >= SAME) & (F.col("least") == F.col("most"))
+    slots = slots.withColumn("varying", F.when(constant, 0).otherwise(F.col("chars")))
+    total = slots.groupBy("host").agg(F.sum("chars").alias("all"), F.sum("varying").alias("all_varying"))
+    parts = F.split("slot", "/")
+    step = F.explode(F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/")))
+    below = (
+        slots.filter("slot <> ''")
+        .select("host", "chars", "varying", step.alias("node"))
+        .groupBy("host", "node")
+        .agg(F.sum("chars").alias("chars"), F.sum("varying").alias("varying"))
+    )
+    # equal labels at several places are one article
+    path, depth = F.regexp_replace("node", "/[0-9]+:", "/"), F.size(F.split("node", "/"))
+    marked = below.filter(F.col("node").endswith("!article")).groupBy("host", path.alias("node")).agg(F.sum("chars").alias("chars"))
+    marked = marked.join(total, "host").filter(F.col("chars") >= MARKED * F.col("all"))
+    marked = marked.groupBy("host").agg(F.min(F.struct(depth.alias("depth"), (-F.col("chars")).alias("less"), "node"))["node"].alias("marked"))
+    # more than half of the text lies on one way down only
+    mass = F.when(F.col("all_varying") > 0, F.col("varying") >= DOWN * F.col("all_varying")).otherwise(F.col("chars") >= DOWN * F.col("all"))
+    way = below.join(total, "host").filter(mass & ~F.col("node").rlike(r"/[0-9]+:(p|h1|li|td)(\.|/|$)"))
+    way = way.groupBy("host").agg(F.max_by("node", F.struct(depth, "node")).alias("lowest"))
+    return total.join(marked, "host", "left").join(way, "host", "left").select(
+        "host", F.coalesce("marked", "lowest", F.lit("")).alias("container")
+    )
+
+
 def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``host, wrapper, container, n_pages``: for each host its expression as JSON (see ``as_expression``) and
-    the path of the article. Pages without a host share the host ``""``."""
+    """``host, wrapper, models, container, n_pages``: for each host its expression as JSON (see
+    ``as_expression``), the expressions of its paths as a JSON object, and the wrapper node of the article,
+    with places unless it is marked as such. Pages without a host share the host ``""``."""
     ship(pages.sparkSession)
     rows = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
-    seen = durable(
-        rows.mapInArrow(_structures, "host string, kind int, what string, n long, chars long")
-        .groupBy("host", "kind", "what")
-        .agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"))
+    level = durable(
+        rows.mapInArrow(_streams, "host string, path string, what string, n long")
+        .groupBy("host", "path", "what")
+        .agg(F.sum("n").alias("n"))
     )
-    level = seen.filter("kind = 0").select("host", "what", "n")
+    # each page has one root
+    n_pages = level.filter("path = ''").groupBy("host").agg(F.sum("n").alias("n_pages"))
+    often = level.groupBy("host", "path").agg(F.sum("n").alias("n")).join(n_pages, "host").filter(F.col("n") >= RARE * F.col("n_pages"))
+    level = level.join(often.select("host", "path"), ["host", "path"], "left_semi")
+    merge = F.udf(lambda found: merged([r["what"] for r in sorted(found, key=lambda r: (-r["n"], r["what"]))]), "string")
     while True:
-        counts = level.groupBy("host").agg(F.count("*").alias("different"))
-        most = counts.agg(F.max("different")).first()[0] or 0
-        if most <= 1:
+        counts = level.groupBy("host", "path").agg(F.count("*").alias("different"))
+        if (counts.agg(F.max("different")).first()[0] or 0) <= 1:
             break
-        buckets = F.ceil(F.col("different") / FAN)
+        found = F.collect_list(F.struct("n", "what"))
         level = durable(
-            level.join(counts, "host")
-            .withColumn("bucket", F.pmod(F.xxhash64("what"), buckets))
-            .groupBy("host", "bucket")
-            .applyInPandas(lambda _, rows: _merge(rows), "host string, what string, n long")
+            level.join(counts, ["host", "path"])
+            .groupBy("host", "path", F.pmod(F.xxhash64("what"), F.ceil(F.col("different") / FAN)).alias("bucket"))
+            .agg(found.alias("found"), F.sum("n").alias("n"))
+            .select("host", "path", F.when(F.size("found") == 1, F.col("found")[0]["what"]).otherwise(merge("found")).alias("what"), "n")
         )
-    # paths are few for a host, so the choice among them is made by one small row each
-    choose = F.udf(lambda found: container([(r["what"], r["chars"]) for r in found]), "string")
-    chosen = (
-        seen.filter("kind = 1")
-        .groupBy("host")
-        .agg(F.collect_list(F.struct("what", "chars")).alias("found"))
-        .select("host", choose("found").alias("container"))
+    models = level.groupBy("host").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("path", "what")))).alias("models"))
+    models = durable(models.select("host", F.to_json("models").alias("models")))
+    slots = durable(
+        _known(rows, models, "models")
+        .mapInArrow(_slots, "host string, slot string, n long, chars long, least long, most long")
+        .groupBy("host", "slot")
+        .agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.min("least").alias("least"), F.max("most").alias("most"))
     )
+    show = F.udf(lambda found: as_json(whole(json.loads(found))), "string")
     return durable(
-        level.join(chosen, "host", "left").select(
-            "host", F.col("what").alias("wrapper"), F.coalesce("container", F.lit("")).alias("container"), F.col("n").alias("n_pages")
-        )
+        models.join(n_pages, "host")
+        .join(_containers(slots), "host", "left")
+        .select("host", show("models").alias("wrapper"), "models", F.coalesce("container", F.lit("")).alias("container"), "n_pages")
     )
 
 
-def text_of(source: str, within: str) -> str:
+def text_of(source: str, within: str, models: dict[str, str] | None = None) -> str:
     """The article's blocks below the host's container, or, if this page lacks it, below its own."""
     page = Page(source)
     kept = [b for b in page.blocks if not b[1]]
-    prefix = f"{within}/"
-    found = [text for path, _, text in kept if path == within or path.startswith(prefix)]
+    prefix, found = f"{within}/", []
+    if models and plain(within) != within:
+        slots = zip(page.slots(models), page.blocks)
+        found = [text for slot, (_, out, text) in slots if not out and (slot == within or slot.startswith(prefix))]
+    if not found:
+        within = plain(within)
+        prefix = f"{within}/"
+        found = [text for path, _, text in kept if path == within or path.startswith(prefix)]
     if not found and kept:
         own = container([(path, len(text)) for path, _, text in kept])
         found = [text for path, _, text in kept if path == own or path.startswith(f"{own}/")]
@@ -413,8 +615,8 @@ def extract(pages: DataFrame, wrappers: DataFrame, id_col: str = "page_id", url_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [
-                text_of(source or "", within or "")
-                for source, within in zip(batch.column("html").to_pylist(), batch.column("container").to_pylist())
+                text_of(source or "", within or "", _models(models))
+                for source, within, models in zip(*(batch.column(c).to_pylist() for c in ("html", "container", "models")))
             ]
             yield pa.record_batch([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
@@ -424,12 +626,10 @@ def extract(pages: DataFrame, wrappers: DataFrame, id_col: str = "page_id", url_
         F.col(html_col).alias("html"),
         host_of(F.col(url_col)).alias("host"),
     )
-    known = wrappers.select("host", "container")
-    # a few bytes for each host: sent to all tasks while there are few enough, else a join that Spark splits
-    if known.count() <= FEW_HOSTS:
-        known = F.broadcast(known)
+    # a marked container needs no places
+    placed = F.when(F.col("container").rlike("/[0-9]+:"), F.col("models")).alias("models")
     return (
-        rows.join(known, "host", "left")
-        .select("page_id", "url", "html", "container")
+        _known(rows, wrappers.select("host", "container", placed), "container", "models")
+        .select("page_id", "url", "html", "container", "models")
         .mapInArrow(run, "page_id long, url string, text string")
     )

@@ -76,3 +76,34 @@ def test_wrappers_of_hosts(many_chunks):
     assert by[100] == CASES["no article"][1] and by[101] == "" and by[102] == CASES["article"][1]
     assert by[3] == "\n".join([f"x{b}" for b in range(6)] + ["word word"] * 3)
     assert W.extract(pages.filter("false"), W.infer(pages.filter("false"))).collect() == []
+
+
+def test_the_container_is_a_node_of_the_wrapper(many_chunks):
+    """Neighbours of one name are told apart by their places, and text that never varies is no article."""
+    rows, want = [], {}
+    for i in range(12):
+        extra = "<ul><li>x</li></ul>" if i % 2 else ""
+        body = f"{extra}<div><p>{'the same on all pages ' * 20}</p></div><div><p>Article {i}</p><p>more {i * i}</p></div><div><p>end</p></div>"
+        rows.append((i, "http://plain.net/x", page(body)))
+        want[i] = f"Article {i}\nmore {i * i}"
+    pages = many_chunks.createDataFrame(rows, "page_id long, url string, html string")
+    found = W.infer(pages)
+    assert {r.page_id: r.text for r in W.extract(pages, found).collect()} == want
+    models = W.json.loads(found.first().models)
+    for i, (_, _, source) in enumerate(rows):
+        assert [W.plain(s) for s in W.Page(source).slots(models)] == [path for path, _, _ in W.Page(source).blocks], i
+
+
+def test_an_expression_describes_all_it_was_made_of():
+    import itertools
+    import random
+
+    rnd = random.Random(3)
+    for _ in range(300):
+        streams = [tuple(rnd.choice("abc#") for _ in range(rnd.randint(0, 9))) for _ in range(6)]
+        found = W.merged([W._stream(s) for s in streams])
+        symbols, follow, first, last = W._automaton(found)
+        for s in filter(None, streams):
+            at = W.places(found, s)
+            assert at[0] in first and at[-1] in last
+            assert tuple(symbols[x] for x in at) == s and all(b in follow[a] for a, b in itertools.pairwise(at))
