@@ -13,10 +13,11 @@ marked as the article that holds enough of the text, or else the lowest that hol
 variable slots. Menus, headers, footers, sidebars, notices, adverts, forms and reader comments are left out
 by what their elements are and are called. A page's text is what its slots below the container hold.
 
-Scale: streams are folded in the tasks that read them; only different ones, with counts, are shuffled, and
+Scale: label words of classes and ids count only if they recur on a host's pages, so the paths are those of
+the template. Streams are folded in the tasks that read them; only different ones, with counts, are shuffled, and
 alignments run over groups of about ``FAN``, level by level, so a host with a third of all pages is no larger
-a task than others. Slots are summed by aggregates with partial sums. The html is read once for streams, once
-for slots and once for texts, and joined to one small row for each host.
+a task than others. Slots are summed by aggregates with partial sums. The html is read once for label words,
+once for streams, once for slots and once for texts, and joined to one small row for each host.
 """
 
 from __future__ import annotations
@@ -46,6 +47,8 @@ FEW_BYTES = 32 << 20
 LONG = 16
 #: Pages with the same text from which a slot counts as constant.
 SAME = 3
+#: Label words on fewer pages than this share of the host's are left off.
+OFTEN = 1 / 50
 #: Paths with fewer elements than this share of a host's pages get no expression.
 RARE = 1 / 200
 #: Without one, the way leads down while a single child holds this share.
@@ -103,7 +106,8 @@ def _element(name: str, attributes: str) -> tuple[str, bool, bool]:
 class Page:
     """Blocks of text with their paths, and the tree of elements and slots."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, labels: frozenset | None = None):
+        self._labels = labels
         self.blocks: list[tuple[str, bool, str]] = []
         self.inside: list[int] = []  # the element of each block
         self.elements: list[tuple[int, str, str]] = [(-1, "", "")]  # parent, path, label; the first is the page
@@ -150,6 +154,8 @@ class Page:
         inside = any(part.split("!")[-1:] == ["article"] for part in path.split("/"))
         # a header within the article holds its headline
         left = left and not (name == "header" and inside)
+        if self._labels is not None and label not in self._labels:
+            label = name
         label = f"{label}!article" if marked else label
         self.children[at].append(len(self.elements))
         self._stack.append((name, f"{path}/{label}", out or left or (name == "header" and not inside), len(self.elements)))
@@ -444,11 +450,24 @@ def whole(models: dict[str, str]) -> tuple:
 # --- Spark ---
 
 
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """On how many pages each label with a word of class or id stands; the empty label counts pages."""
+    for batch in batches:
+        seen: Counter = Counter()
+        for host, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
+            found = {_element((t[2] or t[5]).lower(), t[3] or t[6] or "")[0] for t in _TAG.finditer(source or "") if t[3] or t[6]}
+            seen.update((host, label) for label in found if "." in label)
+            seen[(host, "")] += 1
+        if seen:
+            columns = [*zip(*seen), seen.values()]
+            yield pa.record_batch([pa.array(list(c)) for c in columns], ["host", "label", "n"])
+
+
 def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         seen: dict[tuple, int] = {}
-        for host, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-            for path, labels in Page(source or "").streams():
+        for host, source, known in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "labels"))):
+            for path, labels in Page(source or "", _labels(known)).streams():
                 key = (host, path, _stream(labels))
                 seen[key] = seen.get(key, 0) + 1
         if seen:
@@ -459,9 +478,9 @@ def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         seen: dict[tuple, list[int]] = {}
-        columns = [batch.column(c).to_pylist() for c in ("host", "html", "models")]
-        for host, source, models in zip(*columns):
-            page, here = Page(source or ""), {}
+        columns = [batch.column(c).to_pylist() for c in ("host", "html", "models", "labels")]
+        for host, source, models, known in zip(*columns):
+            page, here = Page(source or "", _labels(known)), {}
             kept = [(slot, text) for slot, (_, out, text) in zip(page.slots(_models(models)), page.blocks) if not out]
             for slot, text in kept:
                 here.setdefault(slot, []).append(text)
@@ -480,6 +499,11 @@ def _models(found: str | None) -> dict[str, str]:
     return json.loads(found or "{}")
 
 
+@functools.lru_cache(maxsize=64)
+def _labels(found: str | None) -> frozenset:
+    return frozenset((found or "").split("\n"))
+
+
 def plain(slot: str) -> str:
     """A wrapper node's path without places."""
     return _PLACE.sub("/", slot)
@@ -543,18 +567,22 @@ def _containers(slots: DataFrame) -> DataFrame:
 
 
 def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``host, wrapper, models, container, n_pages``: for each host its expression as JSON (see
-    ``as_expression``), the expressions of its paths as a JSON object, and the wrapper node of the article,
-    with places unless it is marked as such. Pages without a host share the host ``""``."""
+    """``host, wrapper, models, labels, container, n_pages``: for each host its expression as JSON (see
+    ``as_expression``), the expressions of its paths as a JSON object, the labels that recur, one a line, and
+    the wrapper node of the article, with places unless it is marked as such. Pages without a host share the host ``""``."""
     ship(pages.sparkSession)
     rows = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
+    words = durable(rows.mapInArrow(_words, "host string, label string, n long").groupBy("host", "label").agg(F.sum("n").alias("n")))
+    n_pages = words.filter("label = ''").select("host", F.col("n").alias("n_pages"))
+    # words of single pages, as in the ids of headings, would make their paths and streams all different
+    labels = words.join(n_pages, "host").filter(F.col("n") >= OFTEN * F.col("n_pages"))
+    labels = labels.groupBy("host").agg(F.array_join(F.array_sort(F.collect_list("label")), "\n").alias("labels"))
+    labels = durable(labels)
     level = durable(
-        rows.mapInArrow(_streams, "host string, path string, what string, n long")
+        _known(rows, labels, "labels").mapInArrow(_streams, "host string, path string, what string, n long")
         .groupBy("host", "path", "what")
         .agg(F.sum("n").alias("n"))
     )
-    # each page has one root
-    n_pages = level.filter("path = ''").groupBy("host").agg(F.sum("n").alias("n_pages"))
     often = level.groupBy("host", "path").agg(F.sum("n").alias("n")).join(n_pages, "host").filter(F.col("n") >= RARE * F.col("n_pages"))
     level = level.join(often.select("host", "path"), ["host", "path"], "left_semi")
     merge = F.udf(lambda found: merged([r["what"] for r in sorted(found, key=lambda r: (-r["n"], r["what"]))]), "string")
@@ -570,9 +598,9 @@ def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Dat
             .select("host", "path", F.when(F.size("found") == 1, F.col("found")[0]["what"]).otherwise(merge("found")).alias("what"), "n")
         )
     models = level.groupBy("host").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("path", "what")))).alias("models"))
-    models = durable(models.select("host", F.to_json("models").alias("models")))
+    models = durable(models.select("host", F.to_json("models").alias("models")).join(labels, "host"))
     slots = durable(
-        _known(rows, models, "models")
+        _known(rows, models, "models", "labels")
         .mapInArrow(_slots, "host string, slot string, n long, chars long, least long, most long")
         .groupBy("host", "slot")
         .agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.min("least").alias("least"), F.max("most").alias("most"))
@@ -581,13 +609,13 @@ def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Dat
     return durable(
         models.join(n_pages, "host")
         .join(_containers(slots), "host", "left")
-        .select("host", show("models").alias("wrapper"), "models", F.coalesce("container", F.lit("")).alias("container"), "n_pages")
+        .select("host", show("models").alias("wrapper"), "models", "labels", F.coalesce("container", F.lit("")).alias("container"), "n_pages")
     )
 
 
-def text_of(source: str, within: str, models: dict[str, str] | None = None) -> str:
+def text_of(source: str, within: str, models: dict[str, str] | None = None, labels: frozenset | None = None) -> str:
     """The article's blocks below the host's container, or, if this page lacks it, below its own."""
-    page = Page(source)
+    page = Page(source, labels)
     kept = [b for b in page.blocks if not b[1]]
     prefix, found = f"{within}/", []
     if models and plain(within) != within:
@@ -615,8 +643,8 @@ def extract(pages: DataFrame, wrappers: DataFrame, id_col: str = "page_id", url_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [
-                text_of(source or "", within or "", _models(models))
-                for source, within, models in zip(*(batch.column(c).to_pylist() for c in ("html", "container", "models")))
+                text_of(source or "", within or "", _models(models), _labels(labels))
+                for source, within, models, labels in zip(*(batch.column(c).to_pylist() for c in ("html", "container", "models", "labels")))
             ]
             yield pa.record_batch([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
@@ -629,7 +657,7 @@ def extract(pages: DataFrame, wrappers: DataFrame, id_col: str = "page_id", url_
     # a marked container needs no places
     placed = F.when(F.col("container").rlike("/[0-9]+:"), F.col("models")).alias("models")
     return (
-        _known(rows, wrappers.select("host", "container", placed), "container", "models")
-        .select("page_id", "url", "html", "container", "models")
+        _known(rows, wrappers.select("host", "container", placed, "labels"), "container", "models", "labels")
+        .select("page_id", "url", "html", "container", "models", "labels")
         .mapInArrow(run, "page_id long, url string, text string")
     )

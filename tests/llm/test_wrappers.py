@@ -107,3 +107,25 @@ def test_an_expression_describes_all_it_was_made_of():
             at = W.places(found, s)
             assert at[0] in first and at[-1] in last
             assert tuple(symbols[x] for x in at) == s and all(b in follow[a] for a, b in itertools.pairwise(at))
+
+
+def test_wrappers_grow_with_the_template_not_with_the_pages(many_chunks):
+    def word(i):
+        return "".join(chr(97 + int(d)) for d in str(i))
+
+    def source(i):
+        parts = "".join(f"<h2 id='on-{word(i)}{k}q'>h{k}</h2>" * (i >> k & 1) + "<p>t</p><ul><li>x</li></ul>" * (i * k % 3) for k in range(7))
+        return page(f"{MENU}<div class='post'><div id='{word(i)}z'>{parts}<p>Text {i}</p></div></div><div class='footer'>f</div>")
+
+    sizes = []
+    for n in (100, 400):
+        rows = [(i, "http://hot.net/x", source(i)) for i in range(n)]
+        pages = many_chunks.createDataFrame(rows, "page_id long, url string, html string")
+        found = W.infer(pages)
+        row = found.first()
+        assert "div.post" in row.wrapper and "on-" not in row.wrapper
+        sizes.append(len(row.wrapper))
+        got = {r.page_id: r.text for r in W.extract(pages, found).collect()}
+        assert len(got) == n and all(got[i].endswith(f"Text {i}") and "f" not in got[i].split("\n") for i in got)
+        assert got[1].split("\n")[0] == "h0"
+    assert sizes[1] <= 1.1 * sizes[0]
