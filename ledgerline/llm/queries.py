@@ -11,7 +11,21 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import decontamination, fingerprints, language, packing, simhash, substring, token_counts, toxicity, urls, wrappers
+from ledgerline.llm import (
+    bpe,
+    collocations,
+    decontamination,
+    fingerprints,
+    language,
+    lexical,
+    packing,
+    simhash,
+    substring,
+    token_counts,
+    toxicity,
+    urls,
+    wrappers,
+)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -119,6 +133,24 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.decode(bpe.encode(read(spark, sf_dir, "documents"), vocabulary()), vocabulary())
+    return coded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"),
+    )
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(read(spark, sf_dir, "documents"))
+
+
+def op13_blocked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -132,6 +164,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_wrapper_extraction,
         op9_winnowed_decontamination,
         op10_substring_dedup,
+        op11_speculative_bpe,
+        op12_phrase_collocations,
+        op13_blocked_lexical_search,
     )
 }
 
@@ -191,4 +226,73 @@ SQL: dict[str, str] = {
                sha256(coalesce(words, '')) as kept_sha256
         from docs d left join kept using (doc_id)
     """,
+    "op12_phrase_collocations": r"""
+        with pieces as (
+            select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(FOLD, '[.,;:!?\x0A-\x0D]')) as piece
+            from documents
+        ), words as (
+            select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces
+        ), one as (
+            select lang, phrase, count(*) as f from (select lang, unnest(w) as phrase from words) group by lang, phrase
+        ), two as (
+            select lang, phrase, count(*) as f
+            from (select lang, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as phrase from words)
+            group by lang, phrase having count(*) >= 10
+        ), three as (
+            select lang, phrase, count(*) as f
+            from (select lang, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as phrase
+                  from words)
+            group by lang, phrase having count(*) >= 10
+        ), f as (
+            from one union all from two union all from three
+        ), sizes as (
+            select lang, cast(sum(f) as bigint) as n from one group by lang
+        ), split as (
+            select lang, phrase, f as a, string_split(phrase, ' ') as g from (from two union all from three)
+        ), cuts as (
+            select c.lang, c.phrase, a, len(g) as size, k, l.f as l, r.f as r,
+                   (1000000::hugeint * a * a) // (l.f::hugeint * r.f) as score
+            from (select *, unnest(range(1, len(g))) as k, array_to_string(g[1 : k], ' ') as head,
+                         array_to_string(g[k + 1 :], ' ') as tail from split) c
+            join f l on l.lang = c.lang and l.phrase = head
+            join f r on r.lang = c.lang and r.phrase = tail
+        ), lowest as (
+            select * from cuts qualify row_number() over (partition by lang, phrase order by score, k) = 1
+        ), held as (
+            select lang, part, max(a) as most
+            from (select lang, a, unnest([g[1] || ' ' || g[2], g[2] || ' ' || g[3]]) as part from split where len(g) = 3)
+            group by lang, part
+        )
+        select c.lang, row_number() over (partition by c.lang order by score desc, a desc, phrase) as rank,
+               phrase, a, l, r, n, cast(score as bigint) as score
+        from lowest c join sizes using (lang) left join held h on h.lang = c.lang and h.part = c.phrase
+        where most is null or 100 * most < 50 * a
+        qualify rank <= 2000
+    """.replace("FOLD", _FOLD),
+    "op13_blocked_lexical_search": f"""
+        with terms as (
+            select doc_id, unnest(regexp_extract_all({_FOLD}, '{_ALNUM}')) as term from documents
+        ), tf as (
+            select doc_id, term, count(*) as tf from terms group by doc_id, term
+        ), sizes as (
+            select doc_id, count(*) as n from terms group by doc_id
+        ), total as (
+            select count(*) as docs, cast(sum(n) as bigint) as l from sizes
+        ), df as (
+            select term, count(*) as df from tf group by term
+        ), asked as (
+            select item_id, term, count(*) as q
+            from (select item_id, unnest(regexp_extract_all({_FOLD}, '{_ALNUM}')) as term from benchmark)
+            group by item_id, term
+        ), scored as (
+            select item_id, doc_id, cast(sum(
+                q * cast(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) as bigint)
+                * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // l)))) as bigint) as score
+            from asked join df using (term) join tf using (term) join sizes using (doc_id), total
+            group by item_id, doc_id
+        )
+        select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) as rank,
+               doc_id, score
+        from scored where score > 0 qualify rank <= 20
+    """,
 }

@@ -80,7 +80,7 @@ def test_stages_on_no_rows(spark, folder):
 
 
 def test_each_operator_has_its_query():
-    assert [k.split("_")[0] for k in QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [k.split("_")[0] for k in QUERIES] == [f"op{n}" for n in range(1, 14)]
     assert not set(SQL) - set(QUERIES)
 
 
