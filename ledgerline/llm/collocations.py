@@ -11,8 +11,10 @@ pass leaves out n-grams with a part that the pass before has found to be rarer.
 as a bitmap of fixed size; others may pass it too, which costs shuffle, not results, as counts are exact.
 
 Scale: the texts are read three times and never shuffled; a shard sends each n-gram once. The ring of
-beginnings is cut finely enough for the number of words; the continuations of one word are spread over a
-quarter of the ring, so no range grows with a single frequent word.
+beginnings is cut into ranges step by step, 256 at a time, until a range has a bounded share of all words;
+between two steps the automata of a range are united up to the size of a shard, so that the pieces that
+travel never get small. The continuations of one word are spread over a quarter of the ring, so no range
+grows with a single frequent word.
 """
 
 from __future__ import annotations
@@ -38,8 +40,9 @@ HELD = 50
 UNKNOWN = "und"
 #: Different n-grams that a task gathers before it sends them.
 SHARD = 1_000_000
-#: Words for which one range of beginnings is cut.
-RANGE_WORDS = 1 << 15
+#: Occurrences of words for which a range of beginnings is cut, and the ranges (as bits) of one step.
+RANGE_WORDS = 1 << 21
+STEP = 8
 #: What ends a piece: these signs and line breaks; words are parted by spaces and tabs.
 _BREAKS = np.zeros(256, bool)
 _BREAKS[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -84,17 +87,18 @@ class Counts:
         number = np.empty(len(coded.dictionary), np.int64)
         number[sort.to_numpy()] = np.arange(len(number))
         number = number[coded.indices.to_numpy(zero_copy_only=False)] if len(labels) else number
-        # each step tells beginnings apart in order: the states of the automaton
-        state = np.zeros(len(weight), np.int64)
-        states, ends = [], []
+        # beginnings are told apart in order: as many labels as fit a key at once, then as their states
+        each = max(len(number).bit_length(), 1)
+        key, bits = np.zeros(len(weight), np.int64), 0
         for column in columns:
-            found, first, state = np.unique(state << 32 | number[column], return_index=True, return_inverse=True)
-            states.append(found & 0xFFFFFFFF)
-            ends.append(first)
-        total = np.zeros(len(states[-1]), np.int64)
-        np.add.at(total, state, weight)
-        kept = [number[column[ends[-1]]] for column in columns]
-        return cls(coded.dictionary.take(sort), kept, total)
+            if bits + each > 63:
+                states, key = np.unique(key, return_inverse=True)
+                bits = len(states).bit_length()
+            key, bits = key << each | number[column], bits + each
+        order = np.argsort(key, kind="stable")
+        new = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])) if len(key) else np.zeros(0, np.int64)
+        total = np.add.reduceat(weight[order], new) if len(key) else weight
+        return cls(coded.dictionary.take(sort), [number[column[order[new]]] for column in columns], total)
 
     def hashes(self) -> list[np.ndarray]:
         each = _label_hashes(self.labels)
@@ -102,12 +106,8 @@ class Counts:
 
     def take(self, rows: np.ndarray) -> Counts:
         """Some paths, with the labels they use."""
-        columns = [c[rows] for c in self.columns]
-        used = np.zeros(len(self.labels), bool)
-        for c in columns:
-            used[c] = True
-        number = np.cumsum(used) - 1
-        return Counts(self.labels.take(pa.array(np.flatnonzero(used))), [number[c] for c in columns], self.weight[rows])
+        used, number = np.unique(np.concatenate([c[rows] for c in self.columns]), return_inverse=True)
+        return Counts(self.labels.take(pa.array(used)), np.split(number, len(self.columns)), self.weight[rows])
 
     def automaton(self) -> bytes:
         """The paths as an automaton, from its last states to its first; equal states are stored once."""
@@ -209,34 +209,68 @@ def _grams(part: pa.RecordBatch, size: int, seen: np.ndarray | None) -> Counts |
     return Counts.summed(labels, columns, np.ones(len(at), np.int64))
 
 
+class _Shard:
+    """N-grams that a task gathers until there are enough of them, and sends by range."""
+
+    def __init__(self, bits: int):
+        self.bits, self.parts, self.size = bits, [], 0
+
+    def add(self, part: Counts) -> Iterator[pa.RecordBatch]:
+        self.parts.append(part)
+        self.size += len(part.weight)
+        if self.size > SHARD:
+            self._unite()
+            if self.size > SHARD / 2:
+                yield from self.sent()
+
+    def _unite(self) -> None:
+        if len(self.parts) > 1:
+            self.parts = [united(self.parts)]
+        self.size = sum(len(p.weight) for p in self.parts)
+
+    def sent(self) -> Iterator[pa.RecordBatch]:
+        if not self.parts:
+            return
+        self._unite()
+        (shard,), self.parts, self.size = self.parts, [], 0
+        place = (_place(shard.hashes()) >> np.uint64(64 - self.bits)).astype(np.int64)
+        order = np.argsort(place, kind="stable")
+        ranges, first = np.unique(place[order], return_index=True)
+        blobs = [shard.take(rows).automaton() for rows in np.split(order, first[1:])]
+        yield pa.record_batch([pa.array(ranges), pa.array(blobs, pa.binary())], names=["range", "automaton"])
+
+
+_SHARDS = "range long, automaton binary"
+
+
 def _shards(size: int, bits: int, seen):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = None if seen is None else seen.value
-        held: list[Counts] = []
-
-        def sent() -> pa.RecordBatch:
-            shard = united(held) if len(held) > 1 else held[0]
-            held.clear()
-            place = _place(shard.hashes()) >> np.uint64(64 - bits)
-            order = np.argsort(place, kind="stable")
-            ranges, first = np.unique(place[order], return_index=True)
-            blobs = [shard.take(rows).automaton() for rows in np.split(order, first[1:])]
-            return pa.record_batch([pa.array(ranges.astype(np.int32)), pa.array(blobs, pa.binary())], names=["range", "automaton"])
-
+        shard = _Shard(bits)
         for batch in batches:
             for part in slices(batch, "text"):
                 found = _grams(part, size, known)
                 if found is not None:
-                    held.append(found)
-                if sum(len(c.weight) for c in held) > SHARD:
-                    if len(held) > 1:
-                        held[:] = [united(held)]
-                    if len(held[0].weight) > SHARD / 2:
-                        yield sent()
-        if held:
-            yield sent()
+                    yield from shard.add(found)
+        yield from shard.sent()
+
+    return run
 
-    return run, "range int, automaton binary"
+
+def _finer(bits: int):
+    """Cuts ranges into finer ones; rows come sorted by range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, shard = None, _Shard(bits)
+        for batch in batches:
+            for number, blob in zip(batch.column("range").to_pylist(), batch.column("automaton").to_pylist()):
+                if number != now:
+                    yield from shard.sent()
+                now = number
+                yield from shard.add(Counts.read(blob))
+        yield from shard.sent()
+
+    return run
 
 
 _TOTALS = pa.schema([("lang", pa.string()), ("words", pa.list_(pa.string())), ("f", pa.int64()), ("hash", pa.int64())])
@@ -283,14 +317,17 @@ def _unions(least: int, totals: bool):
     return run, "lang string, words array<string>, f long, hash long"
 
 
-def count(docs: DataFrame, size: int, least: int, seen=None, bits: int = 8) -> DataFrame:
+def count(docs: DataFrame, size: int, least: int, seen=None, bits: int = STEP) -> DataFrame:
     """``lang, words, f, hash`` of all n-grams of ``size`` words with at least ``least`` occurrences.
 
     For single words there is also a row without ``words`` for each language and range: a share of its sum.
     ``seen`` is a broadcast bitmap of frequent n-grams of one word less.
     """
-    run, schema = _shards(size, bits, seen)
-    shards = docs.mapInArrow(run, schema).repartition("range").sortWithinPartitions("range")
+    done = min(bits, STEP)
+    shards = docs.mapInArrow(_shards(size, done, seen), _SHARDS).repartition("range").sortWithinPartitions("range")
+    while done < bits:
+        done = min(bits, done + STEP)
+        shards = shards.mapInArrow(_finer(done), _SHARDS).repartition("range").sortWithinPartitions("range")
     run, schema = _unions(least, size == 1)
     return shelve(shards.mapInArrow(run, schema), f"phrases-{size}")
 
@@ -309,6 +346,24 @@ def _score(a: str, l: str, r: str):
     )
 
 
+def _near_top(found: DataFrame, top: int) -> DataFrame:
+    """Rows that can be among the ``top`` highest scores of their language.
+
+    Scores go up to 1000000, so a language has at most 1001 classes of them; what lies below the class in
+    which the place ``top`` falls is left out before a language's rows come together.
+    """
+    classes = found.withColumn("_class", F.expr("score div 1000"))
+    counts = classes.groupBy("lang", "_class").agg(F.count("*").alias("_n"))
+    above = F.sum("_n").over(Window.partitionBy("lang").orderBy(F.desc("_class")).rowsBetween(Window.unboundedPreceding, -1))
+    least = (
+        counts.withColumn("_above", F.coalesce(above, F.lit(0)))
+        .filter(F.col("_above") < top)
+        .groupBy("lang")
+        .agg(F.min("_class").alias("_least"))
+    )
+    return classes.join(least, "lang").filter("_class >= _least").drop("_class", "_least")
+
+
 def mine(
     docs: DataFrame,
     text_col: str = "text",
@@ -329,7 +384,7 @@ def mine(
     rows = count(texts, 1, least)
     sums = rows.filter("words is null").groupBy("lang").agg(F.sum("f").alias("n"))
     every = sums.agg(F.sum("n")).first()[0] or 0
-    ranges = min(max(8, (every // RANGE_WORDS).bit_length()), 30)
+    ranges = min(max(STEP, (every // RANGE_WORDS).bit_length()), 48)
     sizes = [rows.filter("words is not null")]
     for size in (2, 3):
         seen = spark.sparkContext.broadcast(sieve.bitmap(sizes[-1], F.col("hash"), bits))
@@ -364,5 +419,5 @@ def mine(
         "lang", F.array_join("words", " ").alias("phrase"), F.col("f").alias("a"), "l", "r", "score"
     )
     best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)
+    ranked = _near_top(found, top).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)
     return ranked.join(sums, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

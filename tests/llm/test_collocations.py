@@ -60,7 +60,9 @@ def test_many_ranges_shards_and_a_hot_word(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "text string, lang string").repartition(6)
     want = brute(rows)
     assert rows_of(collocations.mine(docs)) == want and want
+    # several steps of ranges
     monkeypatch.setattr(collocations, "RANGE_WORDS", 4)
+    monkeypatch.setattr(collocations, "STEP", 4)
     assert rows_of(collocations.mine(docs, bits=20)) == want
 
 
