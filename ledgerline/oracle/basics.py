@@ -12,6 +12,18 @@ _MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 _CUSTOMER = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
 
 SQL = {
+    "tab_quoted_csv": """
+        SELECT doc_id, source, length(v) AS chars, length(v) - length(replace(v, chr(10), '')) AS line_breaks,
+               md5(v) AS text_md5, true AS whole
+        FROM (SELECT doc_id, source, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS v FROM documents)""",
+    "tab_separated": """
+        SELECT CAST(n_nationkey AS INTEGER) AS n_nationkey, n_name || ', "' || CAST(n_regionkey AS VARCHAR) || '"; x' AS label,
+               CASE WHEN n_regionkey <> 1 THEN n_name END AS name, kind
+        FROM nation, (VALUES ('semicolon'), ('tab'), ('comma')) kinds(kind)""",
+    "tab_inline": """
+        SELECT segment, CAST(weight AS DOUBLE) AS weight, customers
+        FROM (VALUES ('AUTOMOBILE', 1.5), ('BUILDING', 2.0), ('NOWHERE', 9.0)) listed(segment, weight)
+        LEFT JOIN (SELECT c_mktsegment AS segment, COUNT(*) AS customers FROM customer GROUP BY 1) USING (segment)""",
     "tab_csv": "SELECT c_custkey, c_name, c_mktsegment, CAST(c_nationkey AS INTEGER) AS c_nationkey FROM customer",
     "tab_dirty_csv": "SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, p_type, TRUE AS whole FROM part",
     "tab_export": """SELECT o_orderstatus, COUNT(*) AS orders, MAX(o_orderkey) AS last_order FROM orders GROUP BY 1""",

@@ -26,6 +26,7 @@ from ledgerline.sources.tables import (
     BAD_ROW,
     drop_view,
     export,
+    inline,
     peek,
     read_csv,
     read_dirty_csv,
@@ -96,6 +97,47 @@ def dirty_csv_round_trip(t) -> DataFrame:
     return read_dirty_csv(t.spark, folder, columns).select(*columns, F.col(BAD_ROW).isNull().alias("whole"))
 
 
+def quoted_csv_round_trip(t) -> DataFrame:
+    """Whole texts with line breaks inside quotes, read by tasks that each see a block of a file."""
+    folder, columns = _scratch(t, "quoted"), ["doc_id", "source", "text"]
+    texts = t.documents.select("doc_id", "source", F.regexp_replace("text", "\r\n?", "\n").alias("text"))
+    texts.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(folder)
+    back = read_dirty_csv(t.spark, folder, columns)
+    return back.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"),
+        "source",
+        F.length("text").cast("bigint").alias("chars"),
+        (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))).cast("bigint").alias("line_breaks"),
+        F.md5("text").alias("text_md5"),
+        F.col(BAD_ROW).isNull().alias("whole"),
+    )
+
+
+def separated_round_trips(t) -> DataFrame:
+    """The same rows by semicolon, tab and comma, with quoted separators, a mark at the file's start and texts for null."""
+    rows = t.nation.select(
+        "n_nationkey",
+        F.concat("n_name", F.lit(', "'), F.col("n_regionkey").cast("string"), F.lit('"; x')).alias("label"),
+        F.when(F.col("n_regionkey") != 1, F.col("n_name")).alias("name"),
+    )
+    out = None
+    for kind, sep in (("semicolon", ";"), ("tab", "\t"), ("comma", ",")):
+        folder = _scratch(t, kind)
+        # the first header name carries the byte-order mark, as some editors write it
+        marked = rows.withColumnRenamed("n_nationkey", "\ufeffn_nationkey")
+        marked.write.option("header", True).option("sep", sep).option("escape", '"').option("nullValue", "null").csv(folder)
+        back = read_csv(t.spark, folder, "n_nationkey int, label string, name string", sep).withColumn("kind", F.lit(kind))
+        out = back if out is None else out.union(back)
+    return out
+
+
+def inlined(t) -> DataFrame:
+    """A small list kept in the program, joined with a table."""
+    listed = inline(t.spark, [("AUTOMOBILE", 1.5), ("BUILDING", 2.0), ("NOWHERE", 9.0)], "segment string, weight double")
+    counts = t.customer.groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count("*").alias("customers"))
+    return listed.join(counts, "segment", "left").select("segment", "weight", "customers")
+
+
 def exported(t) -> DataFrame:
     """Tables written side by side, one of them by status, and read again."""
     folder = _scratch(t, "export")
@@ -115,6 +157,9 @@ def viewed(t) -> DataFrame:
 QUERIES = {
     "tab_csv": csv_round_trip,
     "tab_dirty_csv": dirty_csv_round_trip,
+    "tab_quoted_csv": quoted_csv_round_trip,
+    "tab_separated": separated_round_trips,
+    "tab_inline": inlined,
     "tab_export": exported,
     "tab_view": viewed,
     "tab_shape": lambda t: shape(t.lineitem),

@@ -39,7 +39,7 @@ MESSAGE_PARTS = {
 }
 ALL_BITS = 0xFFFF  # the masks are 16 bits wide
 REGISTERED, LIVES, STAYS = 1, 2, 4
-FRAGMENT = 3  # characters by which texts and masks of a table find each other
+FRAGMENT = 3  # characters by which texts and masks of a table find each other, at most
 
 
 @dataclass(frozen=True)
@@ -167,31 +167,71 @@ def list_flags(transactions: DataFrame) -> DataFrame:
     )
 
 
+def _fragments(texts: DataFrame, sizes: list[int]) -> DataFrame:
+    """``_clean, _fragment, _at``: every run of so many characters of a text, and its place."""
+
+    def of(n: int) -> Column:
+        places = F.when(F.length("_clean") >= n, F.sequence(F.lit(1), F.length("_clean") - n + 1))
+        found = F.transform(places, lambda i: F.struct(F.col("_clean").substr(i, F.lit(n)).alias("_fragment"), i.alias("_at")))
+        return F.coalesce(found, F.expr("cast(array() as array<struct<_fragment: string, _at: int>>)"))
+
+    return texts.select("_clean", F.inline(F.concat(*map(of, sizes))))
+
+
+def file_masks(masks: DataFrame, fragments: DataFrame) -> DataFrame:
+    """``_mask, _fragment, _run, _offset``: each mask under its fragment that the texts hold least often.
+
+    Fragments are ``FRAGMENT`` characters of a mask's runs without wildcards, or its longest run where all are
+    shorter. A mask with a fragment that no text holds fits none and is left out.
+    """
+    offsets = F.sequence(F.lit(1), F.length("_run") - F.col("_size") + 1)
+    parts = (
+        masks.select("_mask", "_size", F.explode(F.split("_mask", "[%_]+")).alias("_run"))
+        .filter(F.length("_run") >= F.col("_size"))
+        .select("_mask", "_size", "_run", F.explode(offsets).alias("_offset"))
+        .withColumn("_fragment", F.col("_run").substr(F.col("_offset"), F.col("_size")))
+    )
+    counts = fragments.groupBy("_fragment").agg(F.count("*").alias("_n"))
+    rarest = F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_fragment", "_run", "_offset")).alias("best")
+    best = parts.join(counts, "_fragment", "left").groupBy("_mask").agg(rarest).filter("best.n > 0")
+    return best.select("_mask", "best._fragment", "best._run", "best._offset")
+
+
+def mask_candidates(texts: DataFrame, masks: DataFrame) -> DataFrame:
+    """``_clean, _mask``: pairs that share the mask's rarest fragment, with the whole run around it in its place."""
+    sizes = sorted(r["_size"] for r in masks.select("_size").distinct().collect())  # 1 to FRAGMENT
+    if not sizes:
+        return texts.select("_clean", F.lit(None).cast("string").alias("_mask")).limit(0)
+    fragments = _fragments(texts, sizes)
+    start = F.col("_at") - F.col("_offset") + 1
+    found = fragments.join(file_masks(masks, fragments), "_fragment").filter(start >= 1)
+    same = F.col("_clean").substr(start, F.length("_run")) == F.col("_run")
+    return found.filter(same).select("_clean", "_mask").distinct()
+
+
 def flag_by_mask_table(df: DataFrame, text: str, masks: DataFrame, mask: str, out: str) -> DataFrame:
     """Existence test against masks kept in a parameter table of any size.
 
-    Every cleaned text is looked at once. It meets the masks that share a fragment with it, then
-    ``LIKE`` decides. A mask is filed under the start of its longest run without wildcards; one that has
-    no run of ``FRAGMENT`` characters is met by all texts.
+    Every cleaned text is looked at once. It meets the masks whose rarest fragment it holds (see
+    ``file_masks``), then ``LIKE`` decides; fragments that many texts share find no masks unless a mask has no
+    other. Masks of wildcards only ask for a length.
     """
-    runs = F.split(F.col("_mask"), "[%_]+")
-    longest = F.element_at(F.array_sort(F.transform(runs, lambda r: F.struct(F.length(r).alias("n"), r.alias("run")))), -1)
-    key = F.when(longest["n"] >= FRAGMENT, F.substring(longest["run"], 1, FRAGMENT)).otherwise("")
-    filed = masks.select(F.col(mask).alias("_mask")).filter("_mask is not null").distinct().withColumn("_key", key)
+    longest = F.array_max(F.transform(F.split("_mask", "[%_]+"), F.length))
+    listed = masks.select(F.col(mask).alias("_mask")).filter("_mask is not null").distinct()
+    listed = listed.withColumn("_size", F.least(longest, F.lit(FRAGMENT)))
     cleaned = df.withColumn("_clean", spaced_words(text))
-    places = F.sequence(F.lit(1), F.greatest(F.length("_clean") - FRAGMENT + 1, F.lit(1)))
-    fragments = F.transform(places, lambda i: F.col("_clean").substr(i, F.lit(FRAGMENT)))
-    met = (
-        cleaned.select("_clean")
-        .distinct()
-        .withColumn("_key", F.explode(F.array_distinct(F.array_append(fragments, F.lit("")))))
-        .join(filed, "_key")
-        .filter(F.expr("_clean LIKE _mask"))
-        .select(F.col("_clean").alias("_hit"))
-        .distinct()
+    texts = cleaned.select("_clean").filter("_clean is not null").distinct()
+    met = mask_candidates(texts, listed.filter("_size > 0")).filter(F.expr("_clean LIKE _mask")).select(F.col("_clean").alias("_hit"))
+    free = listed.filter("_size = 0").select(
+        F.col("_mask").contains("%").alias("open"), F.length(F.translate("_mask", "%", "")).alias("n")
+    )
+    exact = free.filter("not open").select("n").distinct()
+    least = free.filter("open").agg(F.min("n")).scalar()
+    joined = cleaned.join(met.distinct(), F.col("_clean") == F.col("_hit"), "left").join(
+        exact, F.length("_clean") == F.col("n"), "left"
     )
-    joined = cleaned.join(met, F.col("_clean") == F.col("_hit"), "left")
-    return joined.withColumn(out, F.col("_hit").isNotNull().cast("int")).select(*df.columns, out)
+    fits = F.col("_hit").isNotNull() | F.col("n").isNotNull() | F.coalesce(F.length("_clean") >= least, F.lit(False))
+    return joined.withColumn(out, fits.cast("int")).select(*df.columns, out)
 
 
 def _coded(t) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ledgerline.sources.records import records
+
 BAD_ROW = "_bad_row"
 
 
@@ -17,18 +19,20 @@ def read_csv(spark: SparkSession, path: str, schema: str | StructType, sep: str
     return reader.option("quote", '"').option("escape", '"').option("nullValue", null).csv(path)
 
 
-def read_dirty_csv(
-    spark: SparkSession, path: str, columns: Sequence[str], sep: str = ",", line_breaks: bool = False
-) -> DataFrame:
+def read_dirty_csv(spark: SparkSession, path: str, columns: Sequence[str], sep: str = ",") -> DataFrame:
     """Wide text with mixed types: every column a string, broken rows kept in ``_bad_row``.
 
-    A file of any size is split over tasks. ``line_breaks`` is for files that have line breaks inside
-    quotes: only then a file has to be read by one task; without it, such a row counts as broken.
+    Quoted values may hold line breaks, which become ``\\n``; a file of any size is split over tasks all the
+    same. Each file starts with a header. Blank lines are skipped; rows with too few or too many values, and
+    rows whose quotes are never closed, count as broken.
     """
     fields = [StructField(c, StringType()) for c in (*columns, BAD_ROW)]
-    reader = spark.read.schema(StructType(fields)).option("header", True).option("sep", sep)
-    reader = reader.option("multiLine", line_breaks).option("quote", '"').option("escape", '"')
-    return reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD_ROW).csv(path)
+    ddl = ", ".join(f"`{f.name}` string" for f in fields)
+    options = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD_ROW}
+    rows = records(spark, path).filter(~F.col("first") & (F.length(F.btrim("record")) > 0))
+    parsed = rows.select("record", "broken", F.from_csv("record", F.lit(ddl), options).alias("row"))
+    values = [F.when(~F.col("broken"), F.col("row")[c]).alias(c) for c in columns]
+    return parsed.select(*values, F.when(F.col("broken"), F.col("record")).otherwise(F.col("row")[BAD_ROW]).alias(BAD_ROW))
 
 
 def read_table(spark: SparkSession, name: str) -> DataFrame:

@@ -76,3 +76,29 @@ def test_mask_table_of_any_size(spark):
     assert sorted((r.x or "", r.hit) for r in got) == sorted(
         zip([t or "" for t in texts], [1, 1, 0, 1, 1, 1, 1, 0, 0, 0, 1])
     )
+
+
+def test_masks_are_filed_under_their_rarest_fragment(spark):
+    """Contract masks share a word that all texts hold; each text meets one or two of them, not all."""
+    masks = spark.range(1200).select(F.concat(F.lit("%ДОГОВОР% "), "id", F.lit(" %")).alias("_mask")).withColumn("_size", F.lit(3))
+    texts = spark.range(500).select(F.concat(F.lit(" АРЕНДА ДОГОВОР "), (F.col("id") * 7 % 2000).cast("string"), F.lit(" ")).alias("_clean"))
+    pairs = screening.mask_candidates(texts, masks)
+    filed = screening.file_masks(masks, screening._fragments(texts, [3]))
+    assert filed.filter("_fragment IN (' ДО', 'ДОГ', 'ОГО', 'ГОВ', 'ОВО', 'ВОР', 'ОР ')").count() == 0
+    assert filed.groupBy("_fragment").count().agg(F.max("count")).first()[0] <= 40
+    assert pairs.count() <= 2 * 500
+    right = {t for t in (i * 7 % 2000 for i in range(500)) if t < 1200}
+    assert pairs.filter("_clean LIKE _mask").select("_clean").distinct().count() == len(right)
+
+
+def test_masks_without_long_runs(spark):
+    cases = {"%": 0, "_%_": 0, "____": 0, "%A_B%": 0, "_ Q _": 0, "%ZZ%": 0, "": 0}
+    texts = ["a b", "q", "ab", "azb", "zz", "a", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "x string")
+    for mask in cases:
+        masks = spark.createDataFrame([(mask,), ("%NEVER THERE%",)], "mask string")
+        got = screening.flag_by_mask_table(rows, "x", masks, "mask", "hit")
+        like = rows.withColumn("clean", screening.spaced_words("x")).withColumn(
+            "want", F.coalesce(F.expr("clean LIKE '" + mask + "'").cast("int"), F.lit(0))
+        )
+        assert sorted((r.x or "-", r.hit) for r in got.collect()) == sorted((r.x or "-", r.want) for r in like.collect()), mask

@@ -1,10 +1,12 @@
 """Readers, writers, views and the streaming forms."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from ledgerline.operators.profile import null_profile
 from ledgerline.plans import donors
-from ledgerline.sources import tables
+from ledgerline.sources import records, tables
 from ledgerline.streaming import events
 
 
@@ -24,9 +26,63 @@ def test_other_separators(spark, tmp_path):
 
 def test_dirty_csv_keeps_broken_rows(spark, tmp_path):
     path = tmp_path / "d.csv"
-    path.write_text('a,b\n1,"two\nlines"\n1\n3,4,5\n')
-    got = tables.read_dirty_csv(spark, str(path), ["a", "b"], line_breaks=True).cache()
-    assert got.count() == 3 and got.filter(F.col(tables.BAD_ROW).isNotNull()).count() == 2
+    path.write_text('a,b\n1,"two\nlines"\n1\n3,4,5\n\n')
+    got = tables.read_dirty_csv(spark, str(path), ["a", "b"]).collect()
+    assert len(got) == 3 and sum(r[tables.BAD_ROW] is not None for r in got) == 2
+    assert ("1", "two\nlines", None) in [tuple(r) for r in got]
+
+
+def quoted(rows):
+    return "a,b\n" + "".join(",".join('"' + v.replace('"', '""') + '"' for v in row) + "\n" for row in rows)
+
+
+def test_records_across_many_blocks(spark, tmp_path):
+    """Blocks of a few bytes: records, quotes and long runs of lines cross their edges."""
+    rnd = random.Random(1)
+    files = []
+    for n in range(3):
+        rows = [
+            (str(i), "".join(rnd.choice(["x", "\n", '"', ",", "é", "\n\n", '""']) for _ in range(rnd.choice([0, 3, 60, 400]))))
+            for i in range(60)
+        ]
+        files.append(rows)
+        (tmp_path / f"f{n}.csv").write_text(quoted(rows), encoding="utf-8")
+    want = sorted(row for rows in files for row in rows)
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for block in ("64b", "257b", "1m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            lines = records._lines(spark, str(tmp_path))
+            starts = records.block_starts(lines)
+            got = tables.read_dirty_csv(spark, str(tmp_path), ["a", "b"]).collect()
+            assert sorted((r.a, r.b or "") for r in got) == want and all(r[tables.BAD_ROW] is None for r in got)
+            assert (starts.filter("inside = 1").count() > 20) == (block != "1m")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_quotes_that_are_never_closed(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('a,b\n1,x\n2,"open\n' + "line,line\n" * 50)
+    got = tables.read_dirty_csv(spark, str(tmp_path), ["a", "b"]).collect()
+    assert [(r.a, r.b) for r in got if r[tables.BAD_ROW] is None] == [("1", "x")]
+    assert len(got) == 2
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "100b")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        pieces = [r.record for r in records.records(spark, str(tmp_path), longest=200).filter("broken").collect()]
+        assert len(pieces) > 3 and sum(p.count("line,line") for p in pieces) == 50
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_empty_files_have_no_records(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("")
+    (tmp_path / "b.csv").write_text("a,b\n")
+    assert tables.read_dirty_csv(spark, str(tmp_path), ["a", "b"]).collect() == []
 
 
 def test_round_trip_and_export(spark, tmp_path):
