@@ -308,6 +308,18 @@ _view("cars", """
            CASE l_suppkey % 3 WHEN 0 THEN 'Местное' ELSE 'Импорт' END AS assembly
     FROM {lineitem}""")
 
+# classes of models: A to F, sports cars, five sizes of off-roaders, pick-ups; lorries by displacement
+_SIZES = ["A", "B", "C", "D", "E", "F", "S", "B-SUV", "C-SUV", "D-SUV", "E-SUV", "F-SUV", "Пикап"]
+_CLASS_OF = "CASE p_partkey % 60 % 13 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(_SIZES)) + " END"
+_MODEL = "'M' || CAST(p_partkey % 60 AS VARCHAR(20))"
+_view("class_rules", f"""
+    SELECT DISTINCT {_CLASS_OF} AS class, {_MODEL} AS member, CAST(NULL AS DOUBLE) AS low, CAST(NULL AS DOUBLE) AS high,
+           9 AS priority
+    FROM {{part}} WHERE p_partkey % 60 < 56
+    UNION ALL SELECT DISTINCT 'Среднетоннажные грузовики', {_MODEL}, 1.8e0, 2.4e0, 2 FROM {{part}} WHERE p_partkey % 60 % 7 = 3
+    UNION ALL SELECT DISTINCT 'Крупнотоннажные грузовики', {_MODEL}, 2.0e0, CAST(NULL AS DOUBLE), 1 FROM {{part}} WHERE p_partkey % 60 % 14 = 3
+    UNION ALL SELECT DISTINCT 'A', 'M99x', CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), 9 FROM {{part}} WHERE p_partkey = 1""")
+
 # --- audience, channels, donations, experiments ------------------------------------------
 _view("visits", """
     SELECT event_id AS visit_id, user_id, ts AS visited_at, 'source ' || CAST(event_id % 14 AS VARCHAR(20)) AS source,

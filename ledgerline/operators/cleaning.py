@@ -127,19 +127,31 @@ def impute_mode(
     return impute_modes(df, {column: ModeGate(min_mode_percent, max_null_percent)}, by)
 
 
-def reclassify(df: DataFrame, member: str, column: str, classes: Mapping[str, Sequence[str]]) -> DataFrame:
-    """New class by member lists; rows of unlisted members keep their class."""
-    new = F.col(column)
-    for name, members in reversed(classes.items()):
-        new = F.when(F.col(member).isin(*members), F.lit(name)).otherwise(new)  # a hash lookup for each class
-    return df.withColumn(column, new)
+def reclassify(df: DataFrame, rules: DataFrame, member: str, column: str, measure: str) -> DataFrame:
+    """New class by a rule table of any size; rows that fit no rule keep their class.
+
+    ``rules`` has ``class, member, low, high, priority``. A rule fits its member's rows whose measure is at
+    least ``low`` and below ``high``; a null limit is open, and a rule without limits fits any measure, also an
+    unknown one. The rule with the least priority wins, then the first class by name. The rules of a member are
+    one row before they meet the table, so no row is multiplied; Spark broadcasts them only if they are small.
+    """
+    rule = F.struct("priority", "class", "low", "high")
+    listed = rules.filter(F.col("member").isNotNull()).groupBy(F.col("member").alias("_member"))
+    listed = listed.agg(F.array_sort(F.collect_set(rule)).alias("_rules"))
+    x = F.col(measure)
+
+    def fits(r: Column) -> Column:
+        above = r["low"].isNull() | F.coalesce(x >= r["low"], F.lit(False))
+        return above & (r["high"].isNull() | F.coalesce(x < r["high"], F.lit(False)))
+
+    best = F.try_element_at(F.filter("_rules", fits), F.lit(1))["class"]
+    joined = df.join(listed, F.col(member) == F.col("_member"), "left")
+    return joined.withColumn(column, F.coalesce(best, column)).select(df.columns)
 
 
-def unknown_members(df: DataFrame, member: str, classes: Mapping[str, Sequence[str]]) -> DataFrame:
+def unknown_members(df: DataFrame, member: str, rules: DataFrame) -> DataFrame:
     """Listed members that the data never mentions: likely typing errors in the list."""
-    listed = [F.lit(m) for members in classes.values() for m in members]
-    members = df.sparkSession.range(1).select(F.explode(F.array(*listed)).alias(member))
-    return missing_members(members, df, member)
+    return missing_members(rules.select(F.col("member").alias(member)), df, member)
 
 
 def class_audit(before: DataFrame, after: DataFrame, member: str, column: str) -> DataFrame:
@@ -157,6 +169,14 @@ def fill_own_mode(df: DataFrame, column: str, member: str, members: Sequence[str
     return join_back(df, own, [member]).withColumn(column, filled).select(df.columns)
 
 
+def set_own_mode(df: DataFrame, column: str, member: str, members: Sequence[str]) -> DataFrame:
+    """All values of the listed members, right or wrong, become the member's most frequent one."""
+    listed = F.col(member).isin(*members)
+    own = mode(df.filter(listed), column, [member], "_own").select(member, "_own")
+    real = F.when(listed, F.coalesce("_own", column)).otherwise(F.col(column))
+    return join_back(df, own, [member]).withColumn(column, real).select(df.columns)
+
+
 def assign_where(df: DataFrame, rules: Sequence[tuple[Column, Mapping[str, Column]]]) -> DataFrame:
     """Masked assignments to several columns; a rule's values and mask see the row as earlier rules left it."""
     for predicate, values in rules:

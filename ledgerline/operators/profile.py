@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.numbers import half_up, percent, ratio
+from ledgerline.operators.selection import column_quantiles
 from ledgerline.operators.ordered import rank_quantiles, value_ranks
 
 
@@ -99,25 +100,26 @@ def _weighted(value: str = "value") -> dict[str, Column]:
     return {"cnt": F.sum(w), "sum": F.sum(v * w), "mean": F.sum(v * w) / F.sum(w)}
 
 
+def _rows(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
+    return df.sparkSession.createDataFrame(rows, schema)
+
+
 def describe(df: DataFrame, columns: Sequence[str], digits: int = 4) -> DataFrame:
-    """Count, mean, deviation, extremes and exact quartiles of numeric columns, one pass over the rows."""
-    ranks = value_ranks(long_form(df, columns, "double"), "value", ["column"])
-    basic = ranks.groupBy("column").agg(
-        F.sum("cnt").alias("cnt"),
-        _weighted()["mean"].alias("mean"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
-    quarts = rank_quantiles(ranks, "value", QUARTILES, ["column"]).drop("n")
-    # one row per listed column, joined to the different values to measure the spread
-    centre = F.broadcast(basic.select("column", "mean"))
-    spread = ranks.join(centre, "column").groupBy("column").agg(
-        F.sqrt(
-            F.sum(F.col("cnt") * (F.col("value") - F.col("mean")) * (F.col("value") - F.col("mean")))
-            / F.nullif(F.sum("cnt") - 1, F.lit(0))
-        ).alias("std")
-    )
-    return basic.join(spread, "column").join(quarts, "column").select(
+    """Count, mean, deviation, extremes and exact quartiles of numeric columns, in three passes over the rows.
+
+    Nothing is sorted or written: see ``column_quantiles``. A column without values has no row.
+    """
+    known = {c: s for c, s in column_quantiles(df, columns, QUARTILES).items() if s.n}
+    rows = [(c, s.n, s.least, s.most, s.total / s.n, *(s.quantiles[q] for q in QUARTILES)) for c, s in known.items()]
+    basic = _rows(df, rows, f"column string, cnt long, min double, max double, mean double, {', '.join(f'{q} double' for q in QUARTILES)}")
+    if not known:
+        return basic.withColumn("std", F.lit(None).cast("double"))
+    spread = [
+        F.sqrt(F.sum(F.pow(F.col(c).cast("double") - F.lit(s.total / s.n), 2)) / F.nullif(F.lit(s.n - 1), F.lit(0))).alias(c)
+        for c, s in known.items()
+    ]
+    std = df.agg(*spread).unpivot([], list(known), "column", "std")
+    return basic.join(std, "column").select(
         "column", "cnt", "min", "max", *[half_up(c, digits).alias(c) for c in ("mean", "std", *QUARTILES)]
     )
 
@@ -130,19 +132,25 @@ def fences(quarts: DataFrame) -> DataFrame:
 
 
 def iqr_report(df: DataFrame, columns: Sequence[str], digits: int = 4) -> DataFrame:
-    """Mean, median, fences and share of values up to the upper fence, all columns in one pass.
+    """Mean, median, fences and share of values up to the upper fence, all columns in three passes.
 
-    The share is taken of all values; outliers are the values above the fence.
+    The share is taken of all values; outliers are the values above the fence. A column without values has
+    no row.
     """
-    ranks = value_ranks(long_form(df, columns, "double"), "value", ["column"])
-    limits = fences(rank_quantiles(ranks, "value", QUARTILES, ["column"])).drop("n")
-    judged = ranks.join(F.broadcast(limits), "column")  # one row per listed column
-    normal = F.sum(F.when(F.col("value") <= F.col("upper_bound"), F.col("cnt")).otherwise(0))
-    return judged.groupBy("column").agg(
-        half_up(_weighted()["mean"], digits).alias("mean"),
-        *[half_up(F.max(c), digits).alias(c) for c in ("median", "lower_bound", "upper_bound")],
-        normal.alias("normal_cnt"),
-        percent(normal, F.sum("cnt"), 1).alias("normal_percent"),
+    known = {c: s for c, s in column_quantiles(df, columns, QUARTILES).items() if s.n}
+    rows = [(c, s.n, s.total / s.n, *(s.quantiles[q] for q in QUARTILES)) for c, s in known.items()]
+    limits = fences(_rows(df, rows, f"column string, cnt long, mean double, {', '.join(f'{q} double' for q in QUARTILES)}"))
+    if not known:
+        normal = _rows(df, [], "column string, normal_cnt long")
+    else:
+        top = {c: s.quantiles["q3"] + 1.5 * (s.quantiles["q3"] - s.quantiles["q1"]) for c, s in known.items()}
+        counts = df.agg(*[F.count_if(F.col(c).cast("double") <= F.lit(top[c])).alias(c) for c in known])
+        normal = counts.unpivot([], list(known), "column", "normal_cnt")
+    return limits.join(normal, "column").select(
+        "column",
+        *[half_up(c, digits).alias(c) for c in ("mean", "median", "lower_bound", "upper_bound")],
+        "normal_cnt",
+        percent("normal_cnt", "cnt", 1).alias("normal_percent"),
     )
 
 

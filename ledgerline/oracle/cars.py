@@ -82,8 +82,15 @@ _PROFILE = " UNION ALL ".join(f"""SELECT '{c}' AS "column", COUNT(*) AS row_cnt,
 _TOPV = " UNION ALL ".join(f"""SELECT '{c}' AS "column", {c} AS value, cnt, place FROM (
     SELECT {c}, COUNT(*) AS cnt, ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, {c} ASC NULLS FIRST) AS place
     FROM ty GROUP BY {c}) WHERE place <= 5""" for c in _COLUMNS)
-_CLASS = """CASE WHEN model IN ('M0', 'M5', 'M10') THEN 'A' WHEN model IN ('M1', 'M6', 'M11', 'M16') THEN 'B'
-    WHEN model IN ('M2', 'M7', 'M99x') THEN 'D' ELSE car_classification END"""
+_RULED = """, hits AS (SELECT model, car_classification, engine_displacement_l, FIRST(r.class ORDER BY priority, r.class) AS new
+        FROM (SELECT DISTINCT model, car_classification, engine_displacement_l FROM c) LEFT JOIN class_rules r
+          ON member = model AND (low IS NULL OR engine_displacement_l >= low) AND (high IS NULL OR engine_displacement_l < high)
+        GROUP BY 1, 2, 3),
+    n AS (SELECT c.model, c.car_classification AS class_before, COALESCE(new, c.car_classification) AS class_after
+          FROM c JOIN hits h ON h.model = c.model AND h.car_classification IS NOT DISTINCT FROM c.car_classification
+           AND h.engine_displacement_l IS NOT DISTINCT FROM c.engine_displacement_l)
+    """
+_R = using("cars", "class_rules", rest=_CANON)
 
 
 def _top(column: str) -> str:
@@ -140,11 +147,16 @@ SQL = {
         CASE WHEN quantity IS NULL THEN 'Физическое лицо' WHEN customer_type IS NOT NULL THEN customer_type
              WHEN quantity = 1 THEN 'Физическое лицо' ELSE 'Юридическое лицо' END AS customer_type, COUNT(*) AS cnt
         FROM c GROUP BY 1, 2""",
-    "car_reclass": _W + f"""SELECT * FROM
-        (SELECT model, car_classification AS class_before, COUNT(*) AS cnt_before FROM c GROUP BY 1, 2)
-        JOIN (SELECT model, {_CLASS} AS class_after, COUNT(*) AS cnt_after FROM c GROUP BY 1, 2) USING (model)""",
-    "car_reclass_typos": _W + """SELECT m AS model FROM (VALUES ('M0'), ('M5'), ('M10'), ('M1'), ('M6'), ('M11'), ('M16'),
-        ('M2'), ('M7'), ('M99x')) v(m) WHERE m NOT IN (SELECT model FROM c)""",
+    "car_reclass": _R.rstrip() + _RULED + """SELECT * FROM
+        (SELECT model, class_before, COUNT(*) AS cnt_before FROM n GROUP BY 1, 2)
+        JOIN (SELECT model, class_after, COUNT(*) AS cnt_after FROM n GROUP BY 1, 2) USING (model)""",
+    "car_reclass_typos": _R + "SELECT DISTINCT member AS model FROM class_rules WHERE member NOT IN (SELECT model FROM c)",
+    "car_real_displacement": _W.rstrip() + """,
+        own AS (SELECT model, FIRST(v ORDER BY n DESC, v) AS best
+                FROM (SELECT model, engine_displacement_l AS v, COUNT(*) AS n FROM c
+                      WHERE engine_displacement_l IS NOT NULL AND model IN ('M5', 'M12', 'M33') GROUP BY 1, 2) GROUP BY 1)
+        SELECT model, COALESCE(best, engine_displacement_l) AS engine_displacement_l, COUNT(*) AS cnt
+        FROM c LEFT JOIN own USING (model) GROUP BY 1, 2""",
     "car_market_monthly": _W + f"""SELECT purchase_date, car_type, {big('SUM(sale_usd)')} AS revenue,
         {big('SUM(quantity)')} AS cars FROM c GROUP BY 1, 2""",
     "car_market_price_bands": _W + f"""SELECT price_band, sales, {pct('sales', 'SUM(sales) OVER ()')} AS share
