@@ -138,6 +138,67 @@ def previous_value(df: DataFrame, keys: Sequence[str], order: str, out: str) ->
     )
 
 
+def sliding(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], before: int, after: int, out: dict[str, Column]
+) -> DataFrame:
+    """Aggregates over the ``before`` rows before each row, the row, and the ``after`` rows behind it, per key.
+
+    ``out`` names the aggregates, such as ``F.sum("value")``; rows should be unique in (keys, order), equal ones
+    come in any order. A chunk gets a halo: the rows of its first and last key that lie next to it in other
+    chunks. Only those keys can span chunks, so a halo has at most ``before + after`` rows on each side,
+    also where the chunks of a key are shorter than the frame.
+    """
+    reach = max(before + after, 1)
+    part = Window.partitionBy(CHUNK, *keys)
+    rows = durable(
+        _chunks(df, keys, order).withColumns({"_at": F.row_number().over(part.orderBy(*order)), "_n": F.count("*").over(part)})
+    )
+    parts = rows.groupBy(CHUNK, *keys).agg(F.max("_n").cast("bigint").alias("_n"))
+    of_key = Window.partitionBy(*[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys], *[F.col(k).isNull() for k in keys])
+    spanning = (
+        parts.withColumns(
+            {
+                "_first": F.coalesce(F.sum("_n").over(of_key.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+                "_parts": F.count("*").over(of_key),
+            }
+        )
+        .filter("_parts > 1")
+        .select(F.col(CHUNK).alias("_rc"), *[F.col(k).alias(f"_r_{k}") for k in keys], "_first", F.col("_n").alias("_size"))
+    )
+    spanning = durable(spanning)  # at most two rows for each chunk
+
+    def same_key() -> Column:
+        on = F.lit(True)
+        for k in keys:
+            on = on & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+        return on
+
+    edges = rows.filter((F.col("_at") <= after) | (F.col("_at") > F.col("_n") - before))
+    edges = edges.join(F.broadcast(spanning), (F.col(CHUNK) == F.col("_rc")) & same_key())
+    edges = edges.select(*df.columns, "_at", "_n", F.col(CHUNK).alias("_from"), (F.col("_first") + F.col("_at") - 1).alias("_place"))
+    # the stretch of places that a chunk needs to its left and right, in strips as wide as the frame
+    stretch = F.inline(
+        F.array(
+            F.struct((F.col("_first") - before).alias("_lo"), (F.col("_first") - 1).alias("_hi")),
+            F.struct((F.col("_first") + F.col("_size")).alias("_lo"), (F.col("_first") + F.col("_size") + after - 1).alias("_hi")),
+        )
+    )
+    needs = spanning.select("*", stretch).filter("_hi >= _lo and _hi >= 0")
+    needs = needs.withColumn("_strip", F.explode(F.sequence(F.floor(F.col("_lo") / reach), F.floor(F.col("_hi") / reach))))
+    halo = (
+        edges.withColumn("_place_strip", F.floor(F.col("_place") / reach))
+        .join(needs, same_key() & (F.col("_place_strip") == F.col("_strip")))
+        .filter(F.col("_place").between(F.col("_lo"), F.col("_hi")) & (F.col("_from") != F.col("_rc")))
+    )
+    # rows from the left come before the chunk's own, those from the right behind them
+    own = rows.select(*df.columns, F.col(CHUNK), F.lit(0).alias("_side"), F.col("_at").cast("bigint").alias("_seq"))
+    side = F.when(F.col("_from") < F.col("_rc"), -1).otherwise(1)
+    both = own.union(halo.select(*df.columns, F.col("_rc"), side, F.col("_place")))
+    frame = Window.partitionBy(CHUNK, *keys).orderBy("_side", "_seq").rowsBetween(-before, after)
+    done = both.withColumns({name: value.over(frame) for name, value in out.items()})
+    return done.filter("_side = 0").select(*df.columns, *out)
+
+
 def value_ranks(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Different values per group in order: ``cnt`` rows hold the value, ``upto`` rows are not above it.
 

@@ -76,6 +76,44 @@ def join_days(first: DataFrame, *others: DataFrame, on: str = "date") -> DataFra
     return first
 
 
+def overlap_join(
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    left_span: tuple[str, str],
+    right_span: tuple[str, str],
+    days: int,
+) -> DataFrame:
+    """Pairs with equal keys whose spans of time share a moment; both ends belong to a span.
+
+    Time is cut into strips of ``days`` days, and a strip is part of the join key: a key with a large part of
+    all rows is spread over its strips, and rows only meet where their spans pass. A pair that meets in several
+    strips counts in the one where the later of its two spans starts. A moment is a span whose ends are the same
+    column. Rows with a null key or end have no pairs; a span that ends before it starts has none either.
+    """
+
+    def strip(time: str) -> Column:
+        return F.floor(F.unix_date(F.to_date(time)) / days)
+
+    def spread(df: DataFrame, span: tuple[str, str], name: str) -> DataFrame:
+        known = df.filter(F.col(span[0]) <= F.col(span[1]))
+        if span[0] == span[1]:
+            return known.withColumns({name: strip(span[0]), f"{name}_first": strip(span[0])})
+        every = F.explode(F.sequence(strip(span[0]), strip(span[1])))
+        return known.withColumn(f"{name}_first", strip(span[0])).withColumn(name, every)
+
+    a = spread(left, left_span, "_strip_l")
+    b = spread(right, right_span, "_strip_r").withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = F.col("_strip_l") == F.col("_strip_r")
+    for k in keys:
+        on = on & (F.col(k) == F.col(f"_r_{k}"))
+    share = (F.col(left_span[0]) <= F.col(right_span[1])) & (F.col(right_span[0]) <= F.col(left_span[1]))
+    once = F.col("_strip_l") == F.greatest("_strip_l_first", "_strip_r_first")
+    return a.join(b, on).filter(share & once).drop(
+        "_strip_l", "_strip_r", "_strip_l_first", "_strip_r_first", *[f"_r_{k}" for k in keys]
+    )
+
+
 def top_k(df: DataFrame, k: int, *order: Column) -> DataFrame:
     """Sort and limit; every call passes a unique last key so that ties are decided."""
     return df.orderBy(*order).limit(k)

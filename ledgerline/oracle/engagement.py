@@ -37,6 +37,9 @@ SQL = {
     "visits_moving_avg": using("visits") + f"""SELECT date, visits,
         {rnd('AVG(visits) OVER (ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)', 2)} AS moving_avg
         FROM (SELECT {_DAY} AS date, COUNT(*) AS visits FROM visits GROUP BY 1)""",
+    "visits_user_moving_sum": f"""SELECT event_id, user_id, {big('SUM(c) OVER w')} AS last_cents, COUNT(c) OVER w AS last_events
+        FROM (SELECT *, {cents('value')} AS c FROM events)
+        WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)""",
     "top_engaged_users": using("visits") + """SELECT user_id, COUNT(DISTINCT source) AS sources, COUNT(*) AS visits
         FROM visits GROUP BY 1 ORDER BY sources DESC, visits DESC, user_id LIMIT 10""",
     "email_funnel": using("emails", rest="""p AS (SELECT DISTINCT user_id, message_id, stage FROM emails),

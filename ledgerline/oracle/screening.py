@@ -58,3 +58,4 @@ SQL = {
                         regexp_extract_all(regexp_extract(UPPER(payment_purpose), 'ДОГОВОР.*'), '[^ ,;.!№]+'))
                     THEN 1 ELSE {_hit('payment_purpose', _CREDIT + _LOAN)} END AS hit FROM transactions""",
 }
+SQL["aml_list_functions"] = SQL["aml_list_flags"]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions.numbers import cents, from_cents, half_up, percent, ratio
 from ledgerline.operators.relational import join_back
 from ledgerline.plans.engagement import first_visits, user_days
+from ledgerline.sources.bucketed import bucketed
 
 
 def mature(profiles: DataFrame, today: str, horizon: int) -> DataFrame:
@@ -32,6 +33,25 @@ def _lifetime(days: DataFrame, profiles: DataFrame, horizon: int) -> DataFrame:
     )
 
 
+def bucketed_log(visits: DataFrame, payments: DataFrame, buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Visits and payments in buckets of their user, reduced to what cohorts need of a user's day.
+
+    A user's visits of a day become the first one, and the payments a count and a sum, so a user has a bounded
+    number of rows for each day of the log.
+    """
+    day = F.to_date("visited_at")
+    first = F.min(F.struct("visited_at", "visit_id", "source", "device", "country")).alias("f")
+    visits = visits.groupBy("user_id", day.alias("day")).agg(first).select("user_id", "f.*")
+    return bucketed(visits, "user_id", "visits", buckets), bucketed(_paid_days(payments), "user_id", "payments", buckets)
+
+
+def cohort_curve_of_days(
+    visits: DataFrame, paid: DataFrame, today: str, horizon: int, by: Sequence[str]
+) -> DataFrame:
+    """``cohort_curve`` over tables that lie in buckets of their user: no step shuffles by user."""
+    return _curve_of(first_visits(visits), user_days(visits), paid, today, horizon, by)
+
+
 def cohort_curve(
     profiles: DataFrame, visits: DataFrame, payments: DataFrame, today: str, horizon: int, by: Sequence[str]
 ) -> DataFrame:
@@ -40,13 +60,17 @@ def cohort_curve(
     Visits and payments are reduced to user-days before they meet the profiles. Every group has all days
     of life, also those without a visit or a payment; an unknown group is a group.
     """
+    return _curve_of(profiles, user_days(visits), _paid_days(payments), today, horizon, by)
+
+
+def _curve_of(
+    profiles: DataFrame, active_days: DataFrame, paid_days: DataFrame, today: str, horizon: int, by: Sequence[str]
+) -> DataFrame:
     by = list(by)
     people = mature(profiles, today, horizon).select("user_id", "first_day", *by)
     sizes = people.groupBy(*by).agg(F.count("*").alias("cohort_size"))
-    active = _lifetime(user_days(visits), people, horizon).groupBy(*by, "lifetime").agg(
-        F.count("*").alias("active")
-    )
-    paid = _lifetime(_paid_days(payments), people, horizon).groupBy(*by, "lifetime").agg(
+    active = _lifetime(active_days, people, horizon).groupBy(*by, "lifetime").agg(F.count("*").alias("active"))
+    paid = _lifetime(paid_days, people, horizon).groupBy(*by, "lifetime").agg(
         F.sum("orders").alias("orders"), F.sum("cents").alias("cents")
     )
     run = Window.partitionBy(*by).orderBy("lifetime")  # at most ``horizon`` rows per group
@@ -171,7 +195,7 @@ def _sums(t, by: Sequence[str] = ()) -> DataFrame:
 
 
 QUERIES = {
-    "cohort_rr_ltv_aov": lambda t: _curve(t, ["country"], 28),
+    "cohort_rr_ltv_aov": lambda t: cohort_curve_of_days(*bucketed_log(t.visits, t.payments), TODAY, 28, ["country"]),
     "cohort_rr_ltv_aov_by_device": lambda t: _curve(t, ["device"]),
     "unit_economics_channel": lambda t: unit_economics(_sums(t), ["source"]),
     "unit_economics_device": lambda t: unit_economics(_sums(t, ["device"]), ["device"]),

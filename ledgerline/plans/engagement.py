@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.numbers import cents, from_cents, half_up, percent, ratio
-from ledgerline.operators.relational import over_days, share_of_total, top_k
+from ledgerline.operators.ordered import row_numbers, sliding
+from ledgerline.operators.relational import join_back, over_days, share_of_total, top_k
+from ledgerline.session import durable
 
 
 def user_days(visits: DataFrame, *by: str) -> DataFrame:
@@ -14,12 +18,29 @@ def user_days(visits: DataFrame, *by: str) -> DataFrame:
     return visits.select(*by, "user_id", F.to_date("visited_at").alias("day")).distinct()
 
 
+def user_bitmaps(days: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``by, day, bucket, users``: each day's users as bitmaps over dense user numbers.
+
+    A bitmap covers 32,768 numbers, so a day has one row for each that many users, and longer periods are
+    unions of its rows.
+    """
+    numbers = row_numbers(days.select("user_id").filter("user_id is not null").distinct(), ["user_id"], "_number", unique=True)
+    numbered = days.join(numbers, "user_id")
+    return numbered.groupBy(*by, "day", F.bitmap_bucket_number("_number").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("_number")).alias("users")
+    )
+
+
 def active_users(visits: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Mean daily, weekly and monthly active users and sticky factors, calendar periods."""
-    days = user_days(visits, *by)
+    """Mean daily, weekly and monthly active users and sticky factors, calendar periods.
+
+    The visits are read once, as user-days; all periods are counted from one set of daily bitmaps.
+    """
+    daily = durable(user_bitmaps(durable(user_days(visits, *by)), by))
 
     def mean_users(period: Column, out: str) -> DataFrame:
-        counts = days.groupBy(*by, period.alias("p")).agg(F.countDistinct("user_id").alias("n"))
+        unions = daily.groupBy(*by, period.alias("p"), "bucket").agg(F.bitmap_or_agg("users").alias("users"))
+        counts = unions.groupBy(*by, "p").agg(F.sum(F.bitmap_count("users")).alias("n"))
         return counts.groupBy(*by).agg(ratio(F.sum("n"), F.count("*")).alias(out))
 
     parts = [
@@ -28,7 +49,7 @@ def active_users(visits: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
         mean_users(F.trunc("day", "month"), "mau"),
     ]
     if by:
-        joined = parts[0].join(parts[1], list(by)).join(parts[2], list(by))
+        joined = join_back(join_back(parts[0], parts[1], by), parts[2], by)
     else:
         joined = parts[0].select("dau", parts[1].scalar().alias("wau"), parts[2].scalar().alias("mau"))
     return joined.select(
@@ -39,6 +60,13 @@ def active_users(visits: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
+def user_moving_sums(events: DataFrame, rows: int = 7) -> DataFrame:
+    """Spending and number of events over each user's last ``rows`` events, on the raw log."""
+    log = events.select("user_id", "ts", "event_id", cents("value").alias("cents"))
+    sums = {"last_cents": F.sum("cents"), "last_events": F.count("cents")}
+    return sliding(log, ["user_id"], ["ts", "event_id"], rows - 1, 0, sums).select("event_id", "user_id", *sums)
+
+
 def first_visits(visits: DataFrame) -> DataFrame:
     """First visit per user; a bounded state per user, combined on the map side."""
     first = F.min_by(F.struct("source", "device", "country"), F.struct("visited_at", "visit_id"))
@@ -180,6 +208,7 @@ QUERIES = {
     "chan_spikes": lambda t: spikes(t.visits, 335),
     "chan_effectiveness": lambda t: channel_effectiveness(t.visits),
     "visits_moving_avg": lambda t: moving_average(t.visits),
+    "visits_user_moving_sum": lambda t: user_moving_sums(t.events),
     "top_engaged_users": lambda t: engaged_users(t.visits),
     "email_funnel": lambda t: mail_funnel(t.emails),
     "campaign_romi": lambda t: campaign_romi(t.emails),

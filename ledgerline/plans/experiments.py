@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.numbers import half_up, percent
-from ledgerline.operators.relational import whole
+from ledgerline.operators.relational import overlap_join, whole
 from ledgerline.operators.statistics import funnel, funnel_z, with_normal_p
 
 STEPS = ["signup", "view", "click", "purchase"]
@@ -25,8 +25,8 @@ def group_balance(experiment: DataFrame) -> DataFrame:
 def promo_overlap(experiment: DataFrame, promos: DataFrame) -> DataFrame:
     """Users whose test days overlap a promotion in their region.
 
-    Users are counted per (region, first day, last day) first, so the interval join sees
-    calendar days instead of users, and joins on the region.
+    Users are counted per (region, first day, last day) first, so the join sees calendar days instead of
+    users; strips of time are part of its key, so a region with most of the rows is spread.
     """
     stays = (
         experiment.groupBy("user_id", "region")
@@ -37,10 +37,8 @@ def promo_overlap(experiment: DataFrame, promos: DataFrame) -> DataFrame:
     offers = promos.select(
         "name", "start_dt", "finish_dt", F.explode(F.array_distinct(F.split("regions", r",\s*"))).alias("region")
     )
-    overlap = (F.col("first_day") <= F.col("finish_dt")) & (F.col("start_dt") <= F.col("last_day"))
     return (
-        stays.join(offers, "region")
-        .filter(overlap)
+        overlap_join(stays, offers, ["region"], ("first_day", "last_day"), ("start_dt", "finish_dt"), 7)
         .groupBy("name", "start_dt", "finish_dt")
         .agg(F.sum("users").alias("users"), F.countDistinct("region").alias("regions"))
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions.numbers import growth_percent, half_up, ratio
 from ledgerline.operators.ordered import row_numbers, running_sum
 from ledgerline.operators.relational import (
+    overlap_join,
     in_days,
     in_years,
     drop_matching,
@@ -152,10 +153,12 @@ def early_helpers(posts: DataFrame, users: DataFrame, post_types: DataFrame, mor
         "display_name",
         (F.col("creation_date") + F.make_ym_interval(F.lit(0), F.lit(1))).alias("until"),
     )
+    answers = _of_type(posts, post_types, "Answer").select("user_id", "creation_date")
+    # answers from before the sign-up count as well: a user's span starts with the log
+    start = answers.agg(F.min("creation_date")).scalar()
+    people = people.withColumn("since", F.least(start, "until"))
     per_user = (
-        _of_type(posts, post_types, "Answer")
-        .join(people, "user_id")
-        .filter(F.col("creation_date") <= F.col("until"))
+        overlap_join(answers, people, ["user_id"], ("creation_date", "creation_date"), ("since", "until"), 30)
         .groupBy("display_name", "user_id")
         .agg(F.count("*").alias("answers"))
     )

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.functions.text import bare_word, matches_any, spaced_words
+from ledgerline.functions.text import NON_WORD, bare_word, matches_any, spaced_words
+from ledgerline.sources.tables import drop_view, session_view
 
 # Threshold, status, masks and message parts of the scenario.
 MAX_AMOUNT = 600_000
@@ -167,6 +171,50 @@ def list_flags(transactions: DataFrame) -> DataFrame:
     )
 
 
+#: Names of the list tests as SQL functions, and their masks.
+LIST_FUNCTIONS = {
+    "in_country_list": COUNTRY_MASKS,
+    "in_country_code_list": COUNTRY_CODE_MASKS,
+    "is_credit": CREDIT_MASKS,
+    "is_loan": LOAN_MASKS,
+}
+
+
+@contextmanager
+def list_functions(spark: SparkSession) -> Iterator[None]:
+    """The four list tests as functions of the session, for use in SQL text; dropped again at the end.
+
+    Spark puts their bodies into the plan of a statement when it is analysed, so frames made inside go on
+    working afterwards. A function of that name that is there already is an error, and is left alone.
+    """
+    made = []
+    try:
+        for name, masks in LIST_FUNCTIONS.items():
+            clean = f"regexp_replace(concat_ws('', ' ', upper(place), ' '), r'{NON_WORD}', ' ')"
+            listed = ", ".join(f"'{m}'" for m in masks)
+            spark.sql(f"CREATE TEMPORARY FUNCTION {name}(place STRING) RETURNS INT RETURN CAST({clean} LIKE ANY ({listed}) AS INT)")
+            made.append(name)
+        yield
+    finally:
+        for name in made:
+            spark.sql(f"DROP TEMPORARY FUNCTION {name}")
+
+
+def list_flags_in_sql(transactions: DataFrame) -> DataFrame:
+    """``list_flags`` as SQL text over a session view."""
+    spark, name = transactions.sparkSession, f"transactions_{uuid.uuid4().hex}"
+    session_view(transactions, name)
+    try:
+        with list_functions(spark):
+            return spark.sql(f"""
+                SELECT operation_id, in_country_list(location) AS in_country_list,
+                       in_country_code_list(counterparty_bank_country_code) AS in_country_code_list,
+                       is_credit(payment_purpose) AS is_credit, is_loan(payment_purpose) AS is_loan
+                FROM {name}""")
+    finally:
+        drop_view(spark, name)
+
+
 def _fragments(texts: DataFrame, sizes: list[int]) -> DataFrame:
     """``_clean, _fragment, _at``: every run of so many characters of a text, and its place."""
 
@@ -246,6 +294,7 @@ def _mask_table(t) -> DataFrame:
 
 QUERIES = {
     "aml_list_flags": lambda t: list_flags(t.transactions),
+    "aml_list_functions": lambda t: list_flags_in_sql(t.transactions),
     "aml_trigger_mask": lambda t: _coded(t).select("operation_id", "trigger_text_mask"),
     "aml_location_mask": lambda t: _coded(t).select("operation_id", "location_mask"),
     "aml_alerts": lambda t: alerts(t.transactions, t.client_persons, t.client_companies),
