@@ -13,6 +13,7 @@ from ledgerline.functions.text import replace_whole
 from ledgerline.operators.ordered import mode, modes, quantiles, row_numbers
 from ledgerline.operators.profile import null_shares
 from ledgerline.operators.relational import join_back, missing_members
+from ledgerline.session import durable
 
 
 def normalize_columns(df: DataFrame, mapping: Mapping[str, str] | None = None) -> DataFrame:
@@ -65,9 +66,12 @@ def impute_median(df: DataFrame, column: str, by: Sequence[str]) -> DataFrame:
     )
 
 
-def null_analysis(df: DataFrame, column: str, by: Sequence[str]) -> DataFrame:
-    """Per group with nulls: null and all rows, percent of nulls, mode and its percent of filled rows."""
-    groups = mode(df, column, by, "mode_value")
+def null_analysis(df: DataFrame, column: str, by: Sequence[str], rows: str | None = None) -> DataFrame:
+    """Per group with nulls: null and all rows, percent of nulls, mode and its percent of filled rows.
+
+    ``rows`` names a column that says how many rows each row stands for.
+    """
+    groups = mode(df, column, by, "mode_value", rows)
     nulls = F.col("obs_cnt") - F.col("value_cnt")
     return groups.filter(nulls > 0).select(
         *by,
@@ -79,9 +83,17 @@ def null_analysis(df: DataFrame, column: str, by: Sequence[str]) -> DataFrame:
     )
 
 
-def reconcile(df: DataFrame, analysis: DataFrame, column: str, by: Sequence[str]) -> DataFrame:
-    """Totals of the diagnostic table beside those of the base table's groups with nulls; both pairs must agree."""
-    groups = df.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.col(column).isNull()).alias("nulls"))
+def reconcile(df: DataFrame, column: str, by: Sequence[str]) -> DataFrame:
+    """Totals of the diagnostic table beside those of the base table's groups with nulls; both pairs must agree.
+
+    The base is read once: rows by group and value are counted and written down, and the diagnostic table and
+    the base's totals are taken from these counts each in their own way.
+    """
+    counts = durable(df.groupBy(*by, column).agg(F.count("*").alias("_rows")))
+    groups = counts.groupBy(*by).agg(
+        F.sum("_rows").alias("n"), F.sum(F.when(F.col(column).isNull(), F.col("_rows")).otherwise(0)).alias("nulls")
+    )
+    analysis = null_analysis(counts, column, by, rows="_rows")
     return analysis.agg(F.sum("obs_cnt").alias("table_obs"), F.sum("null_cnt").alias("table_nulls")).select(
         "table_obs",
         "table_nulls",

@@ -239,12 +239,13 @@ def quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequence[s
     return rank_quantiles(value_ranks(df, value, by), value, probs, by)
 
 
-def modes(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
+def modes(df: DataFrame, columns: Sequence[str], by: Sequence[str], rows: str | None = None) -> DataFrame:
     """Most frequent non-null value of each column per group, the smallest one on ties.
 
     One row per (group, ``column``) with a field per column in ``best``, the mode's count
     ``mode_cnt``, the non-null count ``value_cnt`` and all rows ``obs_cnt``. The rows are read
-    once and combined to counts of value combinations before anything is shuffled or unfolded.
+    once and combined to counts of value combinations before anything is shuffled or unfolded. ``rows`` names
+    a column that says how many rows each row stands for.
     """
     types = dict(df.select(*columns).dtypes)
     parts = [
@@ -255,7 +256,7 @@ def modes(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame
         for c in columns
     ]
     values = [f"_v_{c}" for c in columns]
-    joint = df.groupBy(*by, *columns).agg(F.count("*").alias("_rows"))
+    joint = df.groupBy(*by, *columns).agg((F.sum(rows) if rows else F.count("*")).alias("_rows"))
     long = joint.select(*by, "_rows", F.explode(F.array(*parts)).alias("_p")).select(*by, "_rows", "_p.*")
     counts = long.groupBy(*by, "column", *values).agg(F.sum("_rows").alias("_n"))
     filled = F.lit(False)
@@ -270,8 +271,8 @@ def modes(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame
     return grouped.withColumn("mode_cnt", -F.col("best.n"))
 
 
-def mode(df: DataFrame, value: str, by: Sequence[str], out: str = "mode") -> DataFrame:
+def mode(df: DataFrame, value: str, by: Sequence[str], out: str = "mode", rows: str | None = None) -> DataFrame:
     """``modes`` for one column, flat."""
-    return modes(df, [value], by).select(
+    return modes(df, [value], by, rows).select(
         *by, F.col(f"best._v_{value}").alias(out), "mode_cnt", "value_cnt", "obs_cnt"
     )

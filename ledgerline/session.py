@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,14 +47,26 @@ def local_session(cores: str = "*", app: str = "ledgerline") -> SparkSession:
     return tune(spark)
 
 
+def refuse_own_folder(master: str, own: bool, folder: str) -> None:
+    """Raise if a cluster's executors would each write to a folder of their own machine."""
+    if own and not re.match(r"local(\[|$)", master):
+        raise RuntimeError(f"set spark.checkpoint.dir: {folder} is not shared between the machines of {master}")
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """This application's part of the shared folder in ``spark.checkpoint.dir``, emptied when it ends.
 
-    Without that setting it lies below the warehouse, which all executors share, too.
+    Without that setting it lies below the warehouse. On a cluster that has to be a folder that all executors
+    share, so one on the machine's own file system is refused there.
     """
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        shared = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared:
+            shared = f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+            place = context._jvm.org.apache.hadoop.fs.Path(shared)
+            own = place.getFileSystem(context._jsc.hadoopConfiguration()).getUri().getScheme() == "file"
+            refuse_own_folder(context.master, own, shared)
         context.setCheckpointDir(shared)
     folder = context.getCheckpointDir()
     if folder not in _emptied:

@@ -209,3 +209,14 @@ def test_reports_read_their_rows_three_times(spark):
     df = spark.range(1000).select(F.col("id").cast("double").alias("a"), F.rand(1).alias("b")).mapInArrow(counted, "a double, b double")
     assert len(iqr_report(df, ["a", "b"]).collect()) == 2
     assert seen.value == 3000
+
+
+def test_clusters_need_a_shared_folder():
+    from ledgerline.session import refuse_own_folder
+
+    for master in ("local", "local[8]", "local[*]"):
+        refuse_own_folder(master, True, "/x")
+    refuse_own_folder("yarn", False, "hdfs://x")
+    for master in ("yarn", "spark://h:7077", "k8s://h", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            refuse_own_folder(master, True, "/x")
