@@ -151,7 +151,7 @@ def _pieces(vocabulary: str, size: int, end: int, limits: np.ndarray):
         seen, passed = np.zeros(len(limits), np.int64), np.zeros(len(limits), np.int64)
         for batch in batches:
             for part in slices(batch, "text"):
-                ids, where = encoder(vocabulary).encode(*flat(part.column("text")))
+                ids, where = encoder(vocabulary, ordinary=False).encode(*flat(part.column("text")))
                 ids = np.insert(ids, where[1:], end).astype("<u4")
                 where = where + np.arange(len(where))
                 total = np.diff(where)
@@ -268,7 +268,8 @@ def pack(
 ) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
 
-    ``vocabulary`` is the text of a tokenizer file; ``end`` is the id put after each document. ``start``
+    ``vocabulary`` is the text of a tokenizer file; ``end`` is the id put after each document. Strings of added
+    tokens in a text become their ids. ``start``
     counts the document's ids before the piece, ``offset`` the ids of the sequence before it. A null or
     empty text is the end id alone. Repeated rows and rows without an id are packed like any other. Pieces
     of one class are taken in the order in which tasks read them. An empty table gives no rows. Other

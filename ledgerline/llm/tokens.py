@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 
 import numpy as np
 
@@ -30,12 +31,19 @@ def _byte_letters() -> dict[str, int]:
 
 
 class Encoder:
-    """Ids of whole batches of texts."""
+    """Ids of whole batches of texts.
 
-    def __init__(self, vocabulary: str):
+    ``ordinary`` says that strings of added tokens are text like any other, so that their ids never come up.
+    Else they become those ids, as the library does by default: a text that holds one is encoded by it whole.
+    """
+
+    def __init__(self, vocabulary: str, ordinary: bool = True):
         import tiktoken
         from tokenizers import Tokenizer
 
+        added = [t["content"].encode() for t in json.loads(vocabulary).get("added_tokens", [])]
+        self.added = None if ordinary or not added else re.compile(b"|".join(map(re.escape, added)))
+        self.plain = Tokenizer.from_str(vocabulary)
         self.one = Tokenizer.from_str(vocabulary)
         self.one.encode_special_tokens = True
         model, letters = json.loads(vocabulary)["model"], _byte_letters()
@@ -120,6 +128,21 @@ class Encoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text's ids start and end."""
+        ids, at = self._encode(data, offsets)
+        if self.added is None:
+            return ids, at
+        buffer = data.tobytes()
+        hits = [m.start() for m in self.added.finditer(buffer)]
+        special = np.unique(np.searchsorted(offsets, hits, "right") - 1).astype(np.int64)
+        if not len(special):
+            return ids, at
+        each = np.split(ids, at[1:-1])
+        for row in special.tolist():
+            text = buffer[offsets[row] : offsets[row + 1]].decode()
+            each[row] = np.array(self.plain.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.concatenate(each), np.concatenate([[0], np.cumsum([len(e) for e in each])])
+
+    def _encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows = len(offsets) - 1
         start, row = _chunks(data, offsets)
         if not len(start):
@@ -177,6 +200,6 @@ def _chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(vocabulary: str) -> Encoder:
+def encoder(vocabulary: str, ordinary: bool = True) -> Encoder:
     """The worker's encoder for a vocabulary, given as the text of its file."""
-    return Encoder(vocabulary)
+    return Encoder(vocabulary, ordinary)

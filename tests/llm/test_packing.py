@@ -105,3 +105,14 @@ def test_ids_are_those_of_the_library():
         ids, where = encoder(vocabulary()).encode(*flat(pa.array(texts, pa.string())))
         for i, e in enumerate(one.encode_batch([t or "" for t in texts], add_special_tokens=False)):
             assert ids[where[i] : where[i + 1]].tolist() == e.ids
+
+
+def test_added_tokens_in_a_text_become_their_ids(spark):
+    from tokenizers import Tokenizer
+
+    texts = {1: "a <|endoftext|> b", 2: "plain text", 3: "<|endoftext|>", 4: "x<|endoftext|><|endoftext|>y", 5: "<|endoftext", 6: "|>"}
+    want = Tokenizer.from_str(vocabulary())
+    got = {r.doc_id: r for r in packing.pack(docs_of(spark, texts), vocabulary()).collect()}
+    for i, text in texts.items():
+        ids = [*want.encode(text, add_special_tokens=False).ids, 1]
+        assert (got[i].doc_tokens, got[i].ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
