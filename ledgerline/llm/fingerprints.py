@@ -2,9 +2,9 @@
 
 A text's k-grams of code points are hashed with a rolling polynomial; of each window of ``w``
 neighbouring hashes the least is selected, the rightmost one on ties, and its position kept. Two texts
-that share ``w + k - 1`` code points in a row select a common hash there. Texts of under 64 code points
-take shorter grams and windows, so that a few shared characters show; the guarantee holds among texts of
-one such size. A text shorter than its gram has the hash of the whole; an empty text has none.
+that share ``w + k - 1`` code points in a row select a common hash there. Gram and window are the same for all
+texts, so that any two can be compared. A text with fewer hashes than a window keeps its least one, a text
+shorter than a gram has the hash of the whole, and an empty text has none.
 """
 
 from __future__ import annotations
@@ -21,10 +21,8 @@ from pyspark.sql import functions as F
 from ledgerline.llm.ship import ship
 from ledgerline.llm.words import mix
 
-GRAM = 8
-WINDOW = 16
-#: Gram and window of texts with fewer code points than the first number.
-SHORT = [(12, 2, 1), (64, 4, 3)]
+GRAM = 6
+WINDOW = 8
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -48,9 +46,6 @@ def winnow(points: np.ndarray, k: int = GRAM, w: int = WINDOW) -> tuple[np.ndarr
     """Selected 32-bit hashes and their positions, in text order."""
     if not len(points):
         return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-    for below, gram, window in reversed(SHORT):
-        if len(points) < below:
-            k, w = min(k, gram), min(w, window)
     with np.errstate(over="ignore"):
         hashes = (mix(gram_hashes(points, min(k, len(points)))) >> np.uint64(32)).astype(np.uint32)
     w = min(w, len(hashes))
