@@ -62,3 +62,13 @@ def test_sample_is_bounded_repeatable_and_per_label(many_chunks):
     assert first == sorted(least_hashed(df.repartition(3), "id", "lang", 100).collect())
     assert {k: sum(r.lang == k for r in first) for k in ("big", "small")} == {"big": 100, "small": 100}
     assert len(least_hashed(df, "id", "lang", 10_000).collect()) == 5000
+
+
+def test_any_number_of_languages_is_learned(spark):
+    """600 labels, one of them with most of the rows; none is left out."""
+    rows = [(i, f"l{i % 600}" if i % 3 else "hot") for i in range(6000)]
+    df = spark.createDataFrame(rows, "id long, lang string")
+    found = least_hashed(df, "id", "lang", 5).collect()
+    labels = {lang for _, lang in rows}
+    assert {r.lang for r in found} == labels and len(labels) > 400
+    assert max(sum(r.lang == "hot" for r in found), 0) == 5
