@@ -111,8 +111,11 @@ def test_added_tokens_in_a_text_become_their_ids(spark):
     from tokenizers import Tokenizer
 
     texts = {1: "a <|endoftext|> b", 2: "plain text", 3: "<|endoftext|>", 4: "x<|endoftext|><|endoftext|>y", 5: "<|endoftext", 6: "|>"}
-    want = Tokenizer.from_str(vocabulary())
-    got = {r.doc_id: r for r in packing.pack(docs_of(spark, texts), vocabulary()).collect()}
-    for i, text in texts.items():
-        ids = [*want.encode(text, add_special_tokens=False).ids, 1]
-        assert (got[i].doc_tokens, got[i].ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    library = Tokenizer.from_str(vocabulary())
+    want = {i: [*library.encode(t, add_special_tokens=False).ids, 1] for i, t in texts.items()}
+    placed = defaultdict(int)
+    for r in packing.pack(docs_of(spark, texts), vocabulary()).collect():
+        piece = np.array(want[r.doc_id][r.start : r.start + r.length], "<u4")
+        assert r.doc_tokens == len(want[r.doc_id]) and r.ids_crc32 == zlib.crc32(piece.tobytes())
+        placed[r.doc_id] += len(piece)
+    assert placed == {i: len(ids) for i, ids in want.items()}
