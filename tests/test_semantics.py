@@ -250,11 +250,12 @@ def test_car_rules(spark):
 
 
 def test_reclassify_reports_typos_and_changes(spark):
-    df = spark.createDataFrame([("Picanto", "A класс"), ("Rio", "C")], "model string, cls string")
-    classes = {"A": ["Picanto", "Pikanto"]}
-    after = cleaning.reclassify(df, "model", "cls", classes)
+    df = spark.createDataFrame([("Picanto", "A класс", 1.0), ("Rio", "C", 1.4)], "model string, cls string, litres double")
+    listed = [("A", "Picanto", None, None, 1), ("A", "Pikanto", None, None, 1)]
+    rules = spark.createDataFrame(listed, "class string, member string, low double, high double, priority int")
+    after = cleaning.reclassify(df, rules, "model", "cls", "litres")
     assert rows(after, "model", "cls") == [("Picanto", "A"), ("Rio", "C")]
-    assert rows(cleaning.unknown_members(df, "model", classes), "model") == [("Pikanto",)]
+    assert rows(cleaning.unknown_members(df, "model", rules), "model") == [("Pikanto",)]
     assert rows(cleaning.class_audit(df, after, "model", "cls"), "class_before", "class_after") == [("A класс", "A"), ("C", "C")]
 
 
