@@ -1,22 +1,26 @@
 """Text extraction by wrappers: union-free regular expressions inferred from the pages of a host.
 
 A page is a tree of blocks and text slots. For each path of a host's pages the children's labels make a
-stream. Neighbouring repeats of a group become a repeated group (unless
-they are equally many on all pages); the different streams of a path are aligned one after the other, and what one has and another lacks becomes an optional group, until one
-expression describes the path on all pages. Streams of more than ``LONG`` items become a repeated group
-of optional items, so an expression grows with the labels of the template only.
+stream. Neighbouring repeats of a group become a repeated group (unless they are equally many on all pages);
+the different streams of a path are aligned one after the other, and what one has and another lacks becomes
+an optional group, until one expression describes the path on all pages. Labels of the template keep their
+places however many there are; only an irregular run between two of them, longer than ``LONG``, becomes a
+repeated group of optional items, so an expression grows with the labels of the template.
 
 Each page is matched against its host's expressions: the place in the expression that a child takes tells
 plain neighbours apart (the second ``div`` of a body is another slot than the first). A slot is constant if
-``SAME`` pages or more hold it and all hold the same text. The container is a wrapper node: the highest one
-marked as the article that holds enough of the text, or else the lowest that holds most of the text of
-variable slots. Menus, headers, footers, sidebars, notices, adverts, forms and reader comments are left out
-by what their elements are and are called. A page's text is what its slots below the container hold.
+``SAME`` pages or more and two thirds of the host's hold it, all with the same text. The container is a
+wrapper node: the highest one marked as the article that holds enough of the text, or else the lowest that
+holds most of the text of variable slots. A page's text is what its slots below the container hold, without
+the constant ones (where the container's text varies for the greater part), and without menus, forms, footers
+and sidebars, which are told by their elements, and adverts and reader comments, which are told by what boxes
+(not headings or paragraphs) are called.
 
 Scale: label words of classes and ids count only if they recur on a host's pages, so the paths are those of
 the template. Streams are folded in the tasks that read them; only different ones, with counts, are shuffled, and
 alignments run over groups of about ``FAN``, level by level, so a host with a third of all pages is no larger
-a task than others. Slots are summed by aggregates with partial sums. The html is read once for label words,
+a task than others. Slots are summed by aggregates with partial sums. Parsing is linear in the page: elements
+nested deeper than ``DEPTH`` belong to the one at that depth. The html is read once for label words,
 once for streams, once for slots and once for texts, and joined to one small row for each host.
 """
 
@@ -43,10 +47,14 @@ FAN = 32
 MARKED = 0.2
 #: Bytes of wrappers and containers up to which they are broadcast.
 FEW_BYTES = 32 << 20
-#: Items of a stream or expression above which it becomes a repeated group of optional items.
-LONG = 16
-#: Pages with the same text from which a slot counts as constant.
-SAME = 3
+#: Items of an irregular run between template labels above which it becomes a repeated group of optional items.
+LONG = 64
+#: Children of one element up to which equally many neighbours are told apart by their places.
+RAW_STREAM = 128
+#: Nested elements up to which each is a node of its own.
+DEPTH = 200
+#: Pages with the same text from which a slot counts as constant, if they are two thirds of the host's.
+SAME = 8
 #: Label words on fewer pages than this share of the host's are left off.
 OFTEN = 1 / 50
 #: Paths with fewer elements than this share of a host's pages get no expression.
@@ -59,11 +67,13 @@ BLOCKS = set(
     "section header footer main aside nav form fieldset figure figcaption dl dt dd address hr details summary center".split()
 )
 LEFT_OUT = set(
-    "head nav footer aside form fieldset script style noscript template button select option textarea iframe svg math "
-    "canvas object audio video dialog menu label input".split()
+    "head nav footer aside form fieldset script style noscript template select option textarea iframe svg math "
+    "canvas object audio video dialog menu input".split()
 )
 RAW = set("script style textarea title noscript iframe template svg".split())
 VOID = set("br img hr meta link input source wbr area base col embed param track".split())
+#: Elements that are left out for what they are called.
+BOXES = set("div section ul ol dl table figure center details header".split())
 #: Words of class, id and role that name what is not the article.
 NAMES = set(
     "nav navbar navigation menu header masthead footer sidebar aside widget ad ads advert adverts advertisement banner promo "
@@ -71,6 +81,11 @@ NAMES = set(
     "reply replies share sharing social related recommended breadcrumb breadcrumbs pagination pager subscribe newsletter "
     "signup login search toolbar skip tags meta byline copyright legal disclaimer contentinfo complementary".split()
 )
+#: Words that may stand beside them in a name ("ad-slot"); any other word ("search-algorithms") means something else.
+BESIDE = set(
+    "area bar bottom box button buttons container footer form header inner left link links list main panel reader right "
+    "section site slot top unit user wrap wrapper".split()
+)
 ARTICLE = set("article articlebody post-content entry-content article-content article-body story main maincontent".split())
 CLOSES_P = BLOCKS - {"html", "head", "body"}
 
@@ -81,9 +96,19 @@ _TAG = re.compile(
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b")
 _WORD = re.compile(r"[a-z][a-z-]*")
 _PLACE = re.compile(r"/\d+:")
+_BREAK = re.compile(r"[^a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
+def _names_another(value: str) -> bool:
+    """Whether one of the names in a class, id or role is that of something beside the article."""
+    for name in value.split():
+        parts = [x for x in _BREAK.split(name) if x]
+        if any(x in NAMES for x in parts) and all(x in NAMES or x in BESIDE for x in parts):
+            return True
+    return False
+
+
 @functools.lru_cache(maxsize=1 << 14)
 def _element(name: str, attributes: str) -> tuple[str, bool, bool]:
     """How an element is called in paths, whether it is left out, and whether it is marked as the article."""
@@ -94,9 +119,8 @@ def _element(name: str, attributes: str) -> tuple[str, bool, bool]:
             out = True
         elif key in ("class", "id", "role", "itemprop"):
             words = _WORD.findall(value)
-            parts = {p for w in words for p in (w, *w.split("-"))}
             marked |= bool(ARTICLE & set(words))
-            if parts & NAMES and not marked:
+            if name in BOXES and not marked and _names_another(value):
                 out = True
             if key in ("class", "id") and words:
                 label = f"{name}.{words[0]}"
@@ -106,13 +130,16 @@ def _element(name: str, attributes: str) -> tuple[str, bool, bool]:
 class Page:
     """Blocks of text with their paths, and the tree of elements and slots."""
 
+    _TOP = ("", "", False, False, 0)
+
     def __init__(self, source: str, labels: frozenset | None = None):
         self._labels = labels
         self.blocks: list[tuple[str, bool, str]] = []
         self.inside: list[int] = []  # the element of each block
         self.elements: list[tuple[int, str, str]] = [(-1, "", "")]  # parent, path, label; the first is the page
         self.children: list[list[int]] = [[]]  # of each element; 0 is a slot
-        self._stack: list[tuple[str, str, bool, int]] = []  # name, path, left out, element
+        self._stack: list[tuple[str, str, bool, bool, int]] = []  # name, path, left out, within the article, element
+        self._where: dict[str, list[int]] = {}  # where on the stack elements of a name are
         self._text: list[str] = []
         at, size = 0, len(source)
         while at < size:
@@ -142,28 +169,32 @@ class Page:
         text = " ".join(html.unescape("".join(self._text)).split())
         self._text = []
         if text:
-            _, path, out, at = self._stack[-1] if self._stack else ("", "", False, 0)
+            _, path, out, _, at = self._stack[-1] if self._stack else self._TOP
             self.blocks.append((path, out, text))
             self.inside.append(at)
             if self.children[at][-1:] != [0]:
                 self.children[at].append(0)
 
     def _push(self, name: str, attributes: str) -> None:
-        _, path, out, at = self._stack[-1] if self._stack else ("", "", False, 0)
+        _, path, out, inside, at = self._stack[-1] if self._stack else self._TOP
         label, left, marked = _element(name, attributes)
-        inside = any(part.split("!")[-1:] == ["article"] for part in path.split("/"))
         # a header within the article holds its headline
-        left = left and not (name == "header" and inside)
-        if self._labels is not None and label not in self._labels:
-            label = name
-        label = f"{label}!article" if marked else label
-        self.children[at].append(len(self.elements))
-        self._stack.append((name, f"{path}/{label}", out or left or (name == "header" and not inside), len(self.elements)))
-        self.elements.append((at, f"{path}/{label}", label))
-        self.children.append([])
+        out = out or (not inside if name == "header" else left)
+        self._where.setdefault(name, []).append(len(self._stack))
+        if len(self._stack) < DEPTH:
+            if self._labels is not None and label not in self._labels:
+                label = name
+            label = f"{label}!article" if marked else label
+            self.children[at].append(len(self.elements))
+            path = f"{path}/{label}"
+            self.elements.append((at, path, label))
+            self.children.append([])
+            at = len(self.elements) - 1
+        self._stack.append((name, path, out, inside or marked, at))
 
     def _pop(self, at: int) -> None:
-        del self._stack[at:]
+        while len(self._stack) > at:
+            self._where[self._stack.pop()[0]].pop()
 
     def streams(self) -> list[tuple[str, tuple]]:
         """Each element's path and the labels of its children."""
@@ -183,11 +214,10 @@ class Page:
     def _open(self, name: str, attributes: str) -> None:
         if name in BLOCKS:
             self._flush()
-            names = [n for n, *_ in self._stack]
-            if name in CLOSES_P and "p" in names:
-                self._pop(len(names) - 1 - names[::-1].index("p"))
-            elif name in ("li", "tr", "td", "th", "dt", "dd") and names[-1:] == [name]:
-                self._pop(len(names) - 1)
+            if name in CLOSES_P and self._where.get("p"):
+                self._pop(self._where["p"][-1])
+            elif name in ("li", "tr", "td", "th", "dt", "dd") and self._stack and self._stack[-1][0] == name:
+                self._pop(len(self._stack) - 1)
             if name not in VOID:
                 self._push(name, attributes)
         elif name == "br":
@@ -199,10 +229,9 @@ class Page:
     def _close(self, name: str) -> None:
         if name not in BLOCKS and name not in LEFT_OUT and name != "title":
             return
-        names = [n for n, *_ in self._stack]
-        if name in names:
+        if self._where.get(name):
             self._flush()
-            self._pop(len(names) - 1 - names[::-1].index(name))
+            self._pop(self._where[name][-1])
         elif name in BLOCKS:
             self._flush()
 
@@ -331,14 +360,30 @@ def _leaves(items: tuple) -> list[str]:
 
 
 def widen(items: tuple) -> tuple:
-    """An expression of bounded size for at least the same streams."""
-    found = _leaves(items)
-    return items if len(found) <= LONG else (("+", tuple(("?", (("+", (x,)),)) for x in sorted(set(found)))),)
+    """An expression for at least the same streams that grows with the different labels only: what occurs once
+    keeps its place, and long runs between are any of their labels, any number."""
+    often = Counter(_leaves(items))
+    out: list = []
+    run: list = []
 
+    def end() -> None:
+        found = _leaves(tuple(run))
+        out.extend(run if len(found) <= LONG else [("+", tuple(("?", (("+", (x,)),)) for x in sorted(set(found))))])
+        run.clear()
 
-@functools.lru_cache(maxsize=1 << 14)
+    for x in items:
+        if not _is(x, "+") and all(often[y] == 1 for y in _leaves((x,))):
+            end()
+            out.append(x)
+        else:
+            run.append(x)
+    end()
+    return tuple(out)
+
+
+@functools.lru_cache(maxsize=1 << 12)
 def _stream(labels: tuple) -> str:
-    return as_json(labels if len(labels) <= LONG else widen(fold(labels)))
+    return as_json(labels if len(labels) <= RAW_STREAM else widen(fold(labels)))
 
 
 def _number(items: tuple, steady: set[str], seen: Counter) -> tuple:
@@ -368,7 +413,7 @@ def merged(expressions: list[str]) -> str:
     repeated = {y for items in each for group in _groups(items) for y in _leaves(group)}
     steady = {x for x, n in counts.items() if len(n) == 1 and x not in repeated}
     each = [fold(_number(items, steady, Counter())) for items in each]
-    return as_json(widen(_unnumber(functools.reduce(align, each))))
+    return as_json(_unnumber(functools.reduce(lambda a, b: widen(align(a, b)), each)))
 
 
 @functools.lru_cache(maxsize=1 << 12)
@@ -402,7 +447,7 @@ def _automaton(expression: str) -> tuple[list[str], list[list[int]], list[int],
     return symbols, follow, first, set(last)
 
 
-@functools.lru_cache(maxsize=1 << 14)
+@functools.lru_cache(maxsize=1 << 12)
 def places(expression: str, labels: tuple) -> tuple[int, ...]:
     """The place each label takes when the expression describes the labels; where it does not, the first
     place of the label, or 0."""
@@ -494,14 +539,14 @@ def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(list(c)) for c in columns], ["host", "slot", "n", "chars", "least", "most"])
 
 
-@functools.lru_cache(maxsize=64)
+@functools.lru_cache(maxsize=1 << 10)
 def _models(found: str | None) -> dict[str, str]:
     return json.loads(found or "{}")
 
 
-@functools.lru_cache(maxsize=64)
+@functools.lru_cache(maxsize=1 << 10)
 def _labels(found: str | None) -> frozenset:
-    return frozenset((found or "").split("\n"))
+    return frozenset(filter(None, (found or "").split("\n")))
 
 
 def plain(slot: str) -> str:
@@ -540,9 +585,11 @@ def _known(rows: DataFrame, known: DataFrame, *columns: str) -> DataFrame:
 
 
 def _containers(slots: DataFrame) -> DataFrame:
-    """``host, container`` from ``host, slot, n, chars, least, most``, as :func:`container` on one page."""
-    constant = (F.col("n") >= SAME) & (F.col("least") == F.col("most"))
-    slots = slots.withColumn("varying", F.when(constant, 0).otherwise(F.col("chars")))
+    """``host, container, fixed`` from ``host, slot, n, chars, least, most``: the node as :func:`container` on
+    one page, and the constant slots below it, one a line."""
+    held = slots.groupBy("host").agg(F.max("n").alias("held"))
+    constant = (F.col("n") >= SAME) & (3 * F.col("n") >= 2 * F.col("held")) & (F.col("least") == F.col("most"))
+    slots = slots.join(held, "host").withColumn("varying", F.when(constant, 0).otherwise(F.col("chars")))
     total = slots.groupBy("host").agg(F.sum("chars").alias("all"), F.sum("varying").alias("all_varying"))
     parts = F.split("slot", "/")
     step = F.explode(F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/")))
@@ -561,15 +608,26 @@ def _containers(slots: DataFrame) -> DataFrame:
     mass = F.when(F.col("all_varying") > 0, F.col("varying") >= DOWN * F.col("all_varying")).otherwise(F.col("chars") >= DOWN * F.col("all"))
     way = below.join(total, "host").filter(mass & ~F.col("node").rlike(r"/[0-9]+:(p|h1|li|td)(\.|/|$)"))
     way = way.groupBy("host").agg(F.max_by("node", F.struct(depth, "node")).alias("lowest"))
-    return total.join(marked, "host", "left").join(way, "host", "left").select(
+    chosen = total.join(marked, "host", "left").join(way, "host", "left").select(
         "host", F.coalesce("marked", "lowest", F.lit("")).alias("container")
     )
+    at = F.when(F.col("container").rlike("/[0-9]+:"), F.col("slot")).otherwise(F.regexp_replace("slot", "/[0-9]+:", "/"))
+    within = slots.join(chosen, "host").filter((at == F.col("container")) | at.startswith(F.concat("container", F.lit("/"))))
+    # where pages are copies of each other, their own text is constant, too
+    fixed = within.groupBy("host").agg(
+        F.sum("chars").alias("chars"),
+        F.sum("varying").alias("varying"),
+        F.array_join(F.sort_array(F.collect_list(F.when(F.col("varying") == 0, F.col("slot")))), "\n").alias("fixed"),
+    )
+    fixed = fixed.filter(2 * F.col("varying") >= F.col("chars")).select("host", "fixed")
+    return chosen.join(fixed, "host", "left")
 
 
 def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``host, wrapper, models, labels, container, n_pages``: for each host its expression as JSON (see
-    ``as_expression``), the expressions of its paths as a JSON object, the labels that recur, one a line, and
-    the wrapper node of the article, with places unless it is marked as such. Pages without a host share the host ``""``."""
+    """``host, wrapper, models, labels, container, fixed, n_pages``: for each host its expression as JSON (see
+    ``as_expression``), the expressions of its paths as a JSON object, the labels that recur, one a line,
+    the wrapper node of the article, with places unless it is marked as such, and the constant slots below it,
+    one a line. Pages without a host share the host ``""``."""
     ship(pages.sparkSession)
     rows = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
     words = durable(rows.mapInArrow(_words, "host string, label string, n long").groupBy("host", "label").agg(F.sum("n").alias("n")))
@@ -609,42 +667,50 @@ def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Dat
     return durable(
         models.join(n_pages, "host")
         .join(_containers(slots), "host", "left")
-        .select("host", show("models").alias("wrapper"), "models", "labels", F.coalesce("container", F.lit("")).alias("container"), "n_pages")
+        .select("host", show("models").alias("wrapper"), "models", "labels", F.coalesce("container", F.lit("")).alias("container"), F.coalesce("fixed", F.lit("")).alias("fixed"), "n_pages")
     )
 
 
-def text_of(source: str, within: str, models: dict[str, str] | None = None, labels: frozenset | None = None) -> str:
-    """The article's blocks below the host's container, or, if this page lacks it, below its own."""
+def text_of(
+    source: str,
+    within: str,
+    models: dict[str, str] | None = None,
+    labels: frozenset | None = None,
+    fixed: frozenset = frozenset(),
+) -> str:
+    """What the page's slots below the host's container hold, but for the constant ones; if this page lacks the
+    container, the text below its own."""
     page = Page(source, labels)
-    kept = [b for b in page.blocks if not b[1]]
+    kept = [(slot, path, text) for slot, (path, out, text) in zip(page.slots(models or {}), page.blocks) if not out]
     prefix, found = f"{within}/", []
-    if models and plain(within) != within:
-        slots = zip(page.slots(models), page.blocks)
-        found = [text for slot, (_, out, text) in slots if not out and (slot == within or slot.startswith(prefix))]
+    if plain(within) != within:
+        found = [(slot, text) for slot, _, text in kept if slot == within or slot.startswith(prefix)]
     if not found:
         within = plain(within)
         prefix = f"{within}/"
-        found = [text for path, _, text in kept if path == within or path.startswith(prefix)]
+        found = [(slot, text) for slot, path, text in kept if path == within or path.startswith(prefix)]
     if not found and kept:
-        own = container([(path, len(text)) for path, _, text in kept])
-        found = [text for path, _, text in kept if path == own or path.startswith(f"{own}/")]
-    return "\n".join(found)
+        own = container([(path, len(text)) for _, path, text in kept])
+        found = [(slot, text) for slot, path, text in kept if path == own or path.startswith(f"{own}/")]
+    return "\n".join(text for slot, text in found if slot not in fixed)
 
 
 def extract(pages: DataFrame, wrappers: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``page_id, url, text``: the main text of each page, its blocks joined by line feeds.
 
-    A null html counts as empty and gives an empty text. Null URLs share one wrapper. Broken markup is read
+    A null html counts as empty and gives an empty text. Very long and very deep pages are read whole, in linear
+    time. Null URLs share one wrapper. Broken markup is read
     as browsers do: a cut-off tag is dropped, missing end tags are implied. Repeated rows stay repeated;
     other columns play no part.
     """
     ship(pages.sparkSession)
+    used = ("html", "container", "models", "labels", "fixed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [
-                text_of(source or "", within or "", _models(models), _labels(labels))
-                for source, within, models, labels in zip(*(batch.column(c).to_pylist() for c in ("html", "container", "models", "labels")))
+                text_of(source or "", within or "", _models(models), _labels(labels), _labels(fixed))
+                for source, within, models, labels, fixed in zip(*(batch.column(c).to_pylist() for c in used))
             ]
             yield pa.record_batch([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
@@ -654,10 +720,8 @@ def extract(pages: DataFrame, wrappers: DataFrame, id_col: str = "page_id", url_
         F.col(html_col).alias("html"),
         host_of(F.col(url_col)).alias("host"),
     )
-    # a marked container needs no places
-    placed = F.when(F.col("container").rlike("/[0-9]+:"), F.col("models")).alias("models")
     return (
-        _known(rows, wrappers.select("host", "container", placed, "labels"), "container", "models", "labels")
-        .select("page_id", "url", "html", "container", "models", "labels")
+        _known(rows, wrappers, "container", "models", "labels", "fixed")
+        .select("page_id", "url", *used)
         .mapInArrow(run, "page_id long, url string, text string")
     )

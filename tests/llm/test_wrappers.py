@@ -29,6 +29,10 @@ CASES = {
     "lists": ("<article><ul><li>a<li>b</ul><table><tr><td>c<td>d</table></article>", "a\nb\nc\nd"),
     "raw": ("<article><p>a</p><script>if (a < b) { '</div>' }</script><noscript>no</noscript><p>b</p></article>", "a\nb"),
     "quotes": ("<article><p title='a > b'>Text</p></article>", "Text"),
+    "own names": ("<article><h2 id='social-history'>Social</h2><section id='search-algorithms'><p>Search</p></section>"
+                  "<p class='legal'>Legal</p><p id='comments'>Remark</p></article>", "Social\nSearch\nLegal\nRemark"),
+    "inline controls": ("<article><p>Press <button>Go</button> or <label>Name</label> it</p></article>", "Press Go or Name it"),
+    "names with others": ("<article><div class='ad-slot top'>Buy</div><p>Text</p><ul class='share_buttons'><li>x</ul></article>", "Text"),
     "empty": ("<article></article>", ""),
 }
 
@@ -129,3 +133,55 @@ def test_wrappers_grow_with_the_template_not_with_the_pages(many_chunks):
         assert len(got) == n and all(got[i].endswith(f"Text {i}") and "f" not in got[i].split("\n") for i in got)
         assert got[1].split("\n")[0] == "h0"
     assert sizes[1] <= 1.1 * sizes[0]
+
+
+def articles(n):
+    """Pages of one template: within the article a constant line and, among neighbours alike, the text."""
+    rows, want = [], {}
+    for i in range(n):
+        extra = "<ul><li>x</li></ul>" if i % 2 else ""
+        body = f"{MENU}<article>{extra}<div>Read this on paper, too</div><div>Text {i} and more of it, as it should be</div></article>"
+        rows.append((i, "http://marked.net/x", page(body)))
+        want[i] = f"Text {i} and more of it, as it should be"
+    return rows, want
+
+
+def test_constant_slots_of_marked_articles_are_found_by_alignment(many_chunks, monkeypatch):
+    rows, want = articles(12)
+    pages = many_chunks.createDataFrame(rows, "page_id long, url string, html string")
+    texts = lambda: {r.page_id: r.text for r in W.extract(pages, W.infer(pages)).collect()}
+    # the list is constant where it stands, but stands on half of the pages only
+    assert texts() == {i: ("x\n" if i % 2 else "") + x for i, x in want.items()}
+    monkeypatch.setattr(W, "merged", lambda found: "[]")
+    assert all("Read this on paper, too" in x for x in texts().values())
+
+
+def test_copies_lose_nothing(many_chunks):
+    """Where most pages are copies, or few there are, equal text is no sign of a template."""
+    rows = [(i, "http://copies.net/x", articles(1)[0][0][2]) for i in range(20)] + [(100 + i, "http://few.net/x", articles(1)[0][0][2]) for i in range(3)]
+    pages = many_chunks.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in W.extract(pages, W.infer(pages)).collect()}
+    assert got == {i: "Read this on paper, too\nText 0 and more of it, as it should be" for i, *_ in rows}
+
+
+def test_large_templates_keep_their_places():
+    names = [f"div.{a}{b}" for a in "abcdefgh" for b in "abcdefgh"]
+    one = [x for i, x in enumerate(names) if i % 7]
+    many = tuple(x for y in names for x in (y, *["p", "ul"] * 5))
+    found = W.merged([W._stream(tuple(x)) for x in (names, one, many, names[3:])])
+    symbols = W._automaton(found)[0]
+    assert [x for x in symbols if x in names] == names
+    for x in (names, one, many):
+        assert [symbols[at] for at in W.places(found, tuple(x))] == list(x)
+    plain = ("div",) * 40
+    assert len(set(W.places(W.merged([W._stream(plain), W._stream((*plain, "p"))]), plain))) == 40
+
+
+def test_deep_and_long_pages_are_read_whole_and_fast():
+    import time
+
+    start = time.time()
+    deep = W.text_of(page("<article>" + "<div>" * 20000 + "deep" + "</div>" * 20000 + "<p>end</p></article>"), "/html/body/article!article")
+    long = W.text_of(page("<article>" + "<p>a</p><ul><li>b</ul>" * 10000 + "</article>"), "/html/body/article!article")
+    assert deep == "deep\nend" and long == "\n".join(["a", "b"] * 10000)
+    assert time.time() - start < 10
