@@ -51,7 +51,11 @@ def test_mined_rules_are_those_of_brute_force(spark):
             for c in itertools.combinations(sorted(r.t), n):
                 seen[c], hit[c] = seen.get(c, 0) + 1, hit.get(c, 0) + r.bad
     want = {c for c, n in seen.items() if hit[c] >= 0.05 * len(tokens) and hit[c] / n >= 0.9}
-    assert {tuple(r.antecedent) for r in rules} == want
+    least = {c for c in want if not any(set(d) < set(c) for d in want)}
+    assert {tuple(r.antecedent) for r in rules} == least == {("host:bad",), ("host:spam", "path:x")}
+    for r in rules:
+        c = tuple(r.antecedent)
+        assert abs(r.confidence - hit[c] / seen[c]) < 1e-9 and abs(r.support - hit[c] / len(tokens)) < 1e-9
     freq = {c[0]: n for c, n in seen.items() if len(c) == 1}
     assert all(freq[r.key] == min(freq[t] for t in r.antecedent) for r in rules)
 
@@ -66,3 +70,21 @@ def test_mined_rules_are_those_of_brute_force(spark):
 def test_too_few_rows_give_no_rules(spark):
     df = spark.createDataFrame([("http://spam.net/x", True)] * 19, "url string, bad boolean")
     assert urls.mine(df, "url", "bad").collect() == []
+
+
+def test_long_urls_have_few_rules(many_chunks):
+    """Equal and nearly equal long URLs, on their own and among good ones, don't make a rule of each subset."""
+    long = "/".join(f"s{chr(97 + k)}" for k in range(20))
+    shared = "/".join(f"t{chr(97 + k)}" for k in range(25))
+    near = [f"u{chr(97 + k)}" for k in range(25)]
+    rows = [(f"http://bad.net/{long}", True)] * 30
+    rows += [(f"http://{'spam' if i % 2 else 'fine'}.net/{shared}/{'x' if i % 4 > 1 else 'y'}", i % 4 == 3) for i in range(120)]
+    rows += [(f"http://odd.net/{'/'.join(near[:i % 25] + near[i % 25 + 1:])}", i % 3 == 0) for i in range(300)]
+    rows += [(f"http://good.net/{long.replace('s', 'v')}", False)] * 200
+    df = many_chunks.createDataFrame(rows, "url string, bad boolean")
+    rules = {tuple(r.antecedent) for r in urls.mine(df, "url", "bad").collect()}
+    assert len(rules) <= 30 and {("host:spam", "path:x"), ("host:bad",), ("path:sa",)} <= rules
+    assert all(len(r) <= 2 for r in rules)
+    pages = df.select(F.monotonically_increasing_id().alias("page_id"), "url", "bad")
+    got = urls.judge(pages, urls.mine(df, "url", "bad"), []).join(pages.select("page_id", "url", "bad"), "page_id").collect()
+    assert all((r.verdict == "block") == (r.bad and r.host != "odd.net") for r in got)
