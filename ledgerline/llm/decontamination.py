@@ -6,9 +6,10 @@ benchmark's fingerprints make a bitmap of fixed size; the documents are read onc
 around a fingerprint of the benchmark go on to the join with its windows, where 96-bit hashes of all
 words decide. Neighbouring windows extend each other to the hit spans.
 
-Scale: the texts are read once and not shuffled; the shuffle grows with the shared windows. Only the
-bitmap is broadcast by hand, and Spark splits a window that very many documents share, as that is a
-plain join.
+Scale: the texts are read once and not shuffled; the shuffle grows with the shared windows. Each different
+set of items that hold a window has a number, and documents meet numbers: a phrase that many items share is
+one row for each place in a document, and its items are listed once for each document. Only the bitmap is
+broadcast by hand, and Spark splits a window that very many documents share, as that is a plain join.
 """
 
 from __future__ import annotations
@@ -107,17 +108,12 @@ def _document_rows(window: int, k: int, bits, sizes: tuple[int, ...]):
 
 
 def _union(spans):
-    """Maximal spans of a sorted array of (start, size)."""
-    empty = F.expr("cast(array() as array<struct<start: int, n: int>>)")
-
-    def step(done, x):
-        last = F.element_at(done, -1)
-        joins = (F.size(done) > 0) & (x["start"] <= F.coalesce(F.try_element_at(done, F.lit(-1))["start"] + F.try_element_at(done, F.lit(-1))["n"], F.lit(-1)))
-        wider = F.struct(last["start"].alias("start"), F.greatest(last["n"], x["start"] + x["size"] - last["start"]).alias("n"))
-        fresh = F.struct(x["start"].alias("start"), x["size"].alias("n"))
-        return F.when(joins, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(wider))).otherwise(F.concat(done, F.array(fresh)))
-
-    return F.aggregate(spans, empty, step)
+    """Maximal spans of an array of (start, size), in time linear in the words they cover."""
+    words = F.array_distinct(F.flatten(F.transform(spans, lambda x: F.sequence(x["start"], x["start"] + x["size"] - 1))))
+    # where no word before is covered a span starts, where none after is it ends
+    starts = F.array_sort(F.array_except(words, F.transform(words, lambda x: x + 1)))
+    ends = F.array_sort(F.array_except(words, F.transform(words, lambda x: x - 1)))
+    return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), (b - a + 1).alias("n")))
 
 
 def find_leaks(
@@ -156,17 +152,25 @@ def find_leaks(
         .withColumn("text_key", F.hash("text"))
         .mapInArrow(rows, schema)
     )
-    hits = (
+    # windows of one phrase are held by the same items
+    held = durable(theirs.groupBy("size", "w1", "w2").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("members")))
+    sets = durable(held.select("members").distinct().withColumn("set", F.monotonically_increasing_id()))
+    hits = durable(
         ours.filter("start is not null")
-        .join(theirs.select("size", "w1", "w2", "item_id"), ["size", "w1", "w2"])
-        .select("doc_id", "text_key", "start", "size", "item_id")
+        .join(held.join(sets, "members").select("size", "w1", "w2", "set"), ["size", "w1", "w2"])
+        .select("doc_id", "text_key", "start", "size", "set")
     )
-    found = hits.groupBy("doc_id", "text_key").agg(
-        F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"),
-        F.array_sort(F.collect_set(F.struct("start", "size"))).alias("windows"),
+    spans = hits.groupBy("doc_id", "text_key").agg(_union(F.collect_set(F.struct("start", "size"))).alias("spans"))
+    listed = (
+        hits.select("doc_id", "text_key", "set")
+        .distinct()
+        .join(sets, "set")
+        .groupBy("doc_id", "text_key")
+        .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("members")))).alias("items"))
+        .select(F.col("doc_id").alias("of"), F.col("text_key").alias("of_key"), "items")
     )
-    found = found.select(
-        F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key"), "items", _union(F.col("windows")).alias("spans")
+    found = spans.join(listed, spans.doc_id.eqNullSafe(listed.of) & (spans.text_key == listed.of_key)).select(
+        F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key"), "items", "spans"
     )
     every = ours.filter("start is null").select("doc_id", "text_key", "n_words")
     return every.join(

@@ -1,6 +1,8 @@
 import re
 
-from ledgerline.llm.decontamination import find_leaks
+from pyspark.sql import functions as F
+
+from ledgerline.llm.decontamination import _union, find_leaks
 
 from .helpers import docs_of, odd_texts, prose, with_clashing_columns
 
@@ -72,3 +74,19 @@ def test_repeated_rows_null_ids_and_empty_tables(spark):
     assert sorted((r.doc_id or 0, len(r["items"])) for r in got) == [(0, 1), (1, 0), (1, 1), (1, 1)]
     assert find_leaks(docs.filter("false"), bench).collect() == []
     assert all(not r["items"] for r in find_leaks(docs, bench.filter("false")).collect())
+
+
+def test_a_phrase_of_many_items_and_documents(many_chunks):
+    phrase = prose(15, 14, 10**6)
+    items = {i: f"{phrase} {prose(300 + i, 12, 10**6)}" if i % 3 == 0 else prose(300 + i, 12, 10**6) for i in range(60)}
+    texts = {i: f"{prose(400 + i, 6, 10**6)} {phrase if i % 3 else items[i % 60]} {items[1] if i == 7 else ''}" for i in range(90)}
+    check(many_chunks, texts, items | {100: None})
+
+
+def test_spans_of_long_documents_take_linear_time(spark):
+    import time
+
+    df = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(99_999)), lambda x: F.struct((x * 12).cast("int").alias("start"), F.lit(10).alias("size"))).alias("w"))
+    start = time.time()
+    row = df.select(_union(F.col("w")).alias("s")).select(F.size("s").alias("n"), F.col("s")[99_999].alias("last")).first()
+    assert row.n == 100_000 and tuple(row["last"]) == (12 * 99_999, 10) and time.time() - start < 30
