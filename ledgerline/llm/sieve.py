@@ -15,22 +15,34 @@ BITS = 27
 _PAGE_BITS = 15  # bitmap_construct_agg gives 4096 bytes for each bucket
 
 
-def bitmap(df: DataFrame, key: Column, bits: int = BITS) -> np.ndarray:
-    """The bitmap over the top ``bits`` of a long hash."""
+def bitmaps(df: DataFrame, key: Column, conditions: list[str], bits: int = BITS) -> list[np.ndarray]:
+    """For each condition the bitmap over the top ``bits`` of a long hash in the rows that meet it; one pass for all."""
     place = F.shiftrightunsigned(key, 64 - bits) + F.lit(1)
+    built = [F.expr(f"bitmap_construct_agg(__bit) filter (where {c})").alias(f"__{i}") for i, c in enumerate(conditions)]
     pages = (
-        df.select(F.bitmap_bucket_number(place).alias("page"), F.bitmap_bit_position(place).alias("bit"))
-        .groupBy("page")
-        .agg(F.bitmap_construct_agg("bit").alias("bits"))
+        df.withColumns({"__page": F.bitmap_bucket_number(place), "__bit": F.bitmap_bit_position(place)})
+        .groupBy("__page")
+        .agg(*built)
     )
-    out = np.zeros(1 << (bits - 3), np.uint8)
+    out = [np.zeros(1 << (bits - 3), np.uint8) for _ in conditions]
     size = 1 << (_PAGE_BITS - 3)
     for row in pages.toLocalIterator():
-        at = (row["page"] - 1) * size
-        out[at : at + size] = np.frombuffer(bytes(row["bits"]), np.uint8)
+        at = (row["__page"] - 1) * size
+        for i, one in enumerate(out):
+            one[at : at + size] = np.frombuffer(bytes(row[f"__{i}"]), np.uint8)
     return out
 
 
+def bitmap(df: DataFrame, key: Column, bits: int = BITS) -> np.ndarray:
+    """The bitmap over the top ``bits`` of a long hash."""
+    return bitmaps(df, key, ["true"], bits)[0]
+
+
+def coarser(bits: np.ndarray) -> np.ndarray:
+    """The same set in an eighth of the memory: eight neighbouring places become one."""
+    return np.packbits(bits != 0, bitorder="little")
+
+
 def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Whether each 64-bit hash may be in the set."""
     width = int(bits.size * 8).bit_length() - 1

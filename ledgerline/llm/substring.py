@@ -9,7 +9,9 @@ repeats of at least 13 words.
 Scale: one row per anchor in the first shuffle (about a fifth of the words), one per window around a
 shared anchor in the second, the texts once in the third. A task first settles what repeats among its
 own documents, so a passage that a third of all documents share reaches the second shuffle once per
-few megabytes of text, not once per document. The sieve of shared anchors has a fixed size.
+few megabytes of text, not once per document. Windows around an anchor that very many pieces of text
+hold go another way: their least document comes from partial minima and is joined back, so that no
+window's places have to meet in one task. The sieves of shared and of hot anchors have fixed sizes.
 """
 
 from __future__ import annotations
@@ -24,9 +26,13 @@ from pyspark.sql import functions as F
 from ledgerline.llm import sieve
 from ledgerline.llm.ship import ship
 from ledgerline.llm.words import SPACED, Words, flat, mix, slices, window_anchors
+from ledgerline.session import durable
 
 WINDOW = 13
 ANCHOR = 5
+#: An anchor is hot if it counts this much: 1 for each piece of text (about 2 MB) that holds it, 2 if
+#: several documents of the piece do.
+HOT = 1000
 _SALT = 0x5DEECE66D
 
 
@@ -55,7 +61,8 @@ def _anchor_rows(window: int, k: int):
     return run, "anchor int, n byte"
 
 
-def _window_rows(window: int, k: int, bits):
+def _window_rows(window: int, k: int, bits, hot_bits=None, hot: bool = False):
+    """Rows of windows around shared anchors: the unsettled ones of hot anchors, or all others."""
     # what varies from row to row stands together: the shuffle's codec then finds the rest repeated
     names = ["w1", "w2_start", "doc_id", "text_key", "known"]
     schema = pa.schema(list(zip(names, [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()])))
@@ -82,41 +89,58 @@ def _window_rows(window: int, k: int, bits):
                 # settled rows need no partner: they travel by document
                 w1 = np.where(known, mix(doc.view(np.uint64) ^ mix(key.astype(np.uint64))), w1)
                 w2 = np.where(known, np.uint64(0), w2)
-                yield pa.record_batch(
-                    [
-                        pa.array(w1.view(np.int64)),
-                        pa.array(((w2 << np.uint64(32)) | start).view(np.int64)),
-                        pa.array(doc),
-                        pa.array(key),
-                        pa.array(known),
-                    ],
-                    schema=schema,
-                )
+                columns = [w1.view(np.int64), ((w2 << np.uint64(32)) | start).view(np.int64), doc, key, known]
+                if hot_bits is not None:
+                    use = (sieve.passes(hot_bits.value, least[at]) & ~known) == hot
+                    columns = [c[use] for c in columns]
+                yield pa.record_batch([pa.array(c) for c in columns], schema=schema)
 
     return run, "w1 long, w2_start long, doc_id long, text_key int, known boolean"
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR, bits: int = sieve.BITS) -> DataFrame:
+def _apart(rows: DataFrame) -> DataFrame:
+    return rows.withColumns(
+        {"w2": F.shiftrightunsigned("w2_start", 32), "start": F.col("w2_start").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")}
+    )
+
+
+def repeated_windows(
+    docs: DataFrame, window: int = WINDOW, k: int = ANCHOR, bits: int = sieve.BITS, hot: int = HOT
+) -> DataFrame:
     """``doc_id, text_key, start``: each window that also starts in a document with a smaller id.
 
     ``docs`` has ``doc_id`` (long, not null), ``text_key`` (int, tells apart texts under one id) and ``text``.
+    Fewer than ``hot`` pieces of text hold a window that is judged in one group; results don't depend on it.
     """
     spark = ship(docs.sparkSession)
     docs = docs.select("doc_id", "text_key", "text")
     rows, schema = _anchor_rows(window, k)
     shared = docs.mapInArrow(rows, schema).groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1")
     top = F.shiftleft(F.col("anchor").cast("long"), 32)
-    seen = spark.sparkContext.broadcast(sieve.bitmap(shared, top, min(bits, 32)))
-    rows, schema = _window_rows(window, k, seen)
+    several, many = sieve.bitmaps(shared, top, ["true", f"n >= {hot}"], min(bits, 32))
+    seen = spark.sparkContext.broadcast(several)
+    hot_bits = spark.sparkContext.broadcast(sieve.coarser(many)) if many.any() else None
+
+    rows, schema = _window_rows(window, k, seen, hot_bits)
     same = Window.partitionBy("w1", "w2")
-    return (
-        docs.mapInArrow(rows, schema)
-        .repartition("w1")
-        .withColumns({"w2": F.shiftrightunsigned("w2_start", 32), "start": F.col("w2_start").bitwiseAND(F.lit(0x7FFFFFFF))})
+    wanted = ["doc_id", "text_key", "start"]
+    found = (
+        _apart(docs.mapInArrow(rows, schema).repartition("w1"))
         .withColumn("first", F.min("doc_id").over(same))
         .filter("known or first < doc_id")
-        .select("doc_id", "text_key", F.col("start").cast("int").alias("start"))
+        .select(*wanted)
+    )
+    if hot_bits is None:
+        return found
+    rows, schema = _window_rows(window, k, seen, hot_bits, hot=True)
+    places = _apart(durable(docs.mapInArrow(rows, schema)))
+    least = (
+        places.groupBy("w1", "w2")
+        .agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+        .filter("first < last")
+        .select("w1", "w2", "first")
     )
+    return found.union(places.join(least, ["w1", "w2"]).filter("first < doc_id").select(*wanted))
 
 
 def _cut(window: int):
@@ -187,6 +211,7 @@ def remove_repeats(
     window: int = WINDOW,
     k: int = ANCHOR,
     bits: int = sieve.BITS,
+    hot: int = HOT,
 ) -> DataFrame:
     """Cut out of each text the words covered by a window that also starts in a document with a smaller id.
 
@@ -205,7 +230,7 @@ def remove_repeats(
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
         *[F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)],
     ).withColumn("text_key", F.hash("text"))
-    found = repeated_windows(whole.filter("doc_id is not null"), window, k, bits)
+    found = repeated_windows(whole.filter("doc_id is not null"), window, k, bits, hot)
     starts = found.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("start")).alias("starts"))
     joined = whole.join(starts, ["doc_id", "text_key"], "left").drop("text_key")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in joined.schema if f.name != "starts")

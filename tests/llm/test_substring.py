@@ -23,8 +23,8 @@ def brute(texts: dict) -> dict:
     return out
 
 
-def check(spark, texts):
-    rows = remove_repeats(with_clashing_columns(docs_of(spark, texts))).collect()
+def check(spark, texts, **parameters):
+    rows = remove_repeats(with_clashing_columns(docs_of(spark, texts)), **parameters).collect()
     want = brute(texts)
     assert len(rows) == len(texts)
     for r in rows:
@@ -57,6 +57,14 @@ def test_a_passage_of_very_many_documents(many_chunks):
     check(many_chunks, {i: f"{prose(100 + i, 20, 10**6)} {passage} {prose(500 + i, 5, 10**6)}" for i in range(200)})
 
 
+@pytest.mark.parametrize("hot", [2, 5, 10**6])
+def test_hot_windows_go_by_partial_minima(many_chunks, hot):
+    passage, copy = prose(7, 30, 10**6), prose(9, 25, 10**6)
+    texts = {i: f"{prose(100 + i, 20, 10**6)} {passage} {'a ' * 30}" for i in range(40)}
+    texts |= {i: copy for i in range(40, 60)} | odd_texts()
+    check(many_chunks, texts | {70: "a " * 60, 71: prose(9, 13, 10**6)}, hot=hot)
+
+
 def test_rows_that_share_an_id_or_have_none(spark):
     text = prose(8, 30, 10**6)
     rows = [(1, text), (1, text), (1, text + " more"), (None, text), (2, text)]
