@@ -1,20 +1,22 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
 Words become symbols: insults (learned, with a weight), threats, targets, negations and verbs or marks of
-reported speech (fixed lists). Small transducers read a clause symbol by symbol and are composed: each
-keeps a state and gives a factor, and an insult or threat counts with its weight times all factors, so
-"you are a moron" weighs more than "a moron", and "not a moron" or "he said: moron" weigh less. A
-document is scored by its matched clauses, not by isolated words: the strongest one, their sum and
-their number, through a logistic curve.
-
-Insults are whole words or beginnings of words that are far more frequent in toxic documents. They and
-the curve are learned from a bounded sample of labelled documents, those with the least hash of their
-id: up to ``TOXIC`` and ``CLEAN`` of them. Scoring reads each text whole, in one pass without a shuffle;
+reported speech (fixed lists). Small transducers read a clause symbol by symbol and are composed: the
+composed state says which of them are on, and an insult or threat counts with its weight times the arc
+weights of those, so that "you are a moron" can weigh more than "a moron", and "not a moron" or "he said:
+moron" less. A document is scored by its matched clauses, not by isolated words: the strongest one,
+their sum and their number, through a logistic curve.
+
+Insults are whole words or beginnings of words that are far more frequent in toxic documents. They, the
+arc weights and the curve are learned from a bounded sample of labelled documents, those with the least
+hash of their id: up to ``TOXIC`` and ``CLEAN`` of them. An arc weight other than 1 (a threat's other than
+0) is kept only if the sample's likelihood gains more by it than a parameter costs. Scoring reads each text whole, in one pass without a shuffle;
 the model's size is bounded by ``LEXICON``.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,7 +42,7 @@ CLAUSE_ENDS = b".!?;:\n"
 TARGETS = "you your yours youre u he she they them him her his du dich dir dein deine ihr euch sie er tu toi vous ton ta tes il elle ils usted ustedes tu vosotros el ella ellos"
 NEGATIONS = "not no never nobody neither nor isnt arent wasnt dont doesnt didnt without nicht kein keine keinen nie niemals ohne ne pas jamais aucun aucune sans nunca ningun ninguna sin"
 REPORTS = "said says say told tells wrote writes called calls claimed quoted quote sagte sagt schrieb nannte behauptet zitat dit disait ecrit ecrivait appelle dijo dice escribio llamo"
-THREATS = "kill killing hurt beat destroy burn shoot stab die hang punch toten umbringen schlagen verletzen sterben verbrennen tuer frapper mourir bruler matar golpear morir quemar"
+THREATS = "kill killing hurt beat destroy burn shoot stab hang punch toten umbringen schlagen verletzen sterben verbrennen tuer frapper mourir bruler matar golpear morir quemar"
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 _LISTS = {THREAT: THREATS, TARGET: TARGETS, NEGATION: NEGATIONS, REPORT: REPORTS}
@@ -50,59 +52,82 @@ _NAMES = ["strongest", "total", "clauses", "density"]
 @dataclass(frozen=True)
 class Transducer:
     """A state that counts down from ``reach`` after each of its trigger symbols (or stays, if ``reach`` is
-    0, to the end of the clause), and the factor given while it is on."""
+    0, to the end of the clause); the transducer is on while the state is not zero."""
 
     trigger: int
     reach: int
-    factor: float
 
-    def step(self, state: int, symbol: int) -> tuple[int, float]:
-        factor = self.factor if state else 1.0
+    def step(self, state: int, symbol: int) -> tuple[int, bool]:
         if symbol == self.trigger:
-            return (self.reach or 1 << 30), factor
-        return max(state - 1, 0), factor
+            return (self.reach or 1 << 30), state > 0
+        return max(state - 1, 0), state > 0
 
 
-#: Negation reaches three words, a target four, reported speech the rest of its clause.
-GRAMMAR = (Transducer(TARGET, 4, 1.5), Transducer(NEGATION, 3, 0.3), Transducer(REPORT, 0, 0.5))
+#: A target reaches four words, negation three, reported speech the rest of its clause.
+GRAMMAR = (Transducer(TARGET, 4), Transducer(NEGATION, 3), Transducer(REPORT, 0))
+_STATES = 1 << len(GRAMMAR)
+#: Arc weights looked at, for each transducer and for threats.
+ARC_CHOICES = (0.1, 0.3, 0.5, 0.7, 1.0, 1.5, 2.0, 3.0)
+THREAT_CHOICES = (0.0, 0.5, 1.0, 2.0, 4.0)
 THREAT_WEIGHT = 4.0
 
 
-def clause_weight(symbols: list[int], weights: list[float], grammar=GRAMMAR) -> float:
-    """Weight of a clause under the composed transducers, read forwards; a target that follows an insult
-    counts by reading the targets backwards too. A threat counts only with a target in reach."""
-    n = len(symbols)
-    factors = [1.0] * n
-    aimed = [False] * n
-    for machine in grammar:
-        state, given = 0, [1.0] * n
-        for i, symbol in enumerate(symbols):
-            state, given[i] = machine.step(state, symbol)
+@dataclass(frozen=True)
+class Arcs:
+    """The weight of each transducer of the grammar while it is on, and that of a threat."""
+
+    factors: tuple[float, ...]
+    threat: float
+
+    def outputs(self) -> np.ndarray:
+        """Weights of the columns of ``clause_marks``: products over the composed state."""
+        on = [math.prod(f for i, f in enumerate(self.factors) if state >> i & 1) for state in range(_STATES)]
+        return np.array(on + [self.threat * f for f in on])
+
+
+#: Arc weights of a grammar that nothing was learned for, and those that learning starts from.
+GIVEN = Arcs((1.5, 0.3, 0.5), THREAT_WEIGHT)
+NEUTRAL = Arcs((1.0,) * len(GRAMMAR), 0.0)
+
+
+def clause_marks(symbols: list[int], weights: list[float]) -> list[float]:
+    """What the composed transducers see in a clause: by composed state, first the weights of insults, then
+    the number of threats. They read forwards; a target that follows counts too, by reading targets backwards.
+    A threat counts only with a target in reach."""
+    states = [0] * len(symbols)
+    for bit, machine in enumerate(GRAMMAR):
+        ways = [range(len(symbols))]
         if machine.trigger == TARGET:
+            ways.append(range(len(symbols) - 1, -1, -1))
+        for way in ways:
             state = 0
-            for i in range(n - 1, -1, -1):
-                state, back = machine.step(state, symbols[i])
-                given[i] = max(given[i], back)
-                aimed[i] = given[i] > 1.0
-        factors = [a * b for a, b in zip(factors, given)]
-    total = 0.0
-    for symbol, weight, factor, hit in zip(symbols, weights, factors, aimed):
+            for i in way:
+                state, on = machine.step(state, symbols[i])
+                states[i] |= on << bit
+    marks = [0.0] * (2 * _STATES)
+    for symbol, weight, state in zip(symbols, weights, states):
         if symbol == INSULT:
-            total += weight * factor
-        elif symbol == THREAT and hit:
-            total += THREAT_WEIGHT * factor
-    return total
+            marks[state] += weight
+        elif symbol == THREAT and state & 1:
+            marks[_STATES + state] += 1.0
+    return marks
+
+
+def clause_weight(symbols: list[int], weights: list[float], arcs: Arcs = GIVEN) -> float:
+    """Weight of a clause under the composed transducers."""
+    return sum(m * o for m, o in zip(clause_marks(symbols, weights), arcs.outputs().tolist()))
 
 
 @dataclass
 class Model:
-    """Hashes of the lexicon in order, their weights, and the curve over the clause features."""
+    """Hashes of the lexicon in order, their weights, the curve over the clause features, and the arc weights."""
 
     lexicon: np.ndarray
     weights: np.ndarray
     curve: np.ndarray
     mean: np.ndarray
     spread: np.ndarray
+    arcs: Arcs = NEUTRAL
 
     def score(self, features: np.ndarray) -> np.ndarray:
         x = (features - self.mean) / self.spread
@@ -133,14 +158,12 @@ def _look(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(table[at] == keys, at, -1)
 
 
-def clause_features(column: pa.Array, lexicon: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Per text: the strongest clause, the sum of clauses, how many matched, and their sum for the text's length."""
+def matched_clauses(column: pa.Array, lexicon: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The clauses that hold an insult or a threat: row and marks of each; and the words of each text."""
     data, offsets = flat(column)
-    rows = len(offsets) - 1
     words = Words(data, offsets, ALNUM)
-    out = np.zeros((rows, len(_NAMES)))
     if not len(words.start):
-        return out
+        return np.zeros(0, int), np.zeros((0, 2 * _STATES)), words.count
     _, once, back = np.unique(words.hash, return_index=True, return_inverse=True)
     letters = _letters()[words.bytes]
     best = np.zeros(len(once))
@@ -162,15 +185,23 @@ def clause_features(column: pa.Array, lexicon: np.ndarray, weights: np.ndarray)
     clause = np.cumsum(new) - 1
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(words.start))
-    for c in np.unique(clause[(kind == INSULT) | (kind == THREAT)]):
-        a, b = first[c], last[c]
-        value = clause_weight(kind[a:b].tolist(), weight[a:b].tolist())
-        if value > 0:
-            row = words.row[a]
-            out[row, 0] = max(out[row, 0], value)
-            out[row, 1] += value
-            out[row, 2] += 1
-    out[:, 3] = out[:, 1] / np.sqrt(words.count + 1.0)
+    found = np.unique(clause[(kind == INSULT) | (kind == THREAT)])
+    marks = np.zeros((len(found), 2 * _STATES))
+    for i, c in enumerate(found):
+        marks[i] = clause_marks(kind[first[c] : last[c]].tolist(), weight[first[c] : last[c]].tolist())
+    return words.row[first[found]], marks, words.count
+
+
+def clause_features(column: pa.Array, lexicon: np.ndarray, weights: np.ndarray, arcs: Arcs = GIVEN) -> np.ndarray:
+    """Per text: the strongest clause, the sum of clauses, how many matched, and their sum for the text's length."""
+    row, marks, n_words = matched_clauses(column, lexicon, weights)
+    value = marks @ arcs.outputs()
+    row, value = row[value > 0], value[value > 0]
+    out = np.zeros((len(column), len(_NAMES)))
+    np.maximum.at(out[:, 0], row, value)
+    out[:, 1] = np.bincount(row, value, len(column))
+    out[:, 2] = np.bincount(row, minlength=len(column))
+    out[:, 3] = out[:, 1] / np.sqrt(n_words + 1.0)
     out[:, 1:3] = np.log1p(out[:, 1:3])
     return out
 
@@ -210,6 +241,32 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30, ridge: float = 1.0
     return w
 
 
+def _loss(marks: np.ndarray, y: np.ndarray, arcs: Arcs) -> float:
+    """Negative logarithm of the likelihood of the labels by the texts' weights; more weight is never less toxic."""
+    x = np.log1p(marks @ arcs.outputs())
+    x = (x - x.mean()) / max(x.std(), 1e-6)
+    w = _logistic(x[:, None], y)
+    if w[1] < 0:
+        w = _logistic(np.zeros((len(x), 1)), y)
+    z = np.clip(x * w[1] + w[0], -30, 30)
+    return float(np.sum(np.logaddexp(0, z) - y * z))
+
+
+def learn_arcs(marks: np.ndarray, y: np.ndarray) -> Arcs:
+    """Arc weights from the texts' summed marks: the choice that gains most is taken, as long as it gains more
+    than half the logarithm of the number of texts."""
+    arcs, loss = NEUTRAL, _loss(marks, y, NEUTRAL)
+    for _ in range(2 * len(GRAMMAR) + 2):
+        tries = [Arcs(arcs.factors, t) for t in THREAT_CHOICES if t != arcs.threat]
+        for i, factor in enumerate(arcs.factors):
+            tries += [Arcs(arcs.factors[:i] + (f,) + arcs.factors[i + 1 :], arcs.threat) for f in ARC_CHOICES if f != factor]
+        best, least = min(((t, _loss(marks, y, t)) for t in tries), key=lambda pair: pair[1])
+        if loss - least <= np.log(len(y)) / 2:
+            break
+        arcs, loss = best, least
+    return arcs
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
@@ -252,10 +309,23 @@ def fit(
     order = np.argsort(lexicon)
     lexicon, weights = lexicon[order], weights[order]
 
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                row, marks, _ = matched_clauses(part.column("text"), lexicon, weights)
+                total = [pa.array(np.bincount(row, c, part.num_rows)) for c in marks.T]
+                yield pa.record_batch([*total, part.column("toxic")], columns)
+
+    columns = [*(f"m{i}" for i in range(2 * _STATES)), "toxic"]
+    kinds = ", ".join(f"{n} double" for n in columns[:-1])
+    got = np.array(sample.mapInArrow(sums, f"{kinds}, toxic int").collect(), np.float64)
+    got = got[np.lexsort(got.T)]
+    arcs = learn_arcs(got[:, :-1], got[:, -1])
+
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                x = clause_features(part.column("text"), lexicon, weights)
+                x = clause_features(part.column("text"), lexicon, weights, arcs)
                 yield pa.record_batch([*(pa.array(c) for c in x.T), part.column("toxic")], [*_NAMES, "toxic"])
 
     kinds = ", ".join(f"{n} double" for n in _NAMES)
@@ -263,7 +333,7 @@ def fit(
     got = got[np.lexsort(got.T)]
     x, y = got[:, :-1], got[:, -1]
     mean, spread = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
-    return Model(lexicon, weights, _logistic((x - mean) / spread, y), mean, spread)
+    return Model(lexicon, weights, _logistic((x - mean) / spread, y), mean, spread, arcs)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -277,7 +347,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         m: Model = shared.value
         for batch in batches:
             for part in slices(batch, "text"):
-                x = clause_features(part.column("text"), m.lexicon, m.weights)
+                x = clause_features(part.column("text"), m.lexicon, m.weights, m.arcs)
                 clauses = np.rint(np.expm1(x[:, 2])).astype(np.int64)
                 yield pa.record_batch(
                     [part.column("doc_id"), pa.array(m.score(x)), pa.array(clauses), pa.array(x[:, 0])],

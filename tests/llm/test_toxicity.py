@@ -35,6 +35,22 @@ def model(words: dict) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], np.array(list(words.values()))[order]
 
 
+def test_arc_weights_are_learned_only_where_they_tell():
+    rnd = np.random.default_rng(3)
+    y = np.tile([0.0, 1.0], 300)
+    negated = 1 << 1
+    marks = np.zeros((len(y), 2 * T._STATES))
+    odd = rnd.random(len(y)) < 0.1  # one text of ten says it the other way round
+    marks[:, 0] = np.where((y == 1) != odd, 2.0, 0.0)
+    marks[:, negated] = 2.0 - marks[:, 0]
+    got = T.learn_arcs(marks, y)
+    assert got.factors[1] < 0.5 and got.factors[0] == got.factors[2] == 1.0 and got.threat == 0.0
+    same = np.zeros_like(marks)
+    same[np.arange(len(y)), rnd.integers(0, T._STATES, len(y))] = 1.0 + y
+    assert T.learn_arcs(same, y) == T.NEUTRAL
+    assert T.learn_arcs(np.zeros_like(marks), y) == T.NEUTRAL
+
+
 def test_clauses_end_at_their_marks_and_texts_at_their_ends():
     lexicon = model({"moron": 2.0})
     texts = ["not. moron", "not moron", "moron! moron", None, "", "x moron", "you\nmoron", "you moron"]
