@@ -313,7 +313,7 @@ def fit(
         for batch in batches:
             for part in slices(batch, "text"):
                 row, marks, _ = matched_clauses(part.column("text"), lexicon, weights)
-                total = [pa.array(np.bincount(row, c, part.num_rows)) for c in marks.T]
+                total = [pa.array(np.bincount(row, c, part.num_rows).astype(float)) for c in marks.T]
                 yield pa.record_batch([*total, part.column("toxic")], columns)
 
     columns = [*(f"m{i}" for i in range(2 * _STATES)), "toxic"]

@@ -74,6 +74,14 @@ def test_learned_insults_decide_held_out_documents(spark):
     assert [r.clauses for r in T.score(again, fitted).collect()] == [1, 1, 1]
 
 
+def test_pieces_of_the_sample_without_a_match(many_chunks):
+    texts = {i: prose(i, 40) for i in range(60)} | {i: "zonk you. " + prose(i, 20) for i in range(60, 100)}
+    labels = many_chunks.createDataFrame([(i, int(i >= 60)) for i in range(100)], "doc_id long, toxic int")
+    docs = docs_of(many_chunks, texts).repartition(100, "doc_id")
+    got = {r.doc_id: r.score for r in T.score(docs, T.fit(docs, labels)).collect()}
+    assert all((got[i] > 0.5) == (i >= 60) for i in texts)
+
+
 def test_without_labels_or_rows(spark):
     docs = docs_of(spark, {1: "a b", 2: None})
     none = T.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
