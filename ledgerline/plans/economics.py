@@ -206,11 +206,11 @@ def product_share(
 ) -> DataFrame:
     """Revenue by product name with rare products lumped into one row.
 
-    Lines are counted per (order, product), then per product, before the product join.
+    Lines are counted per product before the product join, not per order: an order seldom holds a product
+    twice, so a count of such pairs would keep all lines in memory.
     """
     kept = drop_matching(orders, cancelled(user_actions), "order_id")
-    counted = lines.groupBy("order_id", "product_id").agg(F.count("*").alias("n"))
-    sold = keep_matching(counted, kept, "order_id").groupBy("product_id").agg(F.sum("n").alias("n"))
+    sold = keep_matching(lines, kept, "order_id").groupBy("product_id").agg(F.count("*").alias("n"))
     names = (
         sold.join(products, "product_id")
         .groupBy(F.col("name").alias("product_name"))
