@@ -19,6 +19,10 @@ RUNTIME = {
     "spark.sql.session.timeZone": "UTC",
 }
 
+# What a task reads of a shuffle is compressed, and sorts and groups hold ten to twenty times as much. So tasks
+# become more with the input, not larger. A size that the user has set is kept.
+TASK_BYTES = ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "8m")
+
 
 _emptied: set[str] = set()  # folders that are removed when the session ends
 
@@ -27,6 +31,8 @@ def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to an existing session."""
     for key, value in RUNTIME.items():
         spark.conf.set(key, value)
+    if spark.conf.get(TASK_BYTES[0], None) is None:
+        spark.conf.set(*TASK_BYTES)
     return spark
 
 
