@@ -7,8 +7,9 @@ centroid by cosine; one that is farther from all of them than labelled texts of
 rejected.
 
 The sample takes up to ``PER_LANGUAGE`` documents for each language, those with the least hash of their
-id; prediction reads every text whole, in one pass without a shuffle. The model's size is fixed by its
-parameters.
+id; each language's centroids are found in a task, and only they and a few sums come to the driver.
+Prediction reads every text whole, in one pass without a shuffle. The model's size is fixed by its
+parameters and the number of languages.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from ledgerline.llm.sample import least_hashed
 from ledgerline.llm.ship import ship
 from ledgerline.llm.words import Kind, flat, slices
+from ledgerline.session import durable
 
 PLACES = 4096
 LONGEST = 4
@@ -95,39 +97,62 @@ def _clusters(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centres
 
 
-def train(langs: list[str], counts: np.ndarray, sizes: np.ndarray, centroids: int = CENTROIDS) -> Model:
-    languages = sorted(set(langs))
-    weights = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + np.float32(1)
-    x = _unit(np.sqrt(counts) * weights)
-    lang = np.array([languages.index(v) for v in langs])
-    found = [_clusters(x[lang == i], centroids) for i in range(len(languages))]
-    owner = np.concatenate([np.full(len(c), i) for i, c in enumerate(found)])
-    model = Model(languages, owner, np.vstack(found).T.astype(np.float32), weights, np.zeros(_SIZES))
-    best = model.similarities(counts)[np.arange(len(lang)), lang]
-    # the least similarity of a size or a larger one, so that it never falls as texts grow longer
-    known = [s for s in range(_SIZES) if (sizes == s).sum() >= ENOUGH]
-    for s in range(known[0] if known else _SIZES, _SIZES):
-        larger = sizes >= min(s, known[-1])
-        model.least[s] = best[larger].min() * SLACK
-    return model
+def _weights(texts: int, having: np.ndarray) -> np.ndarray:
+    """Term weights from the number of texts and of those that have each place."""
+    return np.log((1 + texts) / (1 + having)).astype(np.float32) + np.float32(1)
+
+
+def _least(counts: np.ndarray, best: np.ndarray) -> np.ndarray:
+    """The least similarity of a size or a larger one, so that it never falls as texts grow longer.
+
+    ``counts`` and ``best`` have the number of labelled texts and their least similarity for each size."""
+    least = np.zeros(_SIZES)
+    known = np.flatnonzero(counts >= ENOUGH)
+    for s in range(known[0] if len(known) else _SIZES, _SIZES):
+        least[s] = best[min(s, known[-1]) :].min() * SLACK
+    return least
 
 
 def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text", 1 << 20):
             counts, sizes = vectors(part.column("text"))
-            cells = [pa.array(np.flatnonzero(c).astype(np.int32)) for c in counts]
+            cells = [np.flatnonzero(c).astype(np.int32) for c in counts]
             yield pa.record_batch(
                 [
                     part.column("lang"),
                     pa.array(sizes.astype(np.int32)),
-                    pa.array([c.to_numpy().tobytes() for c in cells], pa.binary()),
-                    pa.array([v[c.to_numpy()].tobytes() for v, c in zip(counts, cells)], pa.binary()),
+                    pa.array(cells, pa.list_(pa.int32())),
+                    pa.array([v[c].tobytes() for v, c in zip(counts, cells)], pa.binary()),
                 ],
                 ["lang", "size", "places", "counts"],
             )
 
 
+def _of_language(weights: np.ndarray, centroids: int):
+    """Centroids of one language's sample, and for each size the number of its texts and their least similarity."""
+
+    def run(sample: pa.Table) -> pa.Table:
+        places = [np.array(p, np.int32) for p in sample.column("places").to_pylist()]
+        values = sample.column("counts").to_pylist()
+        sizes = sample.column("size").to_numpy()
+        order = sorted(range(len(places)), key=lambda i: (sizes[i], places[i].tobytes(), values[i]))
+        x = np.zeros((len(places), PLACES), np.float32)
+        for row, i in enumerate(order):
+            x[row, places[i]] = np.frombuffer(values[i], np.float32)
+        x = _unit(np.sqrt(x) * weights)
+        found = _clusters(x, centroids).astype(np.float32)
+        near = (x @ found.T).max(axis=1).astype(np.float64)
+        best = np.full(_SIZES, np.inf)
+        np.minimum.at(best, sizes[order], near)
+        numbers = np.bincount(sizes, minlength=_SIZES)
+        return pa.table(
+            {"lang": sample.column("lang")[:1], "centroids": [found.tobytes()], "numbers": [numbers.tolist()], "best": [best.tolist()]}
+        )
+
+    return run
+
+
 def fit(
     labelled: DataFrame,
     text_col: str = "text",
@@ -136,21 +161,35 @@ def fit(
     per_language: int = PER_LANGUAGE,
     centroids: int = CENTROIDS,
 ) -> Model | None:
-    """Learn from up to ``per_language`` rows of each language; None without a labelled text that has letters."""
+    """Learn from up to ``per_language`` rows of each language; None without a labelled text that has letters.
+
+    There may be any number of languages: the driver gets their centroids, not their texts."""
     ship(labelled.sparkSession)
     rows = labelled.select(
         F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")
     ).filter("lang is not null and text is not null")
     chosen = least_hashed(rows, "doc_id", "lang", per_language)
     sample = rows.join(chosen, ["doc_id", "lang"], "left_semi").filter(F.col("text").rlike(r"\p{L}"))
-    got = sample.mapInArrow(_training_rows, "lang string, size int, places binary, counts binary").collect()
-    if not got:
+    kinds = "lang string, size int, places array<int>, counts binary"
+    learned = durable(sample.mapInArrow(_training_rows, kinds))
+    # one place more, that every text has, counts the texts
+    place = F.explode(F.concat("places", F.array(F.lit(PLACES)))).alias("place")
+    having = np.zeros(PLACES + 1, np.int64)
+    for row in learned.select(place).groupBy("place").agg(F.count("*").alias("n")).collect():
+        having[row["place"]] = row["n"]
+    if not having[PLACES]:
         return None
-    got = sorted(got, key=lambda r: (r["lang"], r["size"], bytes(r["places"]), bytes(r["counts"])))
-    counts = np.zeros((len(got), PLACES), np.float32)
-    for i, r in enumerate(got):
-        counts[i, np.frombuffer(r["places"], np.int32)] = np.frombuffer(r["counts"], np.float32)
-    return train([r["lang"] for r in got], counts, np.array([r["size"] for r in got]), centroids)
+    weights = _weights(having[PLACES], having[:PLACES])
+    kinds = "lang string, centroids binary, numbers array<long>, best array<double>"
+    found = learned.groupBy("lang").applyInArrow(_of_language(weights, centroids), kinds).toArrow().sort_by("lang")
+    own = [np.frombuffer(c, np.float32).reshape(-1, PLACES) for c in found.column("centroids").to_pylist()]
+    return Model(
+        found.column("lang").to_pylist(),
+        np.repeat(np.arange(len(own)), [len(c) for c in own]),
+        np.vstack(own).T,
+        weights,
+        _least(np.sum(found.column("numbers").to_pylist(), axis=0), np.min(found.column("best").to_pylist(), axis=0)),
+    )
 
 
 def _predict(shared):

@@ -144,9 +144,9 @@ def _pieces(vocabulary: str, size: int, end: int, limits: np.ndarray):
         + [(n, pa.int64()) for n in ("start", "length", "ids_crc32", "doc_tokens")]
         + [("ids", pa.binary())]
     )
-    wide = "<u2" if encoder(vocabulary).width.size <= 1 << 16 else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wide = "<u2" if encoder(vocabulary, ordinary=False).width.size <= 1 << 16 else "<u4"
         task = TaskContext.get().partitionId()
         seen, passed = np.zeros(len(limits), np.int64), np.zeros(len(limits), np.int64)
         for batch in batches:
@@ -225,7 +225,7 @@ def _places(limits: np.ndarray, patterns: np.ndarray, counts: np.ndarray):
     return run
 
 
-def _cut(total: int, size: int, first: int, wide: str):
+def _cut(total: int, size: int, first: int):
     """Cuts pieces, laid out from ``at`` in a run of ``total`` ids, where sequences end."""
     tail = ends(total, size)
     whole = int(tail[0]) // size
@@ -237,7 +237,7 @@ def _cut(total: int, size: int, first: int, wide: str):
             for doc_id, start, length, doc_tokens, at, raw in zip(
                 *(batch.column(n).to_pylist() for n in ("doc_id", "start", "length", "doc_tokens", "at", "ids"))
             ):
-                ids, done = np.frombuffer(raw, wide).astype("<u4"), 0
+                ids, done = np.frombuffer(raw, f"<u{len(raw) // length}").astype("<u4"), 0
                 while done < length:
                     here = at + done
                     if here < tail[0]:
@@ -311,10 +311,9 @@ def pack(
     runs = runs.select(
         "kind", "task", (base + F.coalesce(F.sum("ids").over(earlier), F.lit(0)) - F.col("first")).alias("move")
     )
-    wide = "<u2" if encoder(vocabulary).width.size <= 1 << 16 else "<u4"
     cut = (
         loose.join(runs, ["kind", "task"])
         .select(*_kept(), (F.col("before") + F.col("move")).alias("at"), "ids")
-        .mapInArrow(_cut(total, size, int(counts.sum()), wide), f"{KEPT}, sequence_id long, offset long")
+        .mapInArrow(_cut(total, size, int(counts.sum())), f"{KEPT}, sequence_id long, offset long")
     )
     return whole.union(cut)

@@ -119,3 +119,10 @@ def test_added_tokens_in_a_text_become_their_ids(spark):
         assert r.doc_tokens == len(want[r.doc_id]) and r.ids_crc32 == zlib.crc32(piece.tobytes())
         placed[r.doc_id] += len(piece)
     assert placed == {i: len(ids) for i, ids in want.items()}
+
+
+def test_the_driver_loads_no_vocabulary(spark):
+    encoder.cache_clear()
+    texts = {i: prose(i, 50) for i in range(20)}
+    rows = packing.pack(docs_of(spark, texts), vocabulary(), size=64).collect()
+    assert {r.doc_id for r in rows} == set(texts) and not encoder.cache_info().currsize
