@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm.shelf import shelve
@@ -138,6 +138,11 @@ def _kept() -> list[str]:
     return [c.split()[0] for c in KEPT.split(", ")]
 
 
+def _of_kind(values: np.ndarray) -> Column:
+    """The value of a row's class. One literal, as hundreds of them fill the driver with copies of the plan."""
+    return F.split(F.lit(",".join(map(str, values.tolist()))), ",")[F.col("kind")].cast("long")
+
+
 def _pieces(vocabulary: str, size: int, end: int, limits: np.ndarray):
     schema = pa.schema(
         [("task", pa.int32()), ("nth", pa.int64()), ("before", pa.int64()), ("kind", pa.int32()), ("doc_id", pa.int64())]
@@ -289,7 +294,7 @@ def pack(
     for row in by_task.groupBy("kind").agg(F.sum("n").alias("n")).collect():
         demand[row["kind"]] = row["n"]
     patterns, counts = plan(limits, demand, size, fill)
-    offered = F.array(*[F.lit(int(n)) for n in counts @ patterns])[F.col("kind")]
+    offered = _of_kind(counts @ patterns)
     ranked = pieces.join(shifts, ["kind", "task"]).withColumn("rank", F.col("nth") + F.col("shift"))
 
     placed = (
@@ -307,7 +312,7 @@ def pack(
     if not total:
         return whole
     sums = np.concatenate([[0], np.cumsum([of_kind.get(k, 0) for k in range(len(limits))])])
-    base = F.array(*[F.lit(int(n)) for n in sums])[F.col("kind")]
+    base = _of_kind(sums)
     runs = runs.select(
         "kind", "task", (base + F.coalesce(F.sum("ids").over(earlier), F.lit(0)) - F.col("first")).alias("move")
     )

@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerline.llm import packing
 from ledgerline.llm.queries import vocabulary
@@ -126,3 +127,13 @@ def test_the_driver_loads_no_vocabulary(spark):
     texts = {i: prose(i, 50) for i in range(20)}
     rows = packing.pack(docs_of(spark, texts), vocabulary(), size=64).collect()
     assert {r.doc_id for r in rows} == set(texts) and not encoder.cache_info().currsize
+
+
+def test_values_of_classes_are_one_literal(spark):
+    """Hundreds of literals took 50 MB of the driver's heap each time a plan with them was built."""
+    values = np.arange(385) * 10**12
+    got = spark.range(385).select(F.col("id").cast("int").alias("kind")).select("kind", packing._of_kind(values).alias("v"))
+    assert all(r.v == r.kind * 10**12 for r in got.collect())
+    texts = {i: prose(i, 5 + (i * 37) % 400) for i in range(200)}
+    plan = packing.pack(docs_of(spark, texts), vocabulary(), size=512)._jdf.queryExecution().analyzed()
+    assert "array(" not in plan.toString()
