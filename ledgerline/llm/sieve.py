@@ -15,8 +15,12 @@ BITS = 27
 _PAGE_BITS = 15  # bitmap_construct_agg gives 4096 bytes for each bucket
 
 
-def bitmaps(df: DataFrame, key: Column, conditions: list[str], bits: int = BITS) -> list[np.ndarray]:
-    """For each condition the bitmap over the top ``bits`` of a long hash in the rows that meet it; one pass for all."""
+def bitmaps(
+    df: DataFrame, key: Column, conditions: list[str], bits: int = BITS, fetched: int | None = None
+) -> list[np.ndarray]:
+    """For each condition the bitmap over the top ``bits`` of a long hash in the rows that meet it; one pass for all.
+
+    The driver fetches it by a job for each shuffle partition, or in ``fetched`` parts."""
     place = F.shiftrightunsigned(key, 64 - bits) + F.lit(1)
     built = [F.expr(f"bitmap_construct_agg(__bit) filter (where {c})").alias(f"__{i}") for i, c in enumerate(conditions)]
     pages = (
@@ -24,6 +28,8 @@ def bitmaps(df: DataFrame, key: Column, conditions: list[str], bits: int = BITS)
         .groupBy("__page")
         .agg(*built)
     )
+    if fetched:
+        pages = pages.repartition(fetched)
     out = [np.zeros(1 << (bits - 3), np.uint8) for _ in conditions]
     size = 1 << (_PAGE_BITS - 3)
     for row in pages.toLocalIterator():
@@ -33,9 +39,9 @@ def bitmaps(df: DataFrame, key: Column, conditions: list[str], bits: int = BITS)
     return out
 
 
-def bitmap(df: DataFrame, key: Column, bits: int = BITS) -> np.ndarray:
+def bitmap(df: DataFrame, key: Column, bits: int = BITS, fetched: int | None = None) -> np.ndarray:
     """The bitmap over the top ``bits`` of a long hash."""
-    return bitmaps(df, key, ["true"], bits)[0]
+    return bitmaps(df, key, ["true"], bits, fetched)[0]
 
 
 def coarser(bits: np.ndarray) -> np.ndarray:
